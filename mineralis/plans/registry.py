@@ -11,7 +11,7 @@ from . import views_sql
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("catalogue", "text", "evidence")
+_MODULES = ("catalogue", "text", "evidence", "graph", "energy", "campaign")
 
 
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):

@@ -128,6 +128,7 @@ def point(spark, sf_dir) -> DataFrame:
         F.col("vec_id").alias("atom"),
         _pick(LABEL_ELEMENTS, F.col("label") + 1).alias("element"),
         frac(1).alias("x"), frac(2).alias("y"), frac(3).alias("z"),
+        F.when(F.col("vec_id") % 4 == 0, 0.5).when(F.col("vec_id") % 4 == 1, 0.7).otherwise(1.0).alias("occ"),
     )
 
 

@@ -74,7 +74,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                {_list(LABEL_ELEMENTS)}[label + 1] as element,
                round((embedding[1]::double * 2) - floor(embedding[1]::double * 2), 4) as x,
                round((embedding[2]::double * 2) - floor(embedding[2]::double * 2), 4) as y,
-               round((embedding[3]::double * 2) - floor(embedding[3]::double * 2), 4) as z
+               round((embedding[3]::double * 2) - floor(embedding[3]::double * 2), 4) as z,
+               case vec_id % 4 when 0 then 0.5::double when 1 then 0.7::double else 1.0::double end as occ
         from embeddings"""),
     "v_pointpair": (("v_point",), f"""
         select structure_id, i, j, ei, ej, sqrt(dx * dx + dy * dy + dz * dz) as d from (

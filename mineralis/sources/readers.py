@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 RECORD_SEP = "\u001e"
 LEDGER_SCHEMA = ("ts string, file string, status string, stage string, rundir string, klass string, "
                  "confidence string, gates string, verdict string, round int, escalate string, "
@@ -123,26 +125,23 @@ def scan_frames(texts: DataFrame, key: str = "file") -> DataFrame:
     A header line holds only the atom count. The scan of a file ends at its first torn frame, and the
     frames before it survive. One file is one row, so frames unfold without a shuffle.
     """
-    lines = F.split("text", r"\n")
-    is_header = r"^\s*\d+\s*$"
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size("lines"), F.lit(1))),
-                      lambda i: F.element_at("lines", i).rlike(is_header))
-    # a frame is complete when another line follows its last atom (the file ends with a newline)
-    located = texts.select(key, lines.alias("lines")).select(key, "lines", starts.alias("starts")).select(
-        key, "lines",
-        F.transform("starts", lambda i: F.struct(
-            i.alias("start"), F.trim(F.element_at("lines", i)).cast("int").alias("n"))).alias("frames"))
-    frames = F.transform("frames", lambda f: F.struct(
-        f["start"], f["n"], (f["start"] + 1 + f["n"] < F.size("lines")).alias("complete")))
-    torn = F.array_position(F.transform("frames", lambda f: ~f["complete"]), True).cast("int")
-    kept = F.when(torn == 0, F.col("frames")).otherwise(F.slice("frames", 1, F.greatest(torn - 1, F.lit(0))))
-    return (
-        located.withColumn("frames", frames).withColumn("frames", kept)
-        .select(key, "lines", F.posexplode("frames").alias("frame_index", "f"))
-        .select(key, "frame_index", F.col("f.n").alias("n_atoms"),
-                F.element_at("lines", F.col("f.start") + 1).alias("comment"),
-                F.slice("lines", F.col("f.start") + 2, F.col("f.n")).alias("atoms"))
-    )
+    header = r"^\s*\d+\s*$"
+
+    def unfold(lines):
+        starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(header))
+        # a frame is complete when another line follows its last atom (the file ends with a newline)
+        heads = F.transform(starts, lambda i: let(
+            F.trim(F.element_at(lines, i)).cast("int"),
+            lambda n: F.struct(i.alias("start"), n.alias("n"), (i + 1 + n < F.size(lines)).alias("complete"))))
+        kept = let(heads, lambda h: let(
+            F.array_position(F.transform(h, lambda f: ~f["complete"]), True).cast("int"),
+            lambda torn: F.when(torn == 0, h).otherwise(F.slice(h, 1, F.greatest(torn - 1, F.lit(0))))))
+        return F.transform(kept, lambda f: F.struct(
+            f["n"].alias("n_atoms"), F.element_at(lines, f["start"] + 1).alias("comment"),
+            F.slice(lines, f["start"] + 2, f["n"]).alias("atoms")))
+
+    frames = let(F.split("text", r"\n"), unfold)
+    return texts.select(key, F.posexplode(frames).alias("frame_index", "f")).select(key, "frame_index", "f.*")
 
 
 def frame_property(comment: Column, name: str) -> Column:
