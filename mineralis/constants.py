@@ -47,6 +47,10 @@ LIGHT_LIGANDS = ("H", "B", "C", "N", "O", "F")
 PROTON_ACCEPTORS = ("O", "N", "F", "Cl", "S", "Se")
 SLAVE_RANK = {"H": 3, "O": 2}
 
+# ---- fixed values: record formats ----------------------------------------------------------------
+RECORD_VERSION = "mar-1.0"
+RECORD_FILES = ("deaverage_output.json", "record.json")   # preferred name first
+
 # ---- fixed values: vocabularies -----------------------------------------------------------------
 PROBE_MODES = ("clustered", "dispersed")
 CONFIDENT_STATES = ("derived", "overridden", "vacuous")

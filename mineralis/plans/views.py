@@ -201,7 +201,7 @@ def review(spark, sf_dir) -> DataFrame:
 
 
 def phase(spark, sf_dir) -> DataFrame:
-    """Reference phases from parts: two or three elements, integer amounts of at most four each."""
+    """Reference phases from parts: one to three elements, integer amounts of at most four each."""
     part = table(spark, sf_dir, "part")
     key, size = F.col("p_partkey"), F.col("p_size")
     brand = _pick(BRAND_ELEMENTS, (F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") - 1) % 25 + 1)
@@ -211,8 +211,8 @@ def phase(spark, sf_dir) -> DataFrame:
     terms = F.filter(
         F.array(
             F.struct(brand.alias("element"), (size % 4 + 1).cast("long").alias("n")),
-            F.struct(kind.alias("element"), (F.floor(size / 4) % 4 + 1).cast("long").alias("n")),
-            F.struct(third.alias("element"), F.when(key % 3 == 0, key % 2 + 1).otherwise(0).cast("long").alias("n")),
+            F.struct(kind.alias("element"), F.when(key % 17 != 0, F.floor(size / 4) % 4 + 1).otherwise(0).cast("long").alias("n")),
+            F.struct(third.alias("element"), F.when((key % 3 == 0) & (key % 17 != 0), key % 2 + 1).otherwise(0).cast("long").alias("n")),
         ),
         lambda t: t["n"] > 0)
     return (

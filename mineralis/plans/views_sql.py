@@ -133,9 +133,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_term": ((), f"""
         select material_id, element, sum(n)::bigint as n from (
           select p_partkey as material_id, {_BRAND} as element, cast(p_size % 4 + 1 as bigint) as n from part
-          union all select p_partkey, {_KIND}, cast((p_size // 4) % 4 + 1 as bigint) from part
+          union all select p_partkey, {_KIND}, cast((p_size // 4) % 4 + 1 as bigint) from part where p_partkey % 17 <> 0
           union all select p_partkey, {_list(THIRD_ELEMENTS)}[p_partkey % 5 + 1],
-                           cast(p_partkey % 2 + 1 as bigint) from part where p_partkey % 3 = 0)
+                           cast(p_partkey % 2 + 1 as bigint) from part where p_partkey % 3 = 0 and p_partkey % 17 <> 0)
         group by all"""),
     "v_phase": (("v_term", "el"), """
         select material_id, chemsys, elements, formula, energy, ehull, n_cell_atoms, fracs from (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import RECORD_FILES, RECORD_VERSION
 from ..functions.text import let
 
 RECORD_SEP = "\u001e"
@@ -83,7 +84,6 @@ RECORD_SCHEMA = (
     "provenance struct<formula_sum:string>, "
     "distribution struct<ground_E_per_atom:double,spread_meV:double,n_relaxed:long,n_total:long>"
 )
-RECORD_FILES = ("deaverage_output.json", "record.json")   # fixed values: preferred name first
 
 
 def scan_record_files(spark: SparkSession, path: str) -> DataFrame:
@@ -99,7 +99,7 @@ def scan_record_files(spark: SparkSession, path: str) -> DataFrame:
 def record_kind(record: Column) -> Column:
     """Which schema a parsed record follows; NULL when neither."""
     return (
-        F.when((record["schema_version"] == "mar-1.0") | record["gates"].isNotNull(), "mar-1.0")
+        F.when((record["schema_version"] == RECORD_VERSION) | record["gates"].isNotNull(), RECORD_VERSION)
         .when(record["distribution"].isNotNull() | record["status"].isNotNull(), "deaverage")
     )
 
