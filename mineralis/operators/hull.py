@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import HULL_MAX_ATOMS, HULL_REF_TOL, ON_HULL_TOL
@@ -63,8 +64,6 @@ def truncate_candidates(candidates: DataFrame, cap: int | None) -> DataFrame:
     """Optional cap, near-stable first; what it drops stays visible as ``truncated``."""
     if cap is None:
         return candidates.withColumn("truncated", F.lit(False))
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("target_chemsys").orderBy("role", "formula")
     return candidates.withColumn("truncated", F.row_number().over(w) > cap)
 
@@ -119,12 +118,13 @@ def _lower_hull(x, fractions, energies, rounds=200):
     return float(weights @ energies[basis]), list(zip(basis, weights))
 
 
-def energy_above_hull(targets: DataFrame, references: DataFrame) -> DataFrame:
+def energy_above_hull(targets: DataFrame, references: DataFrame, digits: int = 4) -> DataFrame:
     """Energy above the lower hull, formation energy and decomposition of each target.
 
     ``targets``: target_id, chemsys, fractions, energy; ``references``: target_chemsys, formula,
-    fractions (in the target's element order), energy, covering every element. References of one
-    system meet in one row; they are the near-stable best-per-formula phases with few atoms.
+    fractions (in the target's element order), energy. References of one system meet in one row; they
+    are the near-stable best-per-formula phases with few atoms. A system without an elemental endpoint
+    for each element has no hull, and its targets keep NULL energies.
     """
     packed = references.groupBy(F.col("target_chemsys").alias("chemsys")).agg(
         F.array_sort(F.collect_list(F.struct("formula", "fractions", "energy"))).alias("refs"))
@@ -139,6 +139,9 @@ def energy_above_hull(targets: DataFrame, references: DataFrame) -> DataFrame:
             fr = np.array([list(r["fractions"]) for r in rs], dtype=float)
             en = np.array([r["energy"] for r in rs], dtype=float)
             xi = np.asarray(xi, dtype=float)
+            if not (fr > 1 - 1e-12).any(axis=0).all():   # an element without an elemental endpoint: no simplex
+                rows.append((None, None, None))
+                continue
             hull, parts = _lower_hull(xi, fr, en)
             ground = [min(en[i] for i in range(len(en)) if fr[i][k] > 1 - 1e-12) for k in range(len(xi))]
             text = ",".join(f"{rs[i]['formula']}={w:.3f}" for i, w in sorted(parts, key=lambda p: rs[p[0]]["formula"]) if w > 1e-9)
@@ -148,7 +151,7 @@ def energy_above_hull(targets: DataFrame, references: DataFrame) -> DataFrame:
     solve = F.pandas_udf(solve, schema, F.PandasUDFType.SCALAR)
     joined = targets.join(packed, "chemsys").withColumn("h", solve("fractions", "energy", "refs"))
     return joined.select(
-        "target_id", F.round("h.hull", 4).alias("e_above_hull"), F.round("h.formation", 4).alias("formation_e"),
+        "target_id", F.round("h.hull", digits).alias("e_above_hull"), F.round("h.formation", digits).alias("formation_e"),
         (F.abs("h.hull") < ON_HULL_TOL).alias("on_hull"), F.col("h.decomposition").alias("decomposition"))
 
 

@@ -89,9 +89,10 @@ def _(spark, sf):
 _HULL = f"""with {_CAND},
     ref as (select c.target_chemsys, formula, energy, t.tel, list_transform(t.tel, lambda e: coalesce(fracs[list_position(elements, e)], 0.0)) as f
             from cand c join tgt t using (target_chemsys) join st using (target_chemsys) where not skipped and state = 'derived'),
-    tg as (select material_id, chemsys, fracs as x, energy, len(elements) as n from v_phase join st on target_chemsys = chemsys where state = 'derived'),
     ground as (select target_chemsys, k, min(energy) as g from (select target_chemsys, energy, unnest(range(1, len(f) + 1)) as k, f from ref) where f[k] > 1 - 1e-12 group by 1, 2),
-    form as (select material_id, any_value(energy) - sum(x[k] * g) as formation from (select material_id, chemsys, energy, x, unnest(range(1, n + 1)) as k from tg) join ground on target_chemsys = chemsys and ground.k = k group by 1),
+    tg as (select material_id, chemsys, fracs as x, energy, len(elements) as n from v_phase
+           join (select target_chemsys, count(*) as n_ground from ground group by 1) on target_chemsys = chemsys where n_ground = len(elements)),
+    form as (select material_id, any_value(energy) - sum(x[ground.k] * g) as formation from tg join ground on target_chemsys = chemsys group by 1),
     one as (select material_id, min(r.energy) as e from tg join ref r on target_chemsys = chemsys where n = 1 group by 1),
     two as (select material_id, min(case when abs(a.f[2] - b.f[2]) < 1e-12 then least(a.energy, b.energy) else a.energy + (b.energy - a.energy) * (x[2] - a.f[2]) / (b.f[2] - a.f[2]) end) as e
             from tg join ref a on a.target_chemsys = chemsys join ref b on b.target_chemsys = chemsys where n = 2 and a.f[2] <= x[2] + 1e-12 and b.f[2] >= x[2] - 1e-12
@@ -105,7 +106,7 @@ _HULL = f"""with {_CAND},
     three as (select material_id, min(na / det * ea + nb / det * eb + (1 - na / det - nb / det) * ec) as e from tri
               where abs(det) > 1e-12 and na / det >= -1e-9 and nb / det >= -1e-9 and na / det + nb / det <= 1 + 1e-9 group by 1),
     low as (select * from one union all select * from two union all select * from three)
-    select material_id as target_id, round(tg.energy - e, 4) as e_above_hull, round(formation, 4) as formation_e, abs(tg.energy - e) < 0.001 as on_hull
+    select material_id as target_id, round(tg.energy - e, 6) as e_above_hull, round(formation, 6) as formation_e, abs(tg.energy - e) < 0.001 as on_hull
     from tg join low using (material_id) join form using (material_id)"""
 
 
@@ -114,15 +115,16 @@ def _hull(spark, sf):
     ok = H.hull_coverage(p.select("chemsys"), c, p).filter("state = 'derived'").select(F.col("target_chemsys").alias("chemsys"))
     targets = p.join(ok, "chemsys", "left_semi").select(F.col("material_id").alias("target_id"), "chemsys", "fractions", "energy")
     refs = H.aligned_references(c, p).join(ok.withColumnRenamed("chemsys", "target_chemsys"), "target_chemsys", "left_semi")
-    return H.energy_above_hull(targets, refs)
+    return H.energy_above_hull(targets, refs, digits=6)
 
 
 @query("energy_above_hull", _HULL, _P)
 def _(spark, sf):
-    return _hull(spark, sf).drop("decomposition")
+    return _hull(spark, sf).filter("e_above_hull is not null").drop("decomposition")
 
 
-@query("injected_references", f"""with {_CAND} select chemsys, count(*) as n_targets from v_phase join st on target_chemsys = chemsys where state = 'derived' group by 1""", _P)
+@query("injected_references", _HULL.replace("select material_id as target_id, round(tg.energy - e, 6) as e_above_hull, round(formation, 6) as formation_e, abs(tg.energy - e) < 0.001 as on_hull",
+       "select chemsys, count(*) as n_targets").rstrip() + " group by 1", _P)
 def _(spark, sf):
     """Caller-supplied references in place of the selected ones: any table of the same columns."""
     p, c = _candidates(spark, sf)

@@ -11,7 +11,8 @@ from . import views_sql
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("catalogue", "text", "evidence", "graph", "energy", "campaign", "quality", "hull")
+_MODULES = ("catalogue", "text", "evidence", "graph", "sampling", "energy", "campaign", "quality",
+            "hull")
 
 
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
