@@ -135,11 +135,11 @@ def hydrogen_deficit(formula: DataFrame, species: DataFrame, sites: DataFrame) -
 
 # ---- contacts and units -------------------------------------------------------------------------
 
-def site_pairs(sites: DataFrame, lattice: DataFrame, cutoff: float, carry: tuple[str, ...]) -> DataFrame:
+def site_pairs(sites: DataFrame, lattice: DataFrame | None, cutoff: float, carry: tuple[str, ...]) -> DataFrame:
     return nearest_image(half_pairs(sites, lattice, cutoff, "pos", carry), carry)
 
 
-def close_contacts(sites: DataFrame, lattice: DataFrame, cutoff: float = CONTACT_CUT) -> DataFrame:
+def close_contacts(sites: DataFrame, lattice: DataFrame | None, cutoff: float = CONTACT_CUT) -> DataFrame:
     """Contacts between disordered positions of different orbits, counted by orbit pair and distance."""
     pairs = site_pairs(sites.filter("is_disordered"), lattice, cutoff, ("signature",))
     return (
@@ -157,7 +157,7 @@ def _rank(species: Column) -> Column:
     return rank
 
 
-def slaved_orbits(sites: DataFrame, lattice: DataFrame) -> DataFrame:
+def slaved_orbits(sites: DataFrame, lattice: DataFrame | None) -> DataFrame:
     """Follower orbits whose atoms exist only where a partial parent orbit is occupied.
 
     Candidate orbit pairs come from the bonded positions, never from pairing orbits with orbits: a
@@ -193,7 +193,7 @@ def slaved_orbits(sites: DataFrame, lattice: DataFrame) -> DataFrame:
         "o.followers_per_parent", "o.follower_element")
 
 
-def rigid_shells(sites: DataFrame, lattice: DataFrame) -> DataFrame:
+def rigid_shells(sites: DataFrame, lattice: DataFrame | None) -> DataFrame:
     """Centres with more partial light ligand positions than atoms, some of them alternates."""
     carry = ("major", "occ_total")
     pairs = both_ways(site_pairs(sites, lattice, CONTACT_CUT, carry), carry)
@@ -221,7 +221,7 @@ def rigid_shells(sites: DataFrame, lattice: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_centres")).withColumn("est_coordination", F.bround("occ_sum").cast("int"))
 
 
-def orientation_orbits(sites: DataFrame, lattice: DataFrame, slaved: DataFrame) -> DataFrame:
+def orientation_orbits(sites: DataFrame, lattice: DataFrame | None, slaved: DataFrame) -> DataFrame:
     """Partial single-element orbits that split into discrete alternatives around full anchors."""
     orbits = orbit_index(sites)
     low, high = ORIENT_OCC

@@ -33,19 +33,22 @@ def cartesian_norm(delta: list[Column], m: Column) -> Column:
     return F.sqrt(xyz[0] * xyz[0] + xyz[1] * xyz[1] + xyz[2] * xyz[2])
 
 
-def half_pairs(points: DataFrame, lattice: DataFrame, cutoff: float, site: str = "atom",
+def half_pairs(points: DataFrame, lattice: DataFrame | None, cutoff: float, site: str = "atom",
                carry: tuple[str, ...] = ()) -> DataFrame:
     """Every pair closer than ``cutoff`` once per periodic image: structure_id, i, j, d and the
     carried columns as ``<name>_i`` / ``<name>_j``.
 
-    ``points``: structure_id, ``site``, x, y, z; ``lattice``: structure_id, array<double>(9).
+    ``points``: structure_id, ``site``, x, y, z; ``lattice``: structure_id, array<double>(9), or None
+    when the points carry the column already.
     Works for any cell and any cutoff: when the cell is thinner than the cutoff, more images are
     probed instead.
     """
     base = points.select(
         "structure_id", F.col(site).alias("site"),
-        *[F.pmod(F.col(a).cast("double"), F.lit(1.0)).alias(a) for a in _AXES], *carry
-    ).join(lattice.select("structure_id", "lattice"), "structure_id")
+        *[F.pmod(F.col(a).cast("double"), F.lit(1.0)).alias(a) for a in _AXES], *carry,
+        *([] if lattice is not None else ["lattice"]))
+    if lattice is not None:
+        base = base.join(lattice.select("structure_id", "lattice"), "structure_id")
     heights = cell_heights(F.col("lattice"))
     for k, axis in enumerate(_AXES):
         base = base.withColumn(f"n{axis}", F.greatest(F.lit(1), F.floor(heights[k] / cutoff).cast("int")))
@@ -103,7 +106,7 @@ def nearest_image(pairs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return oriented.groupBy(*keys).agg(F.min("d").alias("d"))
 
 
-def bonds(points: DataFrame, lattice: DataFrame, elements: DataFrame, tol: float, max_radius: float,
+def bonds(points: DataFrame, lattice: DataFrame | None, elements: DataFrame, tol: float, max_radius: float,
           site: str = "atom") -> DataFrame:
     """Directed bonds d < tol * (r_i + r_j), with elements and radii of both ends."""
     radius = elements.select(F.col("symbol").alias("element"), "radius")

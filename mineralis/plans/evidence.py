@@ -10,7 +10,8 @@ from .registry import query
 
 
 def sites(spark, sf):
-    return E.site_signatures(V.species(spark, sf))
+    """Parsed structures: one row per position, with the cell of its structure."""
+    return E.site_signatures(V.species(spark, sf)).withColumn("lattice", V.site_cube())
 
 
 def positions(spark, sf):
@@ -130,7 +131,7 @@ def _(spark, sf):
        where i < j and si <> sj and d < 2.6 and (a.n_species > 1 or a.occ_total < 0.99) and (b.n_species > 1 or b.occ_total < 0.99)
        group by p.structure_id, 2, 3, 4""".replace("select structure_id,", "select p.structure_id,", 1), ("v_pospair",))
 def _(spark, sf):
-    return E.close_contacts(sites(spark, sf), V.site_lattice(spark, sf))
+    return E.close_contacts(sites(spark, sf), None)
 
 
 _ORBIT_SQL = """orbit as (select structure_id, signature, count(*) as n, min(pos) as first_pos, any_value(elements) as els from v_psig group by 1, 2),
@@ -157,7 +158,7 @@ _ORBIT_SQL = """orbit as (select structure_id, signature, count(*) as n, min(pos
     from cand where trig is not null qualify row_number() over (partition by structure_id, follower order by first_pos) = 1""",
        ("v_pospair", "v_species"))
 def _(spark, sf):
-    return E.slaved_orbits(sites(spark, sf), V.site_lattice(spark, sf))
+    return E.slaved_orbits(sites(spark, sf), None)
 
 
 @query("rigid_shells", """with pm as (select p.*, a.major as mi, b.major as mj, b.occ_total as occ_j from v_pospair p
@@ -174,18 +175,18 @@ def _(spark, sf):
           having count(*) >= 2 and count(*) - sum(occ) >= 0.8 - 1e-9)
     join alt using (structure_id, c) group by all""", ("v_pospair",))
 def _(spark, sf):
-    return E.rigid_shells(sites(spark, sf), V.site_lattice(spark, sf))
+    return E.rigid_shells(sites(spark, sf), None)
 
 
 @query("orientation_orbits")
 def _(spark, sf):
-    s, lattice = sites(spark, sf), V.site_lattice(spark, sf)
-    return E.orientation_orbits(s, lattice, E.slaved_orbits(s, lattice))
+    s = sites(spark, sf)
+    return E.orientation_orbits(s, None, E.slaved_orbits(s, None))
 
 
 @query("min_image_distance", "select structure_id, i, j, round(d, 4) as d from v_pospair where i < j and d < 2.6", ("v_pospair",))
 def _(spark, sf):
-    return E.site_pairs(sites(spark, sf), V.site_lattice(spark, sf), 2.6, ()).withColumn("d", F.round("d", 4))
+    return E.site_pairs(sites(spark, sf), None, 2.6, ()).withColumn("d", F.round("d", 4))
 
 
 @query("provenance_rollup", """select structure_id, count(*) filter (not confident) as n_unconfident,

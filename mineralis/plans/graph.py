@@ -19,7 +19,7 @@ MAX_RADIUS = max(_RADIUS[s] for s in V.LABEL_ELEMENTS)
 
 
 def bonds(spark, sf, tol=BOND_TOL):
-    return P.bonds(V.point(spark, sf), V.point_lattice(spark, sf), element_table(spark), tol, MAX_RADIUS)
+    return P.bonds(V.point(spark, sf), None, element_table(spark), tol, MAX_RADIUS)
 
 
 def shared_bonds(spark, sf):
@@ -28,7 +28,7 @@ def shared_bonds(spark, sf):
 
 
 def point_pairs(spark, sf, cutoff, carry=("element",)):
-    return P.nearest_image(P.half_pairs(V.point(spark, sf), V.point_lattice(spark, sf), cutoff, "atom", carry), carry)
+    return P.nearest_image(P.half_pairs(V.point(spark, sf), None, cutoff, "atom", carry), carry)
 
 
 def contact_edges(spark, sf, cutoff=1.6):
@@ -131,7 +131,7 @@ def _(spark, sf):
        ("v_pointpair",))
 def _(spark, sf):
     full = V.point(spark, sf).filter("occ = 1.0")
-    pairs = P.nearest_image(P.half_pairs(full, V.point_lattice(spark, sf), 2.5, "atom", ("element",)), ("element",))
+    pairs = P.nearest_image(P.half_pairs(full, None, 2.5, "atom", ("element",)), ("element",))
     same = pairs.filter("element_i = element_j").select("structure_id", "i", "j")
     kept = G.greedy_independent_set(full.select("structure_id", "atom", F.col("atom").alias("rank")), same)
     return kept.groupBy("structure_id").agg(F.count_if("chosen").alias("n_kept"), F.count_if(~F.col("chosen")).alias("n_removed"))
@@ -421,9 +421,9 @@ def _(spark, sf):
            case when coalesce(nf, 0) > 0 then 'derived' when coalesce(n, 0) = 0 then 'vacuous' else 'unmatched' end as state
     from (select distinct structure_id from v_site) s left join g using (structure_id)""", ("v_pospair", "v_site"))
 def _(spark, sf):
-    lattice = V.site_lattice(spark, sf)
-    contacts = E.close_contacts(sites(spark, sf), lattice)
-    return K.former_anion_cut(contacts, lattice.select("structure_id")).select(
+    s = sites(spark, sf)
+    contacts = E.close_contacts(s, None)
+    return K.former_anion_cut(contacts, s.select("structure_id").distinct()).select(
         "structure_id", (F.col("n_former_anion") > 0).alias("has_former_anion"), "cut", "state")
 
 
@@ -437,7 +437,7 @@ def _(spark, sf):
     from (select structure_id, count(*) as n_sites from full_site group by 1) s""", _B)
 def _(spark, sf):
     full = V.point(spark, sf).filter("occ >= 0.98")
-    b = P.bonds(full, V.point_lattice(spark, sf), element_table(spark), BOND_TOL, MAX_RADIUS)
+    b = P.bonds(full, None, element_table(spark), BOND_TOL, MAX_RADIUS)
     return K.full_occ_clash(full, b)
 
 
@@ -449,7 +449,7 @@ def _(spark, sf):
             / (select min(d) from pr where pr.structure_id = c.structure_id and pr.orbit = c.orbit), 2) end as dispersal
     from (select structure_id, orbit, count(*) as n_minority from m where is_minority group by 1, 2) c""", ("v_pointpair",))
 def _(spark, sf):
-    members = V.point(spark, sf).select("structure_id", "atom", F.col("element").alias("orbit"), (F.col("occ") == 0.5).alias("is_minority"), "x", "y", "z")
+    members = V.point(spark, sf).select("structure_id", "atom", F.col("element").alias("orbit"), (F.col("occ") == 0.5).alias("is_minority"), "x", "y", "z", "lattice")
     carry = ("orbit", "is_minority")
-    pairs = P.nearest_image(P.half_pairs(members, V.point_lattice(spark, sf), 7.0, "atom", carry), carry)
+    pairs = P.nearest_image(P.half_pairs(members, None, 7.0, "atom", carry), carry)
     return K.minority_dispersal(pairs, members)

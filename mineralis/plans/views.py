@@ -65,13 +65,9 @@ def species(spark, sf_dir) -> DataFrame:
     )
 
 
-def site_lattice(spark, sf_dir) -> DataFrame:
-    """One cube per order that has lines; the matrix is row-major."""
-    edge = SITE_CELL
-    return (
-        table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("structure_id")).distinct()
-        .withColumn("lattice", _cube(edge))
-    )
+def site_cube():
+    """The cell of every v_site structure, row-major."""
+    return _cube(SITE_CELL)
 
 
 def _cube(edge: float):
@@ -129,13 +125,7 @@ def point(spark, sf_dir) -> DataFrame:
         _pick(LABEL_ELEMENTS, F.col("label") + 1).alias("element"),
         frac(1).alias("x"), frac(2).alias("y"), frac(3).alias("z"),
         F.when(F.col("vec_id") % 4 == 0, 0.5).when(F.col("vec_id") % 4 == 1, 0.7).otherwise(1.0).alias("occ"),
-    )
-
-
-def point_lattice(spark, sf_dir) -> DataFrame:
-    return (
-        point(spark, sf_dir).select("structure_id").distinct()
-        .withColumn("lattice", _cube(POINT_CELL))
+        _cube(POINT_CELL).alias("lattice"),
     )
 
 
