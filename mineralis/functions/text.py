@@ -78,7 +78,7 @@ def parse_composition(formula: Column, isotopes: bool = True) -> Column:
     fix = strip_isotope if isotopes else (lambda c: c)
     terms = F.zip_with(symbols, numbers, lambda s, n: F.struct(
         fix(s).alias("el"), F.coalesce(n.try_cast("double"), F.lit(1.0)).alias("n")))
-    names = F.array_sort(F.array_distinct(F.transform(terms, lambda t: t["el"])))
+    names = F.sort_array(F.array_distinct(F.transform(terms, lambda t: t["el"])))
     sums = F.transform(names, lambda e: F.aggregate(
         F.filter(terms, lambda t: t["el"] == e), F.lit(0.0), lambda acc, t: acc + t["n"]))
     return F.map_from_arrays(names, sums)

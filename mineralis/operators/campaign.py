@@ -50,7 +50,7 @@ def revise_rate(last: DataFrame) -> DataFrame:
 def fire_episodes(flags: DataFrame, triggers: DataFrame) -> DataFrame:
     """(entry, flag) -> episodes to apply, once each, with the flags that called them."""
     return flags.join(triggers, flags.flag == triggers.trigger).groupBy("entry", "episode").agg(
-        F.array_join(F.array_sort(F.collect_set("flag")), ",").alias("flags"))
+        F.array_join(F.sort_array(F.collect_set("flag")), ",").alias("flags"))
 
 
 def compare_to_reference(reference: DataFrame, results: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def unique_slug(names: DataFrame, rows_per_task: int = 1_000_000) -> DataFrame:
     ranked = ordinal_rank(based, ["base"], "ord", "ord", out="k", rows_per_task=rows_per_task)
     taken = based.select("base").distinct().select(
         F.regexp_extract("base", r"^(.*)-\d+$", 1).alias("stem"), F.regexp_extract("base", r"-(\d{1,9})$", 1).try_cast("long").alias("t")) \
-        .filter("stem <> '' and t is not null").groupBy(F.col("stem").alias("base")).agg(F.array_sort(F.collect_set("t")).alias("taken"))
+        .filter("stem <> '' and t is not null").groupBy(F.col("stem").alias("base")).agg(F.sort_array(F.collect_set("t")).alias("taken"))
     number = F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), F.col("k") - 1,
                          lambda n, t: F.when((n > 0) & (t <= n), n + 1).otherwise(n))
     return ranked.join(taken, "base", "left").select(

@@ -44,7 +44,7 @@ def _gcd(values: Column) -> Column:
 def reduced_formula(terms: Column) -> Column:
     """Reduced formula from array<struct<element, n, electronegativity>> with integer amounts."""
     common = _gcd(F.transform(terms, lambda t: t["n"]))
-    ordered = F.array_sort(F.transform(
+    ordered = F.sort_array(F.transform(
         terms, lambda t: F.struct(t["electronegativity"].alias("en"), t["element"].alias("el"),
                                   t["n"].alias("n"))))
     parts = F.transform(ordered, lambda t: F.concat(
@@ -62,7 +62,7 @@ def chemistry_columns(amounts: DataFrame, elements: DataFrame) -> DataFrame:
     grouped = (
         amounts.join(en, "element")
         .groupBy("structure_id")
-        .agg(F.array_sort(F.collect_list(F.struct("element", "n", "electronegativity"))).alias("terms"),
+        .agg(F.sort_array(F.collect_list(F.struct("element", "n", "electronegativity"))).alias("terms"),
              F.min("min_occ").alias("min_occupancy"))
     )
     return grouped.select(

@@ -68,7 +68,7 @@ def coordination_histogram(bonds: DataFrame) -> DataFrame:
     cn = former_bonds(bonds, ligands=ANIONS).groupBy("structure_id", "i", "element_i").agg(F.count(F.lit(1)).alias("cn"))
     hist = cn.groupBy("structure_id", F.col("element_i").alias("element"), "cn").agg(F.count(F.lit(1)).alias("n"))
     return hist.groupBy("structure_id", "element").agg(
-        F.array_sort(F.collect_list(F.struct("cn", "n"))).alias("h")).select(
+        F.sort_array(F.collect_list(F.struct("cn", "n"))).alias("h")).select(
         "structure_id", "element",
         F.array_join(F.transform("h", lambda t: F.format_string("%d:%d", t["cn"], t["n"])), ",").alias("histogram"),
         (F.size("h") > 1).alias("heterogeneous"))
@@ -152,7 +152,7 @@ def centre_expectations(points: DataFrame, bonds: DataFrame, expect: DataFrame |
     units = unit_table(points, bonds, modal)
     roles = ligand_roles(points, units, modal)
     centres = units.groupBy("structure_id", F.col("i").alias("atom"), F.col("element_i").alias("element")).agg(
-        F.count(F.lit(1)).alias("cn"), F.array_join(F.array_sort(F.collect_set("element_j")), "+").alias("sig"))
+        F.count(F.lit(1)).alias("cn"), F.array_join(F.sort_array(F.collect_set("element_j")), "+").alias("sig"))
     keys = ["structure_id", "element", "sig"]
     role = _mode(centres, keys, "cn", "atom", "role_cn")
     per_el = role.groupBy("structure_id", "element").agg(
@@ -180,7 +180,7 @@ def connectivity_audit(expectations: DataFrame) -> DataFrame:
         F.sum("n").alias("n_centres"),
         F.sum(F.when(F.col("cn") == F.col("expected"), F.col("n")).otherwise(0)).alias("n_ok"),
         F.sum(F.when(F.col("cn") != F.col("expected"), F.col("n")).otherwise(0)).alias("n_defects"),
-        F.array_sort(F.collect_list(F.struct("cn", "n"))).alias("h")).select(
+        F.sort_array(F.collect_list(F.struct("cn", "n"))).alias("h")).select(
         "structure_id", "label", "element", "expected", "n_centres", "n_ok", "n_defects",
         F.array_join(F.transform("h", lambda t: F.format_string("%d:%d", t["cn"], t["n"])), ",").alias("histogram"))
 
@@ -204,8 +204,8 @@ def element_coverage(points: DataFrame, audit: DataFrame) -> DataFrame:
     seen = audit.groupBy("structure_id").agg(F.collect_set("element").alias("seen"))
     return present.join(seen, "structure_id", "left").select(
         "structure_id",
-        F.array_join(F.array_sort(F.coalesce("seen", F.array().cast("array<string>"))), ",").alias("examined"),
-        F.array_join(F.array_sort(F.array_except(
+        F.array_join(F.sort_array(F.coalesce("seen", F.array().cast("array<string>"))), ",").alias("examined"),
+        F.array_join(F.sort_array(F.array_except(
             F.array_except("present", F.coalesce("seen", F.array().cast("array<string>"))),
             F.array(*[F.lit(a) for a in ANIONS]))), ",").alias("not_examined"))
 

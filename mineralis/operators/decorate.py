@@ -271,7 +271,7 @@ def group_orbits(members: DataFrame) -> DataFrame:
     ``members``: structure_id, group, signature. A group is a clique of alternates, hence short.
     """
     sig = members.groupBy("structure_id", "group").agg(
-        F.array_join(F.array_sort(F.collect_list("signature")), "+").alias("orbit"), F.count(F.lit(1)).alias("size"))
+        F.array_join(F.sort_array(F.collect_list("signature")), "+").alias("orbit"), F.count(F.lit(1)).alias("size"))
     return sig.groupBy("structure_id", "orbit").agg(
         F.max("size").alias("members_per_group"), F.count(F.lit(1)).alias("n_groups"))
 
@@ -298,7 +298,7 @@ def element_candidates(symbols: DataFrame, elements: DataFrame) -> DataFrame:
     element table, so the prefix join is against a fixed number of rows."""
     el = elements.select(F.col("symbol").alias("real"))
     hit = symbols.join(el, F.startswith("real", "symbol") & (F.col("real") != F.col("symbol")), "left")
-    return hit.groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_set("real")), ",").alias("candidates"))
+    return hit.groupBy("symbol").agg(F.array_join(F.sort_array(F.collect_set("real")), ",").alias("candidates"))
 
 
 def title_hint(text: Column) -> Column:
@@ -321,7 +321,7 @@ def dummy_species(species: DataFrame, elements: DataFrame, titles: DataFrame) ->
     joined = species.join(real, "element", "left")
     is_dummy = F.col("ox").isNull() & (F.col("element") != "D")
     per = joined.groupBy("structure_id").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(is_dummy, F.col("element")))), ",").alias("symbols"),
+        F.array_join(F.sort_array(F.collect_set(F.when(is_dummy, F.col("element")))), ",").alias("symbols"),
         F.count_if(is_dummy).alias("n_dummy_sites"), F.sum(F.when(is_dummy, F.col("occ"))).alias("dummy_occ"),
         F.round(F.sum(F.when(~is_dummy, F.col("occ") * F.coalesce("ox", F.lit(0.0))).otherwise(0.0)), 2).alias("charge_vacancy")).filter("n_dummy_sites > 0")
     labels = joined.filter(is_dummy).select("structure_id", F.col("element").alias("symbol")).distinct()

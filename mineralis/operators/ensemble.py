@@ -189,7 +189,7 @@ def frame_count(frames: DataFrame, file: str = "file") -> DataFrame:
 def composition_counts(atoms: DataFrame) -> DataFrame:
     """Atoms per element of each structure; one map entry per element."""
     per = atoms.groupBy("structure_id", "element").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("structure_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("element", "n")))).alias("composition"))
+    return per.groupBy("structure_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("element", "n")))).alias("composition"))
 
 
 def resolve_pick(picks: DataFrame, frames: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def merge_positions(rows: DataFrame) -> DataFrame:
         F.sum("n").alias("n_rows"), occ_sum.alias("occ_sum"),
         (F.size(F.collect_set("element")) > 1).alias("is_mixed"),
         (occ_sum < PARTIAL_OCC).alias("is_partial"),
-        F.array_join(F.array_sort(F.collect_list(text)), ",").alias("signature"))
+        F.array_join(F.sort_array(F.collect_list(text)), ",").alias("signature"))
 
 
 def orbit_counts(positions: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def site_signatures(species: DataFrame) -> DataFrame:
     """Occupancy per element -> one row per position with the signature of a parsed structure."""
     return species.groupBy("structure_id", "pos", "x", "y", "z").agg(
         F.sum("occ").alias("occ_total"), F.count(F.lit(1)).alias("n_species"),
-        F.array_sort(F.collect_list(F.struct("element", F.bround("occ", 3).alias("occ")))).alias("species"),
+        F.sort_array(F.collect_list(F.struct("element", F.bround("occ", 3).alias("occ")))).alias("species"),
         F.min(F.struct((-F.round("occ", 6)).alias("o"), "element")).getField("element").alias("major"),
     ).withColumn("signature", F.array_join(F.transform("species", lambda s: _term(s["element"], s["occ"])), ",")) \
         .withColumn("is_disordered", (F.col("n_species") > 1) | (F.col("occ_total") < FULL_SITE_OCC))
@@ -80,7 +80,7 @@ def nominal_charge(species: DataFrame, oxidation: DataFrame) -> DataFrame:
 def oxidation_states(valence: DataFrame) -> DataFrame:
     """Declared oxidation numbers -> mean per element and the sorted list of distinct values."""
     return valence.groupBy("structure_id", "element").agg(
-        F.array_sort(F.collect_set("oxidation")).alias("states")).select(
+        F.sort_array(F.collect_set("oxidation")).alias("states")).select(
         "structure_id", "element", "states",
         (F.aggregate("states", F.lit(0.0), lambda a, v: a + v) / F.size("states")).alias("oxidation"))
 
@@ -212,7 +212,7 @@ def rigid_shells(sites: DataFrame, lattice: DataFrame | None) -> DataFrame:
     found = (
         shell.groupBy("structure_id", "c", "centre").agg(
             F.count(F.lit(1)).alias("n_ligand_sites"), F.sum("occ").alias("occ_sum"),
-            F.array_join(F.array_sort(F.collect_set("ligand")), "+").alias("ligand_elements"))
+            F.array_join(F.sort_array(F.collect_set("ligand")), "+").alias("ligand_elements"))
         .filter((F.col("n_ligand_sites") >= 2) & (F.col("n_ligand_sites") - F.col("occ_sum") >= 0.8 - 1e-9))
         .join(alt, ["structure_id", "c"])
     )
@@ -246,7 +246,7 @@ def orientation_orbits(sites: DataFrame, lattice: DataFrame | None, slaved: Data
     )
     # candidates of one anchor: bounded by the positions that fit within the orientation cut
     per_anchor = claims.groupBy("structure_id", "signature", "anchor", "occ_total").agg(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("near", F.array().cast("array<int>")).alias("near")))).alias("cand"))
+        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("near", F.array().cast("array<int>")).alias("near")))).alias("cand"))
     k = F.bround(F.col("occ_total") * F.size("cand")).cast("int")
 
     def grow(start):
@@ -255,7 +255,7 @@ def orientation_orbits(sites: DataFrame, lattice: DataFrame | None, slaved: Data
             (F.size(s["sub"]) < F.col("k")) & ~F.array_contains(s["sub"], q["pos"])
             & F.forall(s["sub"], lambda p: F.array_contains(q["near"], p)),
             F.struct(F.concat(s["sub"], F.array(q["pos"])).alias("sub"))).otherwise(s))
-        return F.array_sort(grown["sub"])
+        return F.sort_array(grown["sub"])
 
     options = F.size(F.array_distinct(F.filter(F.transform("cand", grow), lambda s: F.size(s) == F.col("k"))))
     judged = per_anchor.withColumn("k", k).withColumn("n_options", options)
@@ -296,5 +296,5 @@ def provenance_rollup(blocks: DataFrame) -> DataFrame:
     named = blocks.withColumn("confident", F.col("state").isin(*CONFIDENT_STATES))
     return named.groupBy("structure_id").agg(
         F.count_if(~F.col("confident")).alias("n_unconfident"),
-        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("confident"), F.col("name")))), ",").alias("unconfident"),
-        F.array_join(F.array_sort(F.collect_list(F.concat("name", F.lit(":"), "state"))), ",").alias("states"))
+        F.array_join(F.sort_array(F.collect_list(F.when(~F.col("confident"), F.col("name")))), ",").alias("unconfident"),
+        F.array_join(F.sort_array(F.collect_list(F.concat("name", F.lit(":"), "state"))), ",").alias("states"))

@@ -207,6 +207,6 @@ def disorder_descriptor(labels: DataFrame) -> DataFrame:
     counted = labels.groupBy("structure_id", "label").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("structure_id").agg(
         F.sum("n").alias("n_orbits"),
-        F.array_join(F.array_sort(F.collect_list(F.concat("label", F.lit(":"), F.col("n").cast("string")))), ",").alias("multiset"),
-        F.array_join(F.array_sort(F.collect_set("label")), "/").alias("disorder_set"),
+        F.array_join(F.sort_array(F.collect_list(F.concat("label", F.lit(":"), F.col("n").cast("string")))), ",").alias("multiset"),
+        F.array_join(F.sort_array(F.collect_set("label")), "/").alias("disorder_set"),
         F.bool_and(F.contains("label", F.lit("V"))).alias("no_full_backbone"))

@@ -18,7 +18,7 @@ def phase_columns(terms: DataFrame, elements: DataFrame) -> DataFrame:
     chem = chemistry_columns(amounts.withColumnRenamed("material_id", "structure_id").withColumn("min_occ", F.lit(1.0)), elements)
     total = F.sum("n")
     fractions = amounts.groupBy("material_id").agg(
-        F.array_sort(F.collect_list(F.struct("element", "n"))).alias("a"), total.alias("total")).select(
+        F.sort_array(F.collect_list(F.struct("element", "n"))).alias("a"), total.alias("total")).select(
         "material_id", F.transform("a", lambda t: t["n"] / F.col("total")).alias("fractions"))
     rest = terms.drop("terms")
     return (chem.select(F.col("structure_id").alias("material_id"), "chemsys", "elements", F.col("reduced_formula").alias("formula"))
@@ -75,7 +75,7 @@ def hull_coverage(targets: DataFrame, candidates: DataFrame, phases: DataFrame)
         F.collect_set("element").alias("covered"), F.count_distinct("material_id").alias("n_refs"))
     t = targets.select(F.col("chemsys").alias("target_chemsys")).distinct().join(covered, "target_chemsys", "left")
     needed = F.split("target_chemsys", "-")
-    missing = F.array_sort(F.array_except(needed, F.coalesce("covered", F.array().cast("array<string>"))))
+    missing = F.sort_array(F.array_except(needed, F.coalesce("covered", F.array().cast("array<string>"))))
     n_refs = F.coalesce("n_refs", F.lit(0))
     return t.select(
         "target_chemsys", F.array_join(missing, ",").alias("missing"), n_refs.alias("n_refs"),
@@ -93,31 +93,6 @@ def hull_states(is_disordered: Column, converged: Column, n_components: Column,
             .when(coverage != "derived", "ambiguous").when(~on_scale, "ambiguous").otherwise("derived"))
 
 
-def _lower_hull(x, fractions, energies, rounds=200):
-    """Lowest energy of a mixture of references with composition ``x``: the simplex method on one
-    target. ``fractions``: references by components, elemental endpoints included."""
-    import numpy as np
-
-    n = len(x)
-    basis = []
-    for k in range(n):   # start from the lowest elemental endpoint of each component
-        pure = [i for i in range(len(energies)) if fractions[i][k] > 1 - 1e-12]
-        basis.append(min(pure, key=lambda i: energies[i]))
-    for step in range(rounds):
-        b = fractions[basis].T
-        weights = np.linalg.solve(b, x)
-        plane = np.linalg.solve(b.T, energies[basis])
-        gain = energies - fractions @ plane
-        # steepest entering reference first; the lowest index later on, which cannot cycle
-        enter = int(np.argmin(gain)) if step < rounds // 2 else next((i for i, g in enumerate(gain) if g < -1e-12), -1)
-        if enter < 0 or gain[enter] >= -1e-12:
-            break
-        direction = np.linalg.solve(b, fractions[enter])
-        ratio = [(weights[i] / direction[i], i) for i in range(n) if direction[i] > 1e-12]
-        basis[min(ratio)[1]] = enter
-    return float(weights @ energies[basis]), list(zip(basis, weights))
-
-
 def energy_above_hull(targets: DataFrame, references: DataFrame, digits: int = 4) -> DataFrame:
     """Energy above the lower hull, formation energy and decomposition of each target.
 
@@ -127,9 +102,34 @@ def energy_above_hull(targets: DataFrame, references: DataFrame, digits: int = 4
     for each element has no hull, and its targets keep NULL energies.
     """
     packed = references.groupBy(F.col("target_chemsys").alias("chemsys")).agg(
-        F.array_sort(F.collect_list(F.struct("formula", "fractions", "energy"))).alias("refs"))
+        F.sort_array(F.collect_list(F.struct("formula", "fractions", "energy"))).alias("refs"))
     schema = "struct<hull:double,formation:double,decomposition:string>"
 
+    # nested, so that the function travels to the executors by value
+    def lower_hull(x, fractions, energies, rounds=200):
+        """Lowest energy of a mixture of references with composition ``x``: the simplex method on one
+        target. ``fractions``: references by components, elemental endpoints included."""
+        import numpy as np
+
+        n = len(x)
+        basis = []
+        for k in range(n):   # start from the lowest elemental endpoint of each component
+            pure = [i for i in range(len(energies)) if fractions[i][k] > 1 - 1e-12]
+            basis.append(min(pure, key=lambda i: energies[i]))
+        for step in range(rounds):
+            b = fractions[basis].T
+            weights = np.linalg.solve(b, x)
+            plane = np.linalg.solve(b.T, energies[basis])
+            gain = energies - fractions @ plane
+            # steepest entering reference first; the lowest index later on, which cannot cycle
+            enter = int(np.argmin(gain)) if step < rounds // 2 else next((i for i, g in enumerate(gain) if g < -1e-12), -1)
+            if enter < 0 or gain[enter] >= -1e-12:
+                break
+            direction = np.linalg.solve(b, fractions[enter])
+            ratio = [(weights[i] / direction[i], i) for i in range(n) if direction[i] > 1e-12]
+            basis[min(ratio)[1]] = enter
+        return float(weights @ energies[basis]), list(zip(basis, weights))
+
     def solve(x, energy, refs):
         import numpy as np
         import pandas as pd
@@ -142,7 +142,7 @@ def energy_above_hull(targets: DataFrame, references: DataFrame, digits: int = 4
             if not (fr > 1 - 1e-12).any(axis=0).all():   # an element without an elemental endpoint: no simplex
                 rows.append((None, None, None))
                 continue
-            hull, parts = _lower_hull(xi, fr, en)
+            hull, parts = lower_hull(xi, fr, en)
             ground = [min(en[i] for i in range(len(en)) if fr[i][k] > 1 - 1e-12) for k in range(len(xi))]
             text = ",".join(f"{rs[i]['formula']}={w:.3f}" for i, w in sorted(parts, key=lambda p: rs[p[0]]["formula"]) if w > 1e-9)
             rows.append((e - hull, e - float(np.dot(xi, ground)), text))

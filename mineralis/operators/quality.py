@@ -42,7 +42,7 @@ def charge_gate(composition: DataFrame, oxidation: DataFrame, elements: DataFram
                          F.coalesce(multi & (F.col("n") > 0) & F.col("ox_low").isNotNull(), F.lit(False)).alias("multi"),
                          "ox_low", "ox_high", *(["forced"] if override is not None else []))
     packed = rows.groupBy("structure_id").agg(
-        F.array_sort(F.collect_list(F.struct("element", "n", "ox", "multi", "ox_low", "ox_high"))).alias("terms"),
+        F.sort_array(F.collect_list(F.struct("element", "n", "ox", "multi", "ox_low", "ox_high"))).alias("terms"),
         changed.alias("overridden"))
     q = F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["n"] * t["ox"])
     judged = packed.withColumn("q", q)
@@ -173,7 +173,7 @@ def review_ledger(rounds: DataFrame, n_listed: int = 20) -> DataFrame:
     last_issues = rounds.filter(blocking).join(
         entry.select("entry", F.col("last.round").alias("round")), ["entry", "round"], "left_semi")
     listed = last_issues.select("entry", "issue").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n_listed) \
-        .groupBy("entry").agg(F.array_join(F.array_sort(F.collect_list("issue")), ";").alias("unresolved"))
+        .groupBy("entry").agg(F.array_join(F.sort_array(F.collect_list("issue")), ";").alias("unresolved"))
     unresolved = F.col("last.n_blocking")
     return entry.join(listed, "entry", "left").select(
         "entry", "n_rounds", "n_objections", "n_blocking", F.col("last.verdict").alias("final_verdict"),

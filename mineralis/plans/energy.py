@@ -183,10 +183,10 @@ def _(spark, sf):
     named = _written_frames(spark, sf)
     f = R.scan_frames(named).withColumn("e", R.frame_property(F.col("comment"), "E").cast("double"))
     per_file = f.groupBy("file").agg(
-        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("frame_index", "e"))).alias("s"))
+        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("frame_index", "e"))).alias("s"))
     steps = F.transform("s", lambda x: x["e"])
     return per_file.select(F.split_part("file", F.lit("#"), F.lit(1)).cast("int").alias("entry"), "n",
-                           (steps == F.array_sort(steps)).alias("ok")).groupBy("entry").agg(
+                           (steps == F.sort_array(steps)).alias("ok")).groupBy("entry").agg(
         F.sum("n").alias("n_frames"), F.bool_and("ok").alias("in_energy_order"))
 
 

@@ -216,7 +216,7 @@ def _(spark, sf):
    from (select structure_id, orbit, max(size) as k from m group by 1, 2) left join p using (structure_id, orbit)""", ("v_pointpair",))
 def _(spark, sf):
     m, edges = _members(spark, sf)
-    orbit = m.groupBy("structure_id", "group").agg(F.array_join(F.array_sort(F.collect_list("signature")), "+").alias("orbit"))
+    orbit = m.groupBy("structure_id", "group").agg(F.array_join(F.sort_array(F.collect_list("signature")), "+").alias("orbit"))
     return D.orbit_exclusion_mode(m.join(orbit, ["structure_id", "group"]), edges)
 
 

@@ -18,7 +18,7 @@ def archive(spark, sf):
     rows, so even a structure with very many lines renders to a bounded text."""
     rows = V.site(spark, sf).groupBy("structure_id", "pos", "x", "y", "z", "element", "occ").count()
     line = F.format_string("%s%d %s %.4f %.4f %.4f %.2f(1) %d", "element", "pos", "element", "x", "y", "z", "occ", "count")
-    sites = rows.groupBy("structure_id").agg(F.array_sort(F.collect_list(line)).alias("sites"))
+    sites = rows.groupBy("structure_id").agg(F.sort_array(F.collect_list(line)).alias("sites"))
     e = V.entry(spark, sf)
     formula = F.col("formula_sum")
     spelled = (F.when(formula.isNull(), F.lit(None))
