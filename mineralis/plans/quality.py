@@ -163,6 +163,12 @@ def _(spark, sf):
     return named.groupBy("w.word", "w.cls").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("gate_class", f"""with {_ART} select entry, case when connectivity_pass then 'ok' when not connectivity_pass then 'err' else 'unchecked' end as connectivity,
+       case when sqs_pass then 'ok' when not sqs_pass then 'err' else 'unchecked' end as sqs from gg""")
+def _(spark, sf):
+    return gates(spark, sf).select("entry", *[Q.gate_class(F.col(f"gates.{n}")).alias(n) for n in ("connectivity", "sqs")])
+
+
 @query("representative_source", f"with {_ART} select entry, source from art")
 def _(spark, sf):
     return gates(spark, sf).select("entry", "source")
