@@ -117,7 +117,8 @@ def distance_list(pairs: DataFrame) -> DataFrame:
         "structure_id", F.col("element_i").alias("element"), F.round("d", 4).alias("d")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def widest_gap_cut(populations: DataFrame, distances: DataFrame, default: float = SAME_DEFAULT_CUT) -> DataFrame:
+def widest_gap_cut(populations: DataFrame, distances: DataFrame, default: float = SAME_DEFAULT_CUT,
+                   digits: int = 2) -> DataFrame:
     """Cut in the widest gap that starts at 2.0 or below, over the distances under 3.0.
 
     ``populations``: structure_id, element with at least two sites.
@@ -136,10 +137,11 @@ def widest_gap_cut(populations: DataFrame, distances: DataFrame, default: float
     return joined.select(
         "structure_id", "element", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), F.round("closest", 2).alias("closest"),
         state.alias("state"),
-        F.when(state == "derived", F.round(low + gap / 2, 2)).when(state == "ambiguous", default).alias("cut"))
+        F.when(state == "derived", F.round(low + gap / 2, digits)).when(state == "ambiguous", default).alias("cut"))
 
 
-def impossibility_split(populations: DataFrame, distances: DataFrame, override: float | None = None) -> DataFrame:
+def impossibility_split(populations: DataFrame, distances: DataFrame, override: float | None = None,
+                        digits: int = 2) -> DataFrame:
     """Pairs below 0.9 * 2r cannot be a real bond: cut above them when a clear gap follows.
 
     ``populations``: structure_id, element, radius, all_full. Nothing above counts as 5.0; a fully
@@ -158,7 +160,7 @@ def impossibility_split(populations: DataFrame, distances: DataFrame, override:
         state = (F.when(found & F.col("all_full"), "derived: full, no cut")
                  .when(found & (F.col("below") < F.col("radius") * 2 * 0.6), "derived")
                  .when(found, "ambiguous").otherwise("not applicable"))
-        cut = F.when(found & ~F.col("all_full"), F.round((F.col("below") + F.col("above")) / 2, 2))
+        cut = F.when(found & ~F.col("all_full"), F.round((F.col("below") + F.col("above")) / 2, digits))
     return joined.select("structure_id", "element", state.alias("state"), cut.alias("cut"))
 
 

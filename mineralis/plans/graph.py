@@ -154,9 +154,9 @@ def _populations(spark, sf):
     judged as (select *, case when closest is null then 'vacuous' when closest >= 1.3 then 'out_of_window'
                               when coalesce(g, 0) > 0.4 then 'derived' else 'ambiguous' end as state from pop left join stat using (structure_id, element))
     select structure_id, element, coalesce(n_pairs, 0) as n_pairs, round(closest, 2) as closest, state,
-           case state when 'derived' then round(low + g / 2, 2) when 'ambiguous' then 1.3::double end as cut from judged""", ("v_pointpair",))
+           case state when 'derived' then round(low + g / 2, 6) when 'ambiguous' then 1.3::double end as cut from judged""", ("v_pointpair",))
 def _(spark, sf):
-    return G.widest_gap_cut(_populations(spark, sf).select("structure_id", "element"), G.distance_list(point_pairs(spark, sf, 3.0)))
+    return G.widest_gap_cut(_populations(spark, sf).select("structure_id", "element"), G.distance_list(point_pairs(spark, sf, 3.0)), digits=6)
 
 
 @query("impossibility_split", f"""with {_DIST}, stat as (select d.structure_id, d.element, max(d) filter (d < radius * 2 * 0.9) as below,
@@ -165,11 +165,11 @@ def _(spark, sf):
     select structure_id, element,
            case when above - below > 0.5 and all_full then 'derived: full, no cut' when above - below > 0.5 and below < radius * 2 * 0.6 then 'derived'
                 when above - below > 0.5 then 'ambiguous' else 'not applicable' end as state,
-           case when above - below > 0.5 and not all_full then round((below + above) / 2, 2) end as cut
+           case when above - below > 0.5 and not all_full then round((below + above) / 2, 6) end as cut
     from pop left join stat using (structure_id, element) join el on symbol = element""", ("v_pointpair", "el"))
 def _(spark, sf):
     return G.impossibility_split(_populations(spark, sf).select("structure_id", "element", "radius", "all_full"),
-                                 G.distance_list(point_pairs(spark, sf, 5.0)))
+                                 G.distance_list(point_pairs(spark, sf, 5.0)), digits=6)
 
 
 _ORBITS = f"""with {_COMPONENTS},
