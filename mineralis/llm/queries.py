@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, twins
+from . import mixing, secrets, twins
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base kinds, the digest of their spans, and all spans."""
+    found = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(secrets.joined(F.col("spans"), secrets.BASE_KINDS), 256).alias("base_sha256")
+    return found.select("doc_id", *[count(k) for k in secrets.BASE_KINDS], base, secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order they are first read, with the words the mix takes of each."""
     mixed = mixing.curriculum(_read(spark, sf_dir, "documents"))
@@ -21,7 +29,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op10_mixing,)
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op7_secrets, op10_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
