@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, twins
+from . import mixing, secrets, toxicity, twins
+from .common import remainder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from those whose id leaves another remainder than 1."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 3) == 1
+    model = toxicity.fit(toxicity.labelled_rows(docs, _read(spark, sf_dir, "labels"), ~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans."""
     found = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -29,7 +38,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op7_secrets, op10_mixing)
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_toxicity, op7_secrets, op10_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
