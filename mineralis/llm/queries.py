@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, toxicity, twins
+from . import langid, mixing, secrets, toxicity, twins
 from .common import remainder
 
 
@@ -31,6 +31,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secrets.BASE_KINDS], base, secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose id leaves another remainder than 2."""
+    docs = _read(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    dictionaries = langid.fit(langid.teaching_rows(docs, ~held_out))
+    predicted = langid.predict(docs.select("doc_id", "text"), dictionaries)
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order they are first read, with the words the mix takes of each."""
     mixed = mixing.curriculum(_read(spark, sf_dir, "documents"))
@@ -38,7 +47,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_toxicity, op7_secrets, op10_mixing)
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_toxicity, op7_secrets, op9_langid, op10_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
