@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, secrets, toxicity, twins
+from . import langid, mixing, secrets, toxicity, twins, warc
 from .common import remainder
 
 
@@ -31,6 +31,13 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secrets.BASE_KINDS], base, secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to archives and read back."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(spark, pages).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose id leaves another remainder than 2."""
     docs = _read(spark, sf_dir, "documents")
@@ -47,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_toxicity, op7_secrets, op9_langid, op10_mixing)
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_toxicity, op7_secrets, op8_warc, op9_langid, op10_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -35,4 +35,14 @@ select doc_id, size, source_size, target,
 from timed
 """
 
-SQL = {"op10_mixing": OP10}
+OP8 = r"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+r as (select page_id, octet_length(encode(html)) as n, sha1(html) as digest,
+      max(page_id) over (partition by html) as top from p)
+select page_id, n::bigint as payload_bytes, digest as payload_digest,
+       case when n >= 1000 and page_id is distinct from top and top is not null then 'revisit' else 'response' end as record_type,
+       case when n >= 1000 and page_id is distinct from top then top end as refers_to, null::varchar as error
+from r
+"""
+
+SQL = {"op8_warc": OP8, "op10_mixing": OP10}
