@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import without
+from .common import let, without
 
 #: bound of the literal of ready-made words
 READY_WORDS = 32_768
@@ -33,11 +33,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _lists(items: dict[str, object], n: int, kind: str) -> Column:
     """Literal array of ``n`` maps; a key is in the one of its CRC-32, modulo ``n``."""
     out: list[dict] = [{} for _ in range(n)]
@@ -61,8 +56,8 @@ def _fold(ranks: Column, word: Column) -> Column:
 
     def step(acc, _):
         low = F.array_min(acc["ranks"])
-        return F.when(F.coalesce(low, F.lit(ABSENT)) == ABSENT, acc).otherwise(_let(
-            F.array_position(acc["ranks"], low).cast("int"), lambda p: _let(
+        return F.when(F.coalesce(low, F.lit(ABSENT)) == ABSENT, acc).otherwise(let(
+            F.array_position(acc["ranks"], low).cast("int"), lambda p: let(
                 F.concat(F.get(acc["parts"], p - 1), F.get(acc["parts"], p)), lambda merged: merged_at(acc, p, merged))))
 
     def merged_at(acc, p, merged):
@@ -80,7 +75,7 @@ def _fold(ranks: Column, word: Column) -> Column:
         parts = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda acc: acc["parts"])
         return F.transform(F.when(n > 1, parts).otherwise(F.array(w)), rank)
 
-    return _let(word, lambda w: _let(rank(w), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged_parts(w))))
+    return let(word, lambda w: let(rank(w), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged_parts(w))))
 
 
 def _rank_lists(ranks: dict[bytes, int]) -> Column:
@@ -105,11 +100,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ready_words:
     single byte must have a rank. Rows are taken one by one; a column named ``ids`` is replaced.
     """
     lists = _rank_lists(ranks)
-    folded = frequent_words(docs, pattern, ready_words).select("word", _let(lists, lambda r: _fold(r, _bytes_of(F.col("word")))).alias("ids"))
+    folded = frequent_words(docs, pattern, ready_words).select("word", let(lists, lambda r: _fold(r, _bytes_of(F.col("word")))).alias("ids"))
     ready = {row["word"]: row["ids"] for row in cut_lineage(folded.repartition("word")).collect()}   # at most ready_words rows
     words = words_of(F.col("text"), pattern)
     known = _lists(ready, WORD_LISTS, "array<int>")
-    ids = _let(lists, lambda r: _let(known, lambda k: F.flatten(F.transform(
+    ids = let(lists, lambda r: let(known, lambda k: F.flatten(F.transform(
         words, lambda w: F.coalesce(_look(k, WORD_LISTS, w), _fold(r, _bytes_of(w)))))))
     return without(docs, "ids").withColumn("ids", ids)
 
@@ -124,6 +119,6 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()
     listed = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    parts = _let(listed, lambda p: F.transform("ids", lambda i: F.get(p, i)))
+    parts = let(listed, lambda p: F.transform("ids", lambda i: F.get(p, i)))
     whole = F.when(F.forall(parts, lambda x: F.coalesce(x, F.lit("")) != ""), F.unhex(F.array_join(parts, "")))
     return without(encoded, "decoded").withColumn("decoded", whole)

@@ -23,6 +23,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; a column named inside a lambda is computed per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, secrets, toxicity, twins, warc
+from . import bpe, langid, mixing, outliers, secrets, toxicity, twins, warc
+from ..session import cut_lineage
 from .common import remainder
 
 
@@ -20,10 +21,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from those whose id leaves another remainder than 1."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 3) == 1
-    model = toxicity.fit(toxicity.labelled_rows(docs, _read(spark, sf_dir, "labels"), ~held_out))
+    model = toxicity.fit(docs, _read(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op4_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, base rules and the verdict of the robust distance for every document."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    stats = cut_lineage(outliers.text_statistics(docs).drop("text"))
+    return outliers.judge(stats).select("doc_id", *outliers.COUNTS, "base_failed", "kept", "distance")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's tokens and of the bytes they decode to."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -66,7 +74,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_toxicity, op5_bpe, op7_secrets, op8_warc, op9_langid, op10_mixing)
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_toxicity, op4_outliers, op5_bpe, op7_secrets, op8_warc, op9_langid, op10_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

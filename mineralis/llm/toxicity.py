@@ -61,31 +61,43 @@ def fit_shard(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> t
     return w[:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, shard_rows: int = SHARD_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
-    """Fit on at most ``max_rows`` rows of (text, label 0/1, order): those with the smallest ``order``.
-
-    The rows are dealt to shards of about ``shard_rows``; each shard runs FTRL on its own and gives back
-    its nonzero weights, and the model is their mean. The number of shards follows from the number of
-    rows and is at most ``max_rows / shard_rows``. Rows without text or label teach nothing. With no
-    rows at all, or one label only, the weights are zero and every score is the share of label 1.
+def fit(docs: DataFrame, labels: DataFrame, teaches: Column, max_rows: int = MAX_ROWS,
+        shard_rows: int = SHARD_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
+    """Fit on at most ``max_rows`` labelled documents: of those for which ``teaches`` (a test of
+    ``doc_id``) holds, the ones whose ids have the smallest hashes.
+
+    Ids are chosen first, so only the texts of the sample move. They are dealt to shards of about
+    ``shard_rows``; each shard runs FTRL on its own and gives back its nonzero weights, and the model is
+    their mean. The number of shards follows from the number of rows and is at most
+    ``max_rows / shard_rows``.
+
+    An id with several label rows counts as toxic if one says so; an id with several texts teaches the
+    first of them in order. Rows without id, text or label teach nothing. With no rows, or one label
+    only, no weight leaves zero and all scores are alike.
     """
-    usable = labelled.filter(F.col("text").isNotNull() & F.col("label").isNotNull())
-    chosen = usable.select("order").orderBy("order").limit(max_rows).agg(F.max("order").alias("last"), F.count("order").alias("n")).first()
-    if not chosen["n"]:
+    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & teaches)
+    marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
+    texts = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & teaches)
+    both = texts.select("doc_id").distinct().join(marks, "doc_id").withColumn("order", F.xxhash64("doc_id"))
+    chosen = cut_lineage(both.orderBy("order", "doc_id").limit(max_rows))
+    n = chosen.count()
+    if not n:
         return np.zeros(1 << bits, np.float32), 0.0
-    shards = max(1, round(min(chosen["n"], max_rows) / shard_rows))
-    sample = usable.filter(F.col("order") <= chosen["last"])
-    seat = F.pmod(F.xxhash64("order"), F.lit(shards)).cast("int").alias("shard")
+    shards = max(1, round(n / shard_rows))
+    # at most max_rows rows of three numbers are sent to all
+    sample = (texts.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+              .groupBy("doc_id", "order", "label").agg(F.min("text").alias("text")))
+    seat = F.pmod("order", F.lit(shards)).cast("int").alias("shard")
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("order", kind="stable")
+        part = part.sort_values(["order", "doc_id"])
         hashes = WordHashes()
         rows = [np.append(np.unique(features(t, hashes, bits)), 1 << bits) for t in part["text"]]
         w, intercept = fit_shard(rows, part["label"].to_numpy(float), bits)
         idx = np.flatnonzero(w)
         return pd.DataFrame({"idx": np.append(idx, 1 << bits), "weight": np.append(w[idx], intercept)})
 
-    learned = sample.select("order", "text", "label", seat).groupBy("shard").applyInPandas(learn, "idx long, weight double")
+    learned = sample.select("doc_id", "order", "text", "label", seat).groupBy("shard").applyInPandas(learn, "idx long, weight double")
     # at most 2^bits rows come back, far fewer under the L1 term
     mean = cut_lineage(learned.groupBy("idx").agg((F.sum("weight") / shards).alias("weight"))).toPandas()
     weights = np.zeros((1 << bits) + 1)
@@ -116,13 +128,3 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
     scored = without(docs, "score", "predicted").withColumn("score", score_of("text"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-
-def labelled_rows(docs: DataFrame, labels: DataFrame, teaches: Column) -> DataFrame:
-    """(text, label, order) for ``fit``: documents for which ``teaches`` holds, with their toxic label.
-
-    An id with several label rows counts as toxic if one says so. ``order`` is a hash of id and text, so
-    the sample does not depend on how the table is stored; equal rows share it and go in or out together.
-    """
-    marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("label"))
-    own = docs.filter(teaches).select("doc_id", "text")
-    return own.join(marks, "doc_id").select("text", "label", F.xxhash64("doc_id", "text").alias("order"))
