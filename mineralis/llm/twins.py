@@ -45,4 +45,15 @@ select page_id, n::bigint as payload_bytes, digest as payload_digest,
 from r
 """
 
-SQL = {"op8_warc": OP8, "op10_mixing": OP10}
+OP2 = r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+SQL = {"op2_topk": OP2, "op8_warc": OP8, "op10_mixing": OP10}
