@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, outliers, secrets, topk, toxicity, twins, warc
+from . import bpe, langid, mixing, neardup, outliers, secrets, topk, toxicity, twins, warc
 from ..session import cut_lineage
 from .common import remainder
 
@@ -31,6 +31,11 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates."""
+    return neardup.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op4_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, base rules and the verdict of the robust distance for every document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -80,7 +85,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_toxicity, op2_topk, op4_outliers, op5_bpe, op7_secrets, op8_warc, op9_langid, op10_mixing)
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_toxicity, op2_topk, op3_neardup, op4_outliers, op5_bpe, op7_secrets, op8_warc, op9_langid, op10_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
