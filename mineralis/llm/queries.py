@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neardup, outliers, secrets, topk, toxicity, twins, warc
+from . import bpe, langid, mixing, neardup, outliers, repeats, secrets, topk, toxicity, twins, warc
 from ..session import cut_lineage
 from .common import remainder
 
@@ -54,6 +54,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages that a document of a smaller id has too."""
+    left = repeats.remove_repeats(_read(spark, sf_dir, "documents"))
+    return left.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans."""
     found = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -85,7 +93,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_toxicity, op2_topk, op3_neardup, op4_outliers, op5_bpe, op7_secrets, op8_warc, op9_langid, op10_mixing)
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_toxicity, op2_topk, op3_neardup, op4_outliers, op5_bpe, op6_repeats, op7_secrets, op8_warc, op9_langid, op10_mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
