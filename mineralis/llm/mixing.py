@@ -44,7 +44,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     per = per.withColumn("_full", F.col("_cap") * open_weight <= rest * F.col("_w")).withColumn("_total", total)
     left = F.col("_total") - F.sum(F.when(F.col("_full"), F.col("_cap")).otherwise(0)).over(everything)
     left_weight = F.sum(F.when(F.col("_full"), 0).otherwise(F.col("_w"))).over(everything)
-    shared = (F.col("_w") * left).cast("double") / left_weight.cast("double")
+    shared = F.try_divide((F.col("_w") * left).cast("double"), left_weight.cast("double"))
     target = F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(shared)
     return per.select("source", "source_size", target.alias("target"), "_class")
 
@@ -61,7 +61,8 @@ def read_time(part: Column, curve: tuple[tuple[float, float], ...]) -> Column:
         done -= area
         need = part * F.lit(whole) - F.lit(done)
         slope = (m1 - m0) / (t1 - t0)
-        time = F.lit(t0) + 2 * need / (F.lit(m0) + F.sqrt(F.lit(m0 * m0) + F.lit(2 * slope) * need))
+        rate = F.lit(m0) + F.sqrt(F.lit(m0 * m0) + F.lit(2 * slope) * need)
+        time = F.lit(t0) + F.coalesce(F.try_divide(2 * need, rate), F.lit(0.0))   # no rate yet: nothing needed yet
         out = F.when(need >= 0, F.when(need <= area, time).otherwise(out)).otherwise(time) if done > 0 else F.when(need <= area, time).otherwise(out)
     return out
 
@@ -101,7 +102,7 @@ def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, curves=CURVE
     for turn in range(cap):
         at = start + turn * F.col("source_size")
         takes.append(F.least(F.greatest(whole - at, F.lit(0)), F.col("size")))
-        part = at.cast("double") / F.col("target")
+        part = F.try_divide(at.cast("double"), F.col("target"))
         time = F.lit(None).cast("double")
         for k, curve in enumerate(curves):
             time = F.when(F.col("_class") == k, read_time(part, curve)).otherwise(time)
@@ -120,7 +121,7 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def whole_passes(mixed: DataFrame) -> DataFrame:
     """Rows of ``curriculum`` for use as whole documents: a last pass of under half the words is left out."""
-    turns = F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int")
+    turns = F.floor((F.col("taken") + F.col("size") / 2) / F.greatest("size", F.lit(1))).cast("int")
     kept = mixed.filter((F.col("taken") > 0) & (turns > 0))
     return kept.withColumn("positions", F.slice("positions", F.lit(1), F.least(turns, F.size("positions"))))
 
