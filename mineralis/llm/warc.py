@@ -35,6 +35,8 @@ REVISIT_BYTES = 1000
 #: an archive is closed once its payloads exceed this; the dictionary is trained on its first records
 ARCHIVE_BYTES, SAMPLE_RECORDS, DICTIONARY_BYTES, LEVEL = 32 << 20, 128, 16 << 10, 3
 CHUNK = 1 << 20
+#: archives are read one to a task up to so many tasks, beyond that several
+MOST_TASKS = 20_000
 
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
 RECORD = ("archive string, offset long, record_type string, page_id long, target_uri string, refers_to long, "
@@ -256,11 +258,12 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield _table(rows, names)
 
-    return archives.select("path").repartition("path").mapInPandas(read, RECORD)
+    tasks = max(1, min(archives.count(), MOST_TASKS))
+    return archives.select("path").repartition(tasks, "path").mapInPandas(read, RECORD)
 
 
 def _table(rows: list[dict], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
+    out = pd.DataFrame(rows, columns=names, dtype=object)
     return out.astype({c: "Int64" for c in ("offset", "page_id", "refers_to", "payload_bytes")})
 
 
