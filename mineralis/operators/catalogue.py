@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAX_ELEMENTS, MAX_PRESSURE_KPA, MIN_ATOMS
+from ..session import cut_lineage
+from .ranking import null_safe_join
 
 LIST_COLUMNS = ("id", "reduced_formula", "chemsys", "n_elements", "spacegroup_number",
                 "min_occupancy", "is_disordered")
@@ -45,8 +47,8 @@ def reduced_formula(terms: Column) -> Column:
     """Reduced formula from array<struct<element, n, electronegativity>> with integer amounts."""
     common = _gcd(F.transform(terms, lambda t: t["n"]))
     ordered = F.sort_array(F.transform(
-        terms, lambda t: F.struct(t["electronegativity"].alias("en"), t["element"].alias("el"),
-                                  t["n"].alias("n"))))
+        terms, lambda t: F.struct(F.coalesce(t["electronegativity"], F.lit(float("inf"))).alias("en"),
+                                  t["element"].alias("el"), t["n"].alias("n"))))
     parts = F.transform(ordered, lambda t: F.concat(
         t["el"], F.when(t["n"] == common, F.lit("")).otherwise((t["n"] / common).cast("long").cast("string"))))
     return F.array_join(parts, "")
@@ -55,12 +57,13 @@ def reduced_formula(terms: Column) -> Column:
 def chemistry_columns(amounts: DataFrame, elements: DataFrame) -> DataFrame:
     """(structure_id, element, n, min_occ) -> one row per structure with its chemistry.
 
-    The array holds one item per distinct element, so it is bounded by the periodic table however
-    many rows a structure has.
+    The array holds one item per distinct symbol, so it is bounded by the periodic table however many
+    rows a structure has. A symbol that the table does not list is kept like any other; without an
+    electronegativity it comes last in the reduced formula.
     """
     en = elements.select(F.col("symbol").alias("element"), "electronegativity")
     grouped = (
-        amounts.join(en, "element")
+        amounts.join(en, "element", "left")
         .groupBy("structure_id")
         .agg(F.sort_array(F.collect_list(F.struct("element", "n", "electronegativity"))).alias("terms"),
              F.min("min_occ").alias("min_occupancy"))
@@ -269,31 +272,28 @@ def sibling_search(entries: DataFrame) -> DataFrame:
     anyone's best match, two because an entry never matches itself; the rest is counting.
     """
     key = "sibling_key"
-    good = entries.filter(F.col(key).isNotNull() & F.col("is_ordered"))
-
-    def two_lowest(by):
-        first = good.groupBy(*by).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n_ordered"))
-        rest = good.join(first.select(*by, "first"), list(by)).filter(F.col("id") > F.col("first"))
-        second = rest.groupBy(*by).agg(F.min("id").alias("second"))
-        return first.join(second, list(by), "left")
-
-    same = two_lowest((key, "spacegroup_number")).select(
-        key, "spacegroup_number", F.col("first").alias("same_1"), F.col("second").alias("same_2"),
-        F.col("n_ordered").alias("n_same"))
-    any_sg = two_lowest((key,)).select(
-        key, F.col("n_ordered").alias("n_all"))
-    # best in another space group: per key, the two lowest (first id, space group) heads
-    heads = same.select(key, F.struct(F.col("same_1").alias("id"),
-                                      F.col("spacegroup_number").alias("sg")).alias("head"))
-    best = heads.groupBy(key).agg(F.min("head").alias("head_1"))
-    runner = (heads.join(best, key).filter(F.col("head") > F.col("head_1"))
-              .groupBy(key).agg(F.min("head").alias("head_2")))
-    groups = any_sg.join(best, key).join(runner, key, "left")
-    joined = entries.join(same, [key, "spacegroup_number"], "left").join(groups, key, "left")
-    own = F.coalesce(F.col("is_ordered"), F.lit(False)).cast("int")
-    same_id = F.when(F.col("same_1") != F.col("id"), F.col("same_1")).otherwise(F.col("same_2"))
-    other_id = F.when(F.col("head_1.sg") != F.col("spacegroup_number"), F.col("head_1.id")).otherwise(F.col("head_2.id"))
-    n_match = (F.coalesce(F.col("n_all"), F.lit(0)) - own).cast("long")
+    entries = cut_lineage(entries.select("id", key, "spacegroup_number", "is_ordered"))
+    # one row per id and group: ids may repeat, and an id is never its own sibling
+    good = entries.filter(F.col(key).isNotNull() & F.col("is_ordered")).groupBy(key, "spacegroup_number", "id").agg(
+        F.count(F.lit(1)).alias("n"))
+    first = good.groupBy(key, "spacegroup_number").agg(F.min("id").alias("same_1"), F.sum("n").alias("n_same"))
+    # an aggregate with a sorted pair would hold all ids; the second lowest is the lowest of the others
+    group = [key, "spacegroup_number"]
+    rest = null_safe_join(good, first, group, "inner").filter(F.col("id") > F.col("same_1"))
+    second = rest.groupBy(*group).agg(F.min("id").alias("same_2"))
+    same = cut_lineage(null_safe_join(first, second, group, "left"))
+    # best in another space group: per key, the two lowest (lowest id, space group) heads; an unknown group is one of its own
+    heads = same.select(key, F.struct(F.col("same_1").alias("id"), F.col("spacegroup_number").alias("sg"), "same_2").alias("head"), "n_same")
+    best = heads.groupBy(key).agg(F.min("head").alias("head_1"), F.sum("n_same").alias("n_all"))
+    runner = heads.join(best, key).filter(F.col("head") > F.col("head_1")).groupBy(key).agg(F.min("head").alias("head_2"))
+    groups = cut_lineage(best.join(runner, key, "left"))
+    mine = good.groupBy(key, "id").agg(F.sum("n").alias("n_own")).withColumnRenamed("id", "own_id").withColumnRenamed(key, "own_key")
+    joined = (null_safe_join(entries, same, group, "left")
+              .join(groups, key, "left").join(mine, (F.col(key) == F.col("own_key")) & (F.col("id") == F.col("own_id")), "left"))
+    same_id = F.when(~F.col("same_1").eqNullSafe(F.col("id")), F.col("same_1")).otherwise(F.col("same_2"))
+    not_own = lambda h: F.when(~h["id"].eqNullSafe(F.col("id")), h["id"]).otherwise(h["same_2"])
+    other_id = F.when(~F.col("head_1.sg").eqNullSafe(F.col("spacegroup_number")), not_own(F.col("head_1"))).otherwise(not_own(F.col("head_2")))
+    n_match = (F.coalesce(F.col("n_all"), F.lit(0)) - F.coalesce(F.col("n_own"), F.lit(0))).cast("long")
     return joined.select(
         "id",
         F.when(F.col(key).isNull(), F.lit(None).cast("long")).otherwise(n_match).alias("n_siblings"),

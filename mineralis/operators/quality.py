@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import (CHARGE_TOL, CONFIDENT_STATES, FIDELITY_TOL, GATES, ON_HULL_TOL, PROBE_MODES,
@@ -156,12 +155,12 @@ def gate_class(g: Column) -> Column:
 
 # ---- review -------------------------------------------------------------------------------------
 
-def review_ledger(rounds: DataFrame, n_listed: int = 20) -> DataFrame:
+def review_ledger(rounds: DataFrame) -> DataFrame:
     """Rounds and objections -> one row per reviewed entry.
 
     ``rounds``: entry, round, verdict, severity, issue (one row per objection, NULL severity for a
-    round without any). The last round decides; its blocking issues are counted in full and the first
-    ``n_listed`` by text are listed.
+    round without any). The last round decides; its blocking issues are counted and all listed, in the
+    order of their text. What one review raises fits in a row.
     """
     blocking = F.coalesce(F.col("severity") == "blocking", F.lit(False))
     per_round = rounds.groupBy("entry", "round").agg(
@@ -169,11 +168,9 @@ def review_ledger(rounds: DataFrame, n_listed: int = 20) -> DataFrame:
     entry = per_round.groupBy("entry").agg(
         F.count(F.lit(1)).alias("n_rounds"), F.sum("n_objections").alias("n_objections"), F.sum("n_blocking").alias("n_blocking"),
         F.max(F.struct("round", "verdict", "n_blocking")).alias("last"))
-    w = W.partitionBy("entry").orderBy("issue")
     last_issues = rounds.filter(blocking).join(
         entry.select("entry", F.col("last.round").alias("round")), ["entry", "round"], "left_semi")
-    listed = last_issues.select("entry", "issue").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n_listed) \
-        .groupBy("entry").agg(F.array_join(F.sort_array(F.collect_list("issue")), ";").alias("unresolved"))
+    listed = last_issues.groupBy("entry").agg(F.array_join(F.sort_array(F.collect_list("issue")), ";").alias("unresolved"))
     unresolved = F.col("last.n_blocking")
     return entry.join(listed, "entry", "left").select(
         "entry", "n_rounds", "n_objections", "n_blocking", F.col("last.verdict").alias("final_verdict"),

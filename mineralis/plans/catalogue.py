@@ -173,12 +173,13 @@ def _(spark, sf):
 
 
 def _sibling_input(spark, sf):
-    """Sibling key: chemical system and nominal formula, amounts rounded half-even, zeros dropped."""
+    """Sibling key: chemical system and nominal formula, amounts rounded half-even, zeros dropped. Some
+    entries have no space group."""
     amounts = V.amount(spark, sf).withColumn("n", F.bround("located").cast("long")).filter("n > 0")
     nominal = C.chemistry_columns(amounts, element_table(spark)).select(
         F.col("structure_id").alias("id"), F.col("reduced_formula").alias("nominal"))
     flags = C.ordered_flag(V.site(spark, sf), SIBLING_TOL).withColumnRenamed("structure_id", "id")
-    e = V.entry(spark, sf).select("id", "chemsys", (F.col("spacegroup_number") % 3).alias("spacegroup_number"))
+    e = V.entry(spark, sf).select("id", "chemsys", F.when(F.col("id") % 17 != 0, F.col("spacegroup_number") % 3).alias("spacegroup_number"))
     return (
         e.join(nominal, "id", "left").join(flags, "id", "left")
         .select("id", "spacegroup_number",
@@ -195,10 +196,10 @@ _SIBLING_SQL = f"""with nominal as (
           from (select structure_id, element, round_even(located, 0)::bigint as n from v_amount) where n > 0)
          join el on symbol = element group by 1),
   flag as ({_FLAG_SQL}),
-  cand as (select e.id, spacegroup_number % 3 as sg, chemsys || '|' || nominal as k, is_ordered
+  cand as (select e.id, case when e.id % 17 <> 0 then spacegroup_number % 3 end as sg, chemsys || '|' || nominal as k, is_ordered
            from v_entry e left join nominal n on n.structure_id = e.id left join flag f on f.structure_id = e.id),
-  pairs as (select a.id, b.id as other, (a.sg <> b.sg) as differs,
-                   row_number() over (partition by a.id order by (a.sg <> b.sg), b.id) as rn,
+  pairs as (select a.id, b.id as other, (a.sg is distinct from b.sg) as differs,
+                   row_number() over (partition by a.id order by (a.sg is distinct from b.sg), b.id) as rn,
                    count(*) over (partition by a.id) as n
             from cand a join cand b on a.k = b.k and a.id <> b.id and b.is_ordered)
   select c.id, case when k is not null then coalesce(n, 0) end as n_siblings, other as best_sibling,

@@ -122,23 +122,29 @@ def discover_records(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def scan_frames(texts: DataFrame, key: str = "file") -> DataFrame:
     """Complete frames of multi-frame text: (key, frame_index, n_atoms, comment, atoms).
 
-    A header line holds only the atom count. The scan of a file ends at its first torn frame, and the
-    frames before it survive. One file is one row, so frames unfold without a shuffle.
+    A frame is a line with the atom count, a comment and as many atom lines of four or more fields; the
+    next frame begins right after them. The scan of a file ends at the first line that is no count or the
+    first torn frame, and the frames before it survive. A comment that looks like a count is a comment.
+    One file is one row, so frames unfold without a shuffle.
     """
-    header = r"^\s*\d+\s*$"
+    count = r"^\s*\d{1,9}\s*$"
+    atom = r"^\s*\S+\s+\S+\s+\S+\s+\S"
 
     def unfold(lines):
-        starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(header))
-        # a frame is complete when another line follows its last atom (the file ends with a newline)
-        heads = F.transform(starts, lambda i: let(
-            F.trim(F.element_at(lines, i)).cast("int"),
-            lambda n: F.struct(i.alias("start"), n.alias("n"), (i + 1 + n < F.size(lines)).alias("complete"))))
-        kept = let(heads, lambda h: let(
-            F.array_position(F.transform(h, lambda f: ~f["complete"]), True).cast("int"),
-            lambda torn: F.when(torn == 0, h).otherwise(F.slice(h, 1, F.greatest(torn - 1, F.lit(0))))))
-        return F.transform(kept, lambda f: F.struct(
-            f["n"].alias("n_atoms"), F.element_at(lines, f["start"] + 1).alias("comment"),
-            F.slice(lines, f["start"] + 2, f["n"]).alias("atoms")))
+        # the walk takes a count line only where the frame before it ended
+        heads = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(count))
+        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("starts"))
+
+        def walk(acc, i):
+            n = F.trim(F.element_at(lines, i)).cast("int")
+            # complete: another line follows the last atom (the file ends with a newline)
+            whole = (i == acc["next"]) & (i + 1 + n < F.size(lines))
+            return F.when(whole & F.forall(F.slice(lines, i + 2, n), lambda x: x.rlike(atom)),
+                          F.struct((i + 2 + n).alias("next"), F.concat(acc["starts"], F.array(i)).alias("starts"))).otherwise(acc)
+
+        return F.transform(F.aggregate(heads, start, walk, lambda acc: acc["starts"]), lambda i: F.struct(
+            F.trim(F.element_at(lines, i)).cast("int").alias("n_atoms"), F.element_at(lines, i + 1).alias("comment"),
+            F.slice(lines, i + 2, F.trim(F.element_at(lines, i)).cast("int")).alias("atoms")))
 
     frames = let(F.split("text", r"\n"), unfold)
     return texts.select(key, F.posexplode(frames).alias("frame_index", "f")).select(key, "frame_index", "f.*")
