@@ -32,7 +32,6 @@ CHARGE_TOL = 0.3
 FIDELITY_TOL = 0.08
 BROAD_SPREAD_MEV = 200.0
 HULL_REF_TOL = 0.12
-HULL_MAX_ATOMS = 300
 ON_HULL_TOL = 1e-3
 MAX_ELEMENTS = 6
 MAX_PRESSURE_KPA = 1000.0

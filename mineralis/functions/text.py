@@ -20,9 +20,8 @@ CELL_KEYS = {
     "z_form": "_cell_formula_units_Z",
 }
 ID_PATTERN = r"_(\d+)\.cif"
-FORMULA_QUOTED = r"_chemical_formula_sum\s+'([^']+)'"
-FORMULA_BLOCK = r"_chemical_formula_sum\s+;\s*([^;]+?)\s*;"
-FORMULA_BARE = r"_chemical_formula_sum\s+([^;'\s]\S*)"
+# fixed value: the three spellings of the formula
+FORMULA = r"_chemical_formula_sum\s+('[^']+'|;\s*[^;]+?\s*;|[^;'\s]\S*)"
 FORMULA_TERM = r"([A-Z][a-z]?)([0-9]*\.?[0-9]*)"
 SG_NUMBER = r"_space_group_IT_number\s+(\d+)"
 SG_SYMBOL = r"_space_group_name_H-M_alt\s+'([^']+)'"
@@ -46,8 +45,9 @@ def extract_id(name: Column, prefix: str = "entry") -> Column:
 
 
 def extract_formula(text: Column) -> Column:
-    """Quoted, text-block or bare spelling; inner whitespace collapses."""
-    raw = F.coalesce(_found(text, FORMULA_QUOTED), _found(text, FORMULA_BLOCK), _found(text, FORMULA_BARE))
+    """The first formula, quoted, in a text block or bare; inner whitespace collapses."""
+    raw = let(_found(text, FORMULA), lambda f: F.when(
+        F.substring(f, 1, 1).isin("'", ";"), F.substring(f, F.lit(2), F.length(f) - 2)).otherwise(f))
     return F.trim(F.regexp_replace(raw, r"\s+", " "))
 
 
@@ -122,7 +122,7 @@ def _count_before(lines: Column, stop) -> Column:
 
 def loops(text: Column) -> Column:
     """array<struct<headers, rows>> of every ``loop_`` block; a row is still one line."""
-    chunks = F.slice(F.split(text, LOOP_LINE), 2, 1_000_000)
+    chunks = let(F.split(text, LOOP_LINE), lambda c: F.slice(c, 2, F.size(c)))
     lines = F.transform(chunks, lambda chunk: F.transform(F.split(chunk, r"\r?\n"), lambda line: F.trim(line)))
     parted = F.transform(lines, lambda block: let(
         _count_before(block, lambda line: ~F.startswith(line, F.lit("_"))),

@@ -92,9 +92,9 @@ def repair_paths(paths: DataFrame, files: DataFrame) -> DataFrame:
         F.concat_ws("/", F.col("out_dir"), F.array_join(F.slice(F.col("parts"), k, F.size("parts")), "/")).alias("file")))
     cand = paths.withColumn("parts", parts).select("entry", "out_dir", "path", F.explode(tails).alias("t")).select(
         "entry", "out_dir", "path", "t.length", "t.file")
-    whole = paths.select("entry", "out_dir", "path", F.lit(1_000_000).alias("length"), F.col("path").alias("file"))
+    whole = paths.select("entry", "out_dir", "path", F.lit(None).cast("int").alias("length"), F.col("path").alias("file"))
     found = cand.unionByName(whole).join(files.select("file"), "file", "left_semi").groupBy("entry", "path").agg(
-        F.max_by("file", "length").alias("found"))
+        F.max_by("file", F.struct(F.col("length").isNull(), "length")).alias("found"))
     inside = F.startswith("found", F.concat("out_dir", F.lit("/")))
     return paths.join(found, ["entry", "path"], "left").select(
         "entry", "path", F.col("found").alias("resolved"),
@@ -112,7 +112,7 @@ def unique_slug(names: DataFrame, rows_per_task: int = 1_000_000) -> DataFrame:
     based = names.withColumn("base", slug(F.col("name")))
     ranked = ordinal_rank(based, ["base"], "ord", "ord", out="k", rows_per_task=rows_per_task)
     taken = based.select("base").distinct().select(
-        F.regexp_extract("base", r"^(.*)-\d+$", 1).alias("stem"), F.regexp_extract("base", r"-(\d{1,9})$", 1).try_cast("long").alias("t")) \
+        F.regexp_extract("base", r"^(.*)-\d+$", 1).alias("stem"), F.regexp_extract("base", r"-(\d+)$", 1).try_cast("long").alias("t")) \
         .filter("stem <> '' and t is not null").groupBy(F.col("stem").alias("base")).agg(F.sort_array(F.collect_set("t")).alias("taken"))
     number = F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), F.col("k") - 1,
                          lambda n, t: F.when((n > 0) & (t <= n), n + 1).otherwise(n))

@@ -223,12 +223,12 @@ def pick_final_tier(picks: DataFrame, runs: DataFrame) -> DataFrame:
     """
     j = picks.join(runs.withColumnRenamed("run", "final_from"), "final_from", "left")
     reason = (
-        F.when(F.col("final_from").isNull(), "no final run named")
+        F.when(F.col("final_from").isNull(), None)   # nothing was asked for
         .when(F.col("run_mode").isNull(), "could not read the final run")
         .when(F.col("run_mode") != "from", "not a single-frame run")
         .when(F.col("e_final").isNull(), "its final tier did not run")
         .when((F.col("n_atoms") > 0) & (F.col("run_atoms") > 0) & (F.col("n_atoms") != F.col("run_atoms")), "atom counts differ"))
-    return j.select("entry", "final_from", F.when(reason.isNull(), F.round("e_final", 5)).alias("e_final"), reason.alias("reason"))
+    return j.select("entry", "final_from", F.when(F.col("final_from").isNotNull() & reason.isNull(), F.round(F.col("e_final").cast("decimal(28,10)"), 5).cast("double")).alias("e_final"), reason.alias("reason"))
 
 
 def reuse_checkpoint(configs: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

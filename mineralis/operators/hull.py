@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..constants import HULL_MAX_ATOMS, HULL_REF_TOL, ON_HULL_TOL
+from ..constants import HULL_REF_TOL, ON_HULL_TOL
 from .catalogue import chemistry_columns
 
 MAX_COMPONENTS = 3
@@ -40,11 +39,11 @@ def best_per_formula(phases: DataFrame) -> DataFrame:
 
 
 def hull_candidates(targets: DataFrame, phases: DataFrame, tol: float = HULL_REF_TOL,
-                    max_atoms: int = HULL_MAX_ATOMS) -> DataFrame:
+                    max_atoms: int | None = None) -> DataFrame:
     """Reference phases of each target system: (target_chemsys, material_id, formula, role, skipped).
 
     Near-stable best phases over every sub-system, plus one elemental endpoint per element even when
-    it is not near-stable. Too large cells stay listed as skipped.
+    it is not near-stable. Cells above ``max_atoms``, if one is given, stay listed as skipped.
     """
     best = phases.join(best_per_formula(phases).select("material_id", "ehull_rank"), "material_id").select(
         "material_id", "formula", "chemsys", "ehull_rank", "n_cell_atoms", "elements")
@@ -57,15 +56,7 @@ def hull_candidates(targets: DataFrame, phases: DataFrame, tol: float = HULL_REF
     near = F.col("ehull_rank") <= tol
     return joined.filter(near | F.col("is_endpoint")).select(
         "target_chemsys", "material_id", "formula", F.when(near, "near").otherwise("endpoint").alias("role"),
-        (F.col("n_cell_atoms") > max_atoms).alias("skipped"))
-
-
-def truncate_candidates(candidates: DataFrame, cap: int | None) -> DataFrame:
-    """Optional cap, near-stable first; what it drops stays visible as ``truncated``."""
-    if cap is None:
-        return candidates.withColumn("truncated", F.lit(False))
-    w = W.partitionBy("target_chemsys").orderBy("role", "formula")
-    return candidates.withColumn("truncated", F.row_number().over(w) > cap)
+        (F.col("n_cell_atoms") > max_atoms if max_atoms else F.lit(False)).alias("skipped"))
 
 
 def hull_coverage(targets: DataFrame, candidates: DataFrame, phases: DataFrame) -> DataFrame:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..operators import campaign as P
 from ..operators import ensemble as N
@@ -124,55 +123,41 @@ def _(spark, sf):
 
 # ---- episodes and answers -----------------------------------------------------------------------
 
-EPISODES = {
-    "triggers": {
-        "broad_spread_flag": ["collapsed-ring", "slaved-decoration"],
-        "bracket_probes": ["bracket-probe"],
-        "cell_scatter": ["no-backbone"],
-        "no_full_backbone": ["no-backbone"],
-    },
-    "episodes": {
-        "collapsed-ring": {"lesson": "look for a shattered unit", "provenance": []},
-        "slaved-decoration": {"lesson": "place the unit, not the atoms", "provenance": []},
-        "bracket-probe": {"lesson": "read the margin, not the rank", "provenance": []},
-        "no-backbone": {"lesson": "do not decorate at random", "provenance": []},
-    },
-}
-
-
-def _episodes(spark):
+def _episodes(spark, sf):
+    """A knowledge document made of given tables: an event type triggers the nations of its place in the
+    alphabet, whose lesson is their region."""
     path = scratch_path(spark, "episodes")
-    spark.range(1).select(F.lit(json.dumps(EPISODES, indent=1)).alias("value")).write.text(path)
+    kinds = V.table(spark, sf, "events").select("event_type").distinct()
+    kinds = kinds.withColumn("k", F.row_number().over(Window.orderBy("event_type")) - 1)   # one row per event type
+    nations = V.table(spark, sf, "nation").join(V.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    pairs = kinds.join(nations, F.col("n_nationkey") % 5 == F.col("k"))
+    triggers = pairs.groupBy("event_type").agg(F.sort_array(F.collect_list("n_name")).alias("names")).agg(
+        F.map_from_entries(F.collect_list(F.struct("event_type", "names"))).alias("triggers"))
+    lesson = F.struct(F.col("r_name").alias("lesson"), F.array().cast("array<string>").alias("provenance"))
+    episodes = nations.agg(F.map_from_entries(F.collect_list(F.struct(F.col("n_name"), lesson))).alias("episodes"))
+    triggers.join(episodes).coalesce(1).write.json(path)   # one row each
     return R.scan_episodes(spark, path)
 
 
-_FLAGS = """flags as (select entry, 'broad_spread_flag' as flag from (select entry, 1000 * (max(energy) - min(energy)) as s from v_valid group by 1) where s > 200
-       union all select entry, 'bracket_probes' from v_valid where valid group by entry, mode having mode = 'clustered' and min(energy) < 0.006
-       union all select entry, 'cell_scatter' from v_valid where valid group by entry having stddev_pop(k) > 29),
-   trig as (select * from (values ('broad_spread_flag', 'collapsed-ring', 'look for a shattered unit'), ('broad_spread_flag', 'slaved-decoration', 'place the unit, not the atoms'),
-            ('bracket_probes', 'bracket-probe', 'read the margin, not the rank'), ('cell_scatter', 'no-backbone', 'do not decorate at random'),
-            ('no_full_backbone', 'no-backbone', 'do not decorate at random')) t(trigger, episode, lesson))"""
+_FLAGS = """flags as (select user_id as entry, event_type as flag from events group by 1, 2 having max(value) > 480),
+   kinds as (select event_type, row_number() over (order by event_type) - 1 as k from (select distinct event_type from events)),
+   trig as (select event_type as trigger, n_name as episode, r_name as lesson from kinds join nation on n_nationkey % 5 = k join region on n_regionkey = r_regionkey)"""
 
 
 def _flags(spark, sf):
-    s = V.valid_sample(spark, sf)
-    valid = s.filter("valid")
-    broad = N.broad_spread_flag(N.distribution(s)).filter("flag = 'investigate'").select("entry", F.lit("broad_spread_flag").alias("flag"))
-    probe = valid.filter("mode = 'clustered'").groupBy("entry").agg(F.min("energy").alias("low")).filter("low < 0.006").select(
-        "entry", F.lit("bracket_probes").alias("flag"))
-    scatter = valid.groupBy("entry").agg(F.stddev_pop("k").alias("sd")).filter("sd > 29").select("entry", F.lit("cell_scatter").alias("flag"))
-    return broad.unionByName(probe).unionByName(scatter)
+    highest = V.table(spark, sf, "events").groupBy(F.col("user_id").alias("entry"), F.col("event_type").alias("flag")).agg(F.max("value").alias("most"))
+    return highest.filter("most > 480").select("entry", "flag")
 
 
-@query("fire_episodes", f"with {_FLAGS} select entry, episode, string_agg(distinct flag, ',' order by flag) as flags from flags join trig on trigger = flag group by 1, 2", ("v_valid",))
+@query("fire_episodes", f"with {_FLAGS} select entry, episode, string_agg(distinct flag, ',' order by flag) as flags from flags join trig on trigger = flag group by 1, 2")
 def _(spark, sf):
-    triggers, _ = _episodes(spark)
+    triggers, _ = _episodes(spark, sf)
     return P.fire_episodes(_flags(spark, sf), triggers)
 
 
-@query("scan_episodes", f"with {_FLAGS} select episode, lesson, count(distinct entry) as n_entries from flags join trig on trigger = flag group by 1, 2", ("v_valid",))
+@query("scan_episodes", f"with {_FLAGS} select episode, lesson, count(distinct entry) as n_entries from flags join trig on trigger = flag group by 1, 2")
 def _(spark, sf):
-    triggers, lessons = _episodes(spark)
+    triggers, lessons = _episodes(spark, sf)
     fired = P.fire_episodes(_flags(spark, sf), triggers)
     return fired.join(lessons, "episode").groupBy("episode", "lesson").agg(F.count_distinct("entry").alias("n_entries"))
 

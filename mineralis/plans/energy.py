@@ -256,9 +256,9 @@ def _(spark, sf):
          case when o_orderkey % 5 <> 0 then -o_totalprice / 100000 end as e, o_custkey % 50 as a, o_orderkey, o_custkey from orders),
     p as (select o_orderkey as entry, case when o_orderkey % 7 = 0 then null when o_orderkey % 11 = 0 then 'absent' else 'run_' || o_orderkey end as f,
                  case when o_orderkey % 3 = 0 then o_custkey % 50 else 7 end as n from orders),
-    j as (select entry, f, m, e, case when f is null then 'no final run named' when m is null then 'could not read the final run' when m <> 'from' then 'not a single-frame run'
+    j as (select entry, f, m, e, case when f is null then null when m is null then 'could not read the final run' when m <> 'from' then 'not a single-frame run'
             when e is null then 'its final tier did not run' when n > 0 and a > 0 and n <> a then 'atom counts differ' end as reason from p left join runs on run = f)
-    select entry, f as final_from, case when reason is null then round(e, 5) end as e_final, reason from j""")
+    select entry, f as final_from, case when f is not null and reason is null then round(e::decimal(28, 10), 5)::double end as e_final, reason from j""")
 def _(spark, sf):
     o = V.table(spark, sf, "orders")
     key = F.col("o_orderkey")

@@ -82,18 +82,19 @@ def _(spark, sf):
 
 
 def _formula(spark, sf):
-    """Formula amounts: every second position is missing from it, and each raised row counts double."""
-    return V.site(spark, sf).filter("pos % 4 <> 3").groupBy("structure_id", "element").agg(
-        F.sum(1.0 + F.col("raised")).alias("expected"))
+    """Formula amounts: each raised row counts double, every fourth position nothing."""
+    return V.site(spark, sf).groupBy("structure_id", "element").agg(
+        F.sum(F.when(F.col("pos") % 4 != 3, 1.0 + F.col("raised")).otherwise(0.0)).alias("expected"))
 
 
 def _found(spark, sf):
-    return V.site(spark, sf).filter("pos <> 0").groupBy("structure_id", "element").agg(F.sum("occ").alias("located"))
+    return V.site(spark, sf).groupBy("structure_id", "element").agg(
+        F.sum(F.when(F.col("pos") != 0, F.col("occ")).otherwise(0.0)).alias("located"))
 
 
-_FORMULA_SQL = """formula as (select structure_id, element, sum(1.0::double + raised) as expected from v_site
-                              where pos % 4 <> 3 group by all),
-                  found as (select structure_id, element, sum(occ) as located from v_site where pos <> 0 group by all)"""
+_FORMULA_SQL = """formula as (select structure_id, element, sum(case when pos % 4 <> 3 then 1.0::double + raised else 0 end) as expected
+                              from v_site group by all),
+                  found as (select structure_id, element, sum(case when pos <> 0 then occ else 0 end) as located from v_site group by all)"""
 
 
 @query("composition_check", f"""with {_FORMULA_SQL} select * from (

@@ -20,7 +20,7 @@ def phases(spark, sf):
 _CAND = """best as (select * from v_phase qualify row_number() over (partition by formula order by coalesce(ehull, 9.0), material_id) = 1),
     tgt as (select distinct chemsys as target_chemsys, elements as tel from v_phase),
     inside as (select t.target_chemsys, b.*, coalesce(ehull, 9.0) as er from tgt t join best b on list_has_all(t.tel, b.elements)),
-    cand as (select *, case when er <= 0.12 then 'near' else 'endpoint' end as role, n_cell_atoms > 300 as skipped from (
+    cand as (select *, case when er <= 0.12 then 'near' else 'endpoint' end as role, false as skipped from (
         select *, case when len(elements) = 1 then row_number() over (partition by target_chemsys, chemsys order by er, formula, material_id) end as rk from inside)
         where er <= 0.12 or rk = 1),
     cov as (select t.target_chemsys, list_sort(list_filter(t.tel, lambda e: not list_contains(coalesce(c.covered, []), e))) as missing, coalesce(n_refs, 0) as n_refs, len(t.tel) as n_el

@@ -237,14 +237,14 @@ def _(spark, sf):
 
 
 def listing(spark, sf):
-    """Judged records for finished orders, averaged ones for open orders."""
+    """Judged records for finished orders, averaged ones for all others."""
     f = flagged(spark, sf)
     name = F.concat(F.lit("entry_"), F.col("entry").cast("string")).alias("name")
     judged = f.filter("order_status = 'F'").select(
         "entry", name, F.when(F.col("entry") % 3 != 0, F.concat(F.lit("Fe2O"), (F.col("entry") % 5).cast("string"))).alias("formula"),
         F.when(F.col("reviewed"), F.col("verdict")).otherwise("unreviewed").alias("verdict"),
         Q.certification(F.col("reviewed"), F.col("n_unresolved")).alias("certification"), "flags", "worst")
-    averaged = f.filter("order_status = 'O'").select(
+    averaged = f.filter("order_status <> 'F'").select(
         "entry", name, F.lit(None).cast("string").alias("formula"),
         F.when(F.col("entry") % 4 == 0, "no-disorder").when(F.col("entry") % 4 == 1, "error").when(F.col("entry") % 4 == 2, "de-averaged").alias("status"))
     return Q.audit_view(Q.record_union(judged, averaged))
@@ -256,7 +256,7 @@ _LISTING = _FLAGGED + f""", view as (
           lower(concat_ws(' ', coalesce(case when k % 3 <> 0 then 'Fe2O' || (k % 5) end, 'entry_' || k), 'entry_' || k, case when reviewed then verdict else 'unreviewed' end, certification, flags)) as search_text
    from flagged where order_status = 'F'
    union all select entry, 'deaverage', 'entry_' || k, case k % 4 when 0 then 'no-disorder' when 1 then 'error' when 2 then 'de-averaged' else '?' end, null, null, null,
-          lower(concat_ws(' ', 'entry_' || k, 'entry_' || k, case k % 4 when 0 then 'no-disorder' when 1 then 'error' when 2 then 'de-averaged' end)) from flagged where order_status = 'O')"""
+          lower(concat_ws(' ', 'entry_' || k, 'entry_' || k, case k % 4 when 0 then 'no-disorder' when 1 then 'error' when 2 then 'de-averaged' end)) from flagged where order_status <> 'F')"""
 
 
 @query("record_union", f"with {_LISTING} select kind, count(*) as n, count(verdict) as n_judged from view group by 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import element_table
+from ..constants import SUBSTITUTION_WORDS, VACANCY_WORDS, element_table
 from ..functions import text as X
 from ..operators import decorate as D
 from ..operators import evidence as E
@@ -244,9 +244,13 @@ def _titles(spark, sf):
     return V.table(spark, sf, "orders").select(k.alias("structure_id"), F.when(k % 3 == 0, "A vacancy-rich Garnet").when(k % 3 == 1, "Al-Doped oxide").otherwise("Plain oxide").alias("title"))
 
 
-@query("title_hint", "select o_orderkey as structure_id, case o_orderkey % 3 when 0 then 'vacancy' when 1 then 'element' end as leaning from orders")
+def _any_word(words):
+    return " or ".join(f"contains(lower(text), '{w}')" for w in words)
+
+
+@query("title_hint", f"select doc_id, case when {_any_word(VACANCY_WORDS)} then 'vacancy' when {_any_word(SUBSTITUTION_WORDS)} then 'element' end as leaning from documents")
 def _(spark, sf):
-    return _titles(spark, sf).select("structure_id", D.title_hint(F.col("title")).alias("leaning"))
+    return V.table(spark, sf, "documents").select("doc_id", D.title_hint(F.col("text")).alias("leaning"))
 
 
 @query("dummy_species", f"""with {_LAB}, j as (select structure_id, pos, element, occ, ox_common from lab left join el on symbol = element),
