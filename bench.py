@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -17,6 +18,9 @@ HEADLINE = [
     "record_flags", "assemble_record", "hull_candidates", "energy_above_hull",
 ]
 
+#: seconds up to which a query is run a second time
+WARM_BELOW = 12
+
 
 def main() -> None:
     from mineralis.plans import all_queries
@@ -24,18 +28,26 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
+    shared = tempfile.mkdtemp(prefix="bench-")   # one machine: any folder is shared
+    spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8, **{"spark.checkpoint.dir": shared})
     fns = all_queries()
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()   # start executors and warm the file cache
-    times = {}
-    for name in HEADLINE:
+    times, warm = {}, {}
+
+    def run(name, into):
         start = time.time()
         fns[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - start, 3)
-        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
+        into[name] = round(time.time() - start, 3)
+        print(f"{name} {into[name]}", file=sys.stderr, flush=True)
+
+    for name in HEADLINE:
+        run(name, times)
+    for name in HEADLINE:
+        if times[name] < WARM_BELOW:   # the slow ones are not dominated by compilation
+            run(name, warm)
     spark.stop()
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""), "cpus": cpus}))
+                      "queries": times, "warm": warm, "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""), "cpus": cpus}))
 
 
 if __name__ == "__main__":
