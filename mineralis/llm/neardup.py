@@ -6,11 +6,11 @@ a register keeps the shingle that reached it first. Two texts agree in a registe
 is their probability Jaccard similarity. A shingle is left as soon as its next arrival comes after the
 last register was taken, so most need one arrival or two.
 
-Texts that agree in a band meet in a bucket. Buckets do not expand into pairs: in each round a bucket
-compares one centre, the member with the most company, with its other members, and only what is not yet in
-one component goes on. What two rounds leave unsettled is compared in blocks, members of the bucket's main
-component against the rest and the rest among themselves, so a large group of near copies costs one
-comparison for each of its texts, and no link is lost.
+Texts that agree in a band meet in a bucket. Buckets do not expand into pairs: a bucket compares one
+centre, the member with the most company, with its other members. What is then not in one component is
+compared in blocks, members of the bucket's main component against the rest and the rest among themselves,
+each pair in the first bucket it shares. So most of a large group of near copies costs one comparison for
+each text, and no link is lost.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ SHINGLE, SIMILAR = 5, 0.8
 #: 26 bands of five registers: a pair at 0.8 shares none in 3 of 100,000 cases
 BANDS, BAND_ROWS = 26, 5
 REGISTERS = BANDS * BAND_ROWS
-#: agreement of signatures below which a pair of a block is not read in full: 6.5 standard deviations
+#: agreement of signatures below which a pair is not read in full: 6.5 standard deviations under 0.8
 LEAST_AGREEMENT = 0.57
-#: elements of a signature batch, members of a block, rounds of one centre a bucket
-BATCH_ELEMENTS, BLOCK, ROUNDS = 300_000, 128, 2
+#: elements of a signature batch, members of a block
+BATCH_ELEMENTS, BLOCK = 300_000, 128
 
 
 def shingles(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +102,9 @@ def _similar(ka, wa, kb, wb) -> bool:
 
 
 def _unpack(keys: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(keys, np.uint64), np.frombuffer(weights, np.float32).astype(float)
+    """Weights are empty where all are one."""
+    keys = np.frombuffer(keys, np.uint64)
+    return keys, np.frombuffer(weights, np.float32).astype(float) if weights else np.ones(len(keys))
 
 
 def _with_content(docs: DataFrame) -> DataFrame:
@@ -111,7 +113,8 @@ def _with_content(docs: DataFrame) -> DataFrame:
 
 
 def _signed(texts: DataFrame) -> DataFrame:
-    """(_cid, sig) of each distinct text."""
+    """(_cid, bands, sig) of each distinct text: a hash per band, and a byte per register to estimate by."""
+    places = np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -121,10 +124,14 @@ def _signed(texts: DataFrame) -> DataFrame:
                 ids.append(cid), keys.append(one), weights.append(counts)
                 size += len(one)
                 if size > BATCH_ELEMENTS or k == len(batch) - 1:
-                    yield pd.DataFrame({"_cid": ids, "sig": [row.tobytes() for row in signatures(keys, weights)]})
+                    drawn = signatures(keys, weights)
+                    band = np.broadcast_to(places, (len(ids), BANDS)).copy()
+                    for row in range(BAND_ROWS):
+                        band = mix64(band + drawn[:, row::BAND_ROWS].astype(np.uint64) + np.uint64(1))
+                    yield pd.DataFrame({"_cid": ids, "bands": list(band.view(np.int64)), "sig": [r.tobytes() for r in drawn.astype(np.uint8)]})
                     ids, keys, weights, size = [], [], [], 0
 
-    return texts.mapInPandas(sign, "_cid long, sig binary").dropDuplicates(["_cid"])
+    return texts.mapInPandas(sign, "_cid long, bands array<long>, sig binary").dropDuplicates(["_cid"])
 
 
 def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -135,13 +142,26 @@ def _sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             hashes, out = WordHashes(), []
             for cid, text in zip(batch["_cid"], batch["text"]):
                 keys, counts = shingles(text, hashes)
-                out.append((cid, keys.tobytes(), counts.astype(np.float32).tobytes()))
+                out.append((cid, keys.tobytes(), counts.astype(np.float32).tobytes() if counts.max() > 1 else b""))
             yield pd.DataFrame(out, columns=["_cid", "keys", "weights"])
 
-    one = texts.groupBy("_cid").agg(F.any_value("text").alias("text")).join(wanted, "_cid", "left_semi")
+    one = texts.join(wanted, "_cid", "left_semi").groupBy("_cid").agg(F.any_value("text").alias("text"))
     return one.select("_cid", "text").mapInPandas(pack, "_cid long, keys binary, weights binary")
 
 
+def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures leave similarity possible."""
+    side = lambda x: signed.select(F.col("_cid").alias(x), F.col("sig").alias(f"s{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+
+    def estimate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sa, sb = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), REGISTERS) for c in ("sa", "sb"))
+            yield batch.loc[(sa == sb).mean(axis=1) >= LEAST_AGREEMENT, ["a", "b"]]
+
+    return met.mapInPandas(estimate, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar."""
     side = lambda x: sets.select(F.col("_cid").alias(x), F.col("keys").alias(f"k{x}"), F.col("weights").alias(f"w{x}"))
@@ -186,7 +206,7 @@ def _rest(members: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
     full = sided.join(signed, "_cid").join(sets, "_cid")
     packed = full.groupBy("bucket", "other", "block").agg(
         F.first("n_main").alias("n_main"), F.first("n_other").alias("n_other"),
-        F.collect_list(F.struct("_cid", "comp", "sig", "keys", "weights")).alias("rows"))
+        F.collect_list(F.struct("_cid", "comp", "bands", "sig", "keys", "weights")).alias("rows"))
     packed = cut_lineage(packed)
     left = packed.filter("other")
     seats = F.concat(
@@ -198,15 +218,18 @@ def _rest(members: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for mine, rows in zip(batch["mine"], batch["rows"]):
-                yield pd.DataFrame(_block_links(mine, rows), columns=["a", "b"])
+            for bucket, mine, rows in zip(batch["bucket"], batch["mine"], batch["rows"]):
+                yield pd.DataFrame(_block_links(bucket, mine, rows), columns=["a", "b"], dtype=np.int64)
+
+    return met.select("bucket", "mine", "rows").mapInPandas(compare, "a long, b long")
 
-    return met.select("mine", "rows").mapInPandas(compare, "a long, b long")
 
+def _block_links(bucket: int, mine, rows) -> list[tuple[int, int]]:
+    """Similar pairs of two blocks, one for each pair of components that they join.
 
-def _block_links(mine, rows) -> list[tuple[int, int]]:
-    """Similar pairs of two blocks, one for each pair of components that they join."""
-    sig = lambda side: np.array([np.frombuffer(r["sig"], np.uint32) for r in side])
+    A pair that shares several buckets is compared in the one of its first common band.
+    """
+    stack = lambda side, name, kind: np.array([np.frombuffer(r[name], kind) if kind == np.uint8 else r[name] for r in side])
     root = {int(r["comp"]): int(r["comp"]) for side in (mine, rows) for r in side}
 
     def find(c: int) -> int:
@@ -214,16 +237,34 @@ def _block_links(mine, rows) -> list[tuple[int, int]]:
             c = root[c]
         return c
 
-    ours, theirs, out = sig(mine), sig(rows), []
     unpacked = [_unpack(r["keys"], r["weights"]) for r in rows]
-    for r, s in zip(mine, ours):
-        own = _unpack(r["keys"], r["weights"])
-        agree = (theirs == s).mean(axis=1)
-        for j in np.argsort(-agree, kind="stable"):
-            if agree[j] < LEAST_AGREEMENT:
-                break
-            a, b = find(int(r["comp"])), find(int(rows[j]["comp"]))
-            if a != b and _similar(*own, *unpacked[j]):
+    plain = np.array([w.max() == 1 for _, w in unpacked])
+    sizes = np.array([len(k) for k, _ in unpacked])
+    every, starts = np.concatenate([k for k, _ in unpacked]), np.append(0, np.cumsum(sizes))[:-1]
+    comps, out = [int(r["comp"]) for r in rows], []
+    bands, sigs = stack(rows, "bands", np.int64), stack(rows, "sig", np.uint8)
+    for r in mine:
+        same = bands == np.asarray(r["bands"])
+        here = np.asarray(r["bands"])[same.argmax(axis=1)] == bucket
+        agree = (sigs == np.frombuffer(r["sig"], np.uint8)).mean(axis=1)
+        possible = np.flatnonzero(here & (agree >= LEAST_AGREEMENT))
+        possible = [j for j in possible[np.argsort(-agree[possible], kind="stable")] if find(comps[j]) != find(int(r["comp"]))]
+        if not possible:
+            continue
+        keys, weights = _unpack(r["keys"], r["weights"])
+        shared = None
+        for j in possible:
+            if find(comps[j]) == find(int(r["comp"])):
+                continue
+            if plain[j] and weights.max() == 1:
+                if shared is None:   # sizes of the common part with every row, in one pass
+                    at = np.minimum(np.searchsorted(keys, every), len(keys) - 1)
+                    shared = np.add.reduceat(keys[at] == every, starts, dtype=np.int64)
+                holds = shared[j] >= (SIMILAR - 1e-12) * (len(keys) + sizes[j] - shared[j])
+            else:
+                holds = _similar(keys, weights, *unpacked[j])
+            if holds:
+                a, b = find(int(r["comp"])), find(comps[j])
                 root[max(a, b)] = min(a, b)
                 out.append((int(r["_cid"]), int(rows[j]["_cid"])))
     return out
@@ -241,31 +282,24 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = _with_content(docs.select("doc_id", "text"))
     texts = rows.filter(F.col("_cid").isNotNull()).select("_cid", "text")
     signed = cut_lineage(_signed(texts))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(
-        k, F.substring(F.col("sig"), k * (4 * BAND_ROWS) + 1, F.lit(4 * BAND_ROWS))))
-    seats = signed.select("_cid", F.explode(bands).alias("bucket"))
+    seats = signed.select("_cid", F.explode("bands").alias("bucket"))
     full = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     members = cut_lineage(seats.join(full, "bucket"))
     company = members.groupBy("_cid").agg(F.sum("n").alias("company"))
-    members = cut_lineage(members.join(company, "_cid").select("bucket", "_cid", "company"))
-    sets = cut_lineage(_sets(texts, members.select("_cid").distinct()))
-
-    links = None
-    members = members.withColumn("comp", F.col("_cid"))
-    for _ in range(ROUNDS):
-        centre = members.groupBy("bucket").agg(F.max(F.struct("company", "_cid", "comp")).alias("c"))
-        pairs = members.join(centre, "bucket").filter(F.col("comp") != F.col("c.comp"))
-        pairs = pairs.select(F.least("_cid", "c._cid").alias("a"), F.greatest("_cid", "c._cid").alias("b")).distinct()
-        found = cut_lineage(_verified(pairs, sets))
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        # a centre has met all others of its bucket; a bucket within one component is settled
-        others = members.drop("comp").join(centre.select("bucket", F.col("c._cid").alias("centre")), "bucket")
-        others = others.filter(F.col("_cid") != F.col("centre")).drop("centre").join(labels, "_cid", "left")
-        others = others.withColumn("comp", F.coalesce("comp", "_cid"))
-        mixed = others.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") != F.col("hi"))
-        members = cut_lineage(others.join(mixed, "bucket", "left_semi"))
-    rest = cut_lineage(_rest(members.select("bucket", "_cid", "comp"), signed, sets))
+    members = cut_lineage(members.join(company, "_cid"))
+    centre = members.groupBy("bucket").agg(F.max(F.struct("company", "_cid")).alias("c")).select("bucket", F.col("c._cid").alias("centre"))
+    around = cut_lineage(members.join(centre, "bucket").filter(F.col("_cid") != F.col("centre")).select("bucket", "_cid", "centre", "n"))
+    pairs = around.select(F.least("_cid", "centre").alias("a"), F.greatest("_cid", "centre").alias("b")).distinct()
+    pairs = cut_lineage(_agreeing(pairs, signed))
+    wanted = pairs.select(F.col("a").alias("_cid")).union(pairs.select("b")).union(around.filter(F.col("n") > 2).select("_cid")).distinct()
+    sets = cut_lineage(_sets(texts, cut_lineage(wanted)))
+    links = cut_lineage(_verified(pairs, sets))
+    labels = components(links)
+    # a centre has met all others of its bucket; a bucket whose others are in one component is settled
+    others = around.filter(F.col("n") > 2).select("bucket", "_cid").join(labels, "_cid", "left").withColumn("comp", F.coalesce("comp", "_cid"))
+    mixed = others.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") != F.col("hi"))
+    unsettled = cut_lineage(others.join(mixed, "bucket", "left_semi").select("bucket", "_cid", "comp"))
+    rest = cut_lineage(_rest(unsettled, signed, sets))
     labels = labels if rest.isEmpty() else components(links.union(rest))
     placed = rows.select("doc_id", "_cid").join(labels, "_cid", "left").withColumn("_class", F.coalesce("comp", "_cid")).drop("comp")
     placed = cut_lineage(placed)
