@@ -270,5 +270,7 @@ def _table(rows: list[dict], names: list[str]) -> pd.DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Archive ``pages`` in a new folder below the shared one and read the records back."""
     folder = scratch_path(spark, "warc")
-    folder = folder if "://" in folder else folder.replace("file:", "file://") if folder.startswith("file:") else f"file://{folder}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)   # a path without a scheme is in the cluster's own file system
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    folder = re.sub(r"^file:/(?!//)", "file:///", folder)
     return read_archives(write_archives(with_revisits(pages), folder), folder)
