@@ -31,30 +31,41 @@ def _batch_writer(path: str):
     return write
 
 
+def _last_status(rows: DataFrame) -> DataFrame:
+    """The row of highest sequence number per file; a missing file name counts as the empty one."""
+    return rows.groupBy(F.coalesce("file", F.lit("")).alias("file")).agg(
+        F.max(F.struct("seq", "status", "stage", "error")).alias("last")).select("file", "last.*")
+
+
 def stream_ledger_status(rows: DataFrame, out: str, checkpoint: str) -> None:
     """Keep the last status per file; every batch writes the files it changed."""
-    last = rows.groupBy("file").agg(F.max(F.struct("seq", "status", "stage", "error")).alias("last")).select("file", "last.*")
-    _drain(last, "update", _batch_writer(out), checkpoint)
+    _drain(_last_status(rows), "update", _batch_writer(out), checkpoint)
 
 
 def read_ledger_status(spark: SparkSession, out: str) -> DataFrame:
     """Current status per file from the written changes."""
-    changes = spark.read.parquet(out)
-    return changes.groupBy("file").agg(F.max(F.struct("seq", "status", "stage", "error")).alias("last")).select("file", "last.*")
+    return _last_status(spark.read.parquet(out))
 
 
 def stream_done_counts(rows: DataFrame, out: str, checkpoint: str) -> None:
-    """Files finished and not finished after each batch, from the state written so far."""
+    """Files finished and not finished after each batch.
+
+    A batch adds its changes to the state that the batch before it left, one row per file, so its cost
+    does not grow with the number of batches; a replayed batch starts from that same state.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{out}/status/batch={batch_id}")
+        columns = ["file", "seq", "status", "stage", "error"]
+        state = batch.select(*columns)
+        if batch_id:
+            state = spark.read.schema(state.schema).parquet(f"{out}/status/batch={batch_id - 1}").unionByName(state)
+        _last_status(state).write.mode("overwrite").parquet(f"{out}/status/batch={batch_id}")
         done = F.col("status").isin(*FINISHED_STATUSES)
-        (read_ledger_status(spark, f"{out}/status").agg(
+        (spark.read.schema(batch.select(*columns).schema).parquet(f"{out}/status/batch={batch_id}").agg(
             F.count_if(done).alias("n_done"), F.count_if(~done).alias("n_open"))
          .write.mode("overwrite").parquet(f"{out}/progress/batch={batch_id}"))
 
-    last = rows.groupBy("file").agg(F.max(F.struct("seq", "status", "stage", "error")).alias("last")).select("file", "last.*")
-    _drain(last, "update", write, checkpoint)
+    _drain(_last_status(rows), "update", write, checkpoint)
 
 
 def stream_new_configs(rows: DataFrame, out: str, checkpoint: str) -> None:
