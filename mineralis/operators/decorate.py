@@ -297,7 +297,10 @@ def element_candidates(symbols: DataFrame, elements: DataFrame) -> DataFrame:
     """Real elements of which a label is a proper prefix: (symbol, candidates). ``elements`` is the
     element table, so the prefix join is against a fixed number of rows."""
     el = elements.select(F.col("symbol").alias("real"))
-    hit = symbols.join(el, F.startswith("real", "symbol") & (F.col("real") != F.col("symbol")), "left")
+    # every beginning of a symbol, so that the match is an equi-join
+    begins = el.select("real", F.explode(F.transform(
+        F.sequence(F.lit(0), F.length("real") - 1), lambda k: F.substring(F.col("real"), F.lit(1), k))).alias("symbol"))
+    hit = symbols.join(begins, "symbol", "left")
     return hit.groupBy("symbol").agg(F.array_join(F.sort_array(F.collect_set("real")), ",").alias("candidates"))
 
 

@@ -26,7 +26,7 @@ def phase_columns(terms: DataFrame, elements: DataFrame) -> DataFrame:
 
 def powerset(elements: Column) -> Column:
     """Every non-empty subset of a sorted element array, as ``-`` joined systems."""
-    masks = F.sequence(F.lit(1), (F.pow(F.lit(2), F.size(elements)) - 1).cast("int"))
+    masks = F.sequence(F.lit(1).cast("long"), (F.pow(F.lit(2), F.size(elements)) - 1).cast("long"))
     return F.transform(masks, lambda m: F.array_join(
         F.filter(elements, lambda e, i: F.call_function("getbit", m, i.cast("int")) == 1), "-"))
 
