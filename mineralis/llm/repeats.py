@@ -36,6 +36,8 @@ LENGTH, ANCHOR = 50, 20
 PLACES = LENGTH - ANCHOR + 1
 #: segments that one task orders, about
 PART_SEGMENTS = 60_000
+#: rows of an Arrow batch that a task hands back, about
+CHUNK_ROWS = 50_000
 #: bits of an anchor's fingerprint; two anchors that share one only cost work
 FINGERPRINT_BITS = 48
 END = 255 + 1
@@ -58,19 +60,19 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         eight = four[:-4] * power(4) + four[4:]
         piece = (eight[:-12] * power(8) + eight[8:-4]) * power(4) + four[16:]
     value = mix64(piece) >> np.uint64(64 - FINGERPRINT_BITS)
-    least, place = value, np.arange(len(value), dtype=np.int32)
+    # value and place in one number: of equal values the rightmost is the least
+    low = np.uint64((1 << 64 - FINGERPRINT_BITS) - 1)
+    least = value << np.uint64(64 - FINGERPRINT_BITS) | low - (np.arange(len(value), dtype=np.uint64) & low)
     width = 1
-    while width < PLACES:   # the rightmost least value of a growing window
+    while width < PLACES:   # the least value of a growing window
         step = min(width, PLACES - width)
-        left, right = least[:len(least) - step], least[step:]
-        take = right <= left
-        place = np.where(take, place[step:], place[:len(place) - step])
-        least = np.where(take, right, left)
+        least = np.minimum(least[:-step], least[step:])
         width += step
-    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    last = np.append(first[1:], len(place)) - 1
-    at = place[first].astype(np.int64)
-    return at, first, last, value[at].astype(np.int64)
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    last = np.append(first[1:], len(least)) - 1
+    found = least[first]
+    at = first + ((low - (found & low)).astype(np.int64) - first) % (int(low) + 1)
+    return at, first, last, (found >> np.uint64(64 - FINGERPRINT_BITS)).astype(np.int64)
 
 
 def suffix_order(lengths: np.ndarray, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +115,34 @@ def _least_between(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> n
     return out
 
 
+def _likely(fingerprints: np.ndarray, segments: list[bytes], lefts: np.ndarray) -> np.ndarray:
+    """Segments that may share a 50-byte string with another one of the same anchor.
+
+    Of the 30 bytes around the anchor in such a string, 15 or more lie on one side of it, so both segments
+    have the same 15 bytes there.
+    """
+    half = (PLACES - 1) // 2
+    keep = np.zeros(len(segments), bool)
+    for side in (lambda b, k: b[k - half:k] if k >= half else None,
+                 lambda b, k: b[k + ANCHOR:k + ANCHOR + half] if len(b) >= k + ANCHOR + half else None):
+        parts = [side(b, k) for b, k in zip(segments, lefts.tolist())]
+        has = np.flatnonzero([x is not None for x in parts])
+        if len(has):
+            text = np.frombuffer(b"".join(parts[i] for i in has), np.uint8).reshape(len(has), half)
+            rows = np.zeros((len(has), half + 9), np.uint8)
+            rows[:, :half], rows[:, -8:] = text, fingerprints[has].view(np.uint8).reshape(-1, 8)
+            _, back, count = np.unique(rows.view(np.uint64), axis=0, return_inverse=True, return_counts=True)
+            keep[has[count[back.ravel()] > 1]] = True
+    return np.flatnonzero(keep)
+
+
 def repeated_starts(fingerprints: np.ndarray, segments: list[bytes], lefts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(segment, start) of every 50-byte string that is also in a segment with a smaller id."""
-    bodies = [np.frombuffer(s, np.uint8) for s in segments]
+    kept = _likely(fingerprints, segments, lefts)
+    if not len(kept):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    fingerprints, lefts, ids = fingerprints[kept], lefts[kept], ids[kept]
+    bodies = [np.frombuffer(segments[i], np.uint8) for i in kept]
     names = np.unique(fingerprints, return_inverse=True)[1].astype(np.int64) + END + 1
     kind = np.uint16 if names.max(initial=0) < 1 << 16 else np.uint32
     lengths = np.array([len(b) - ANCHOR + 1 for b in bodies], np.int64)
@@ -136,7 +163,7 @@ def repeated_starts(fingerprints: np.ndarray, segments: list[bytes], lefts: np.n
     runs = np.flatnonzero(head)
     least = np.minimum.reduceat(ids[owner], runs)
     again = ids[owner] > np.repeat(least, np.diff(np.append(runs, len(order))))
-    return owner[again], (order - offsets[owner])[again]
+    return kept[owner[again]], (order - offsets[owner])[again]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -150,10 +177,14 @@ def _found(texts: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for cid, text in zip(batch["_cid"], batch["text"]):
+            found, size = [], 0
+            for k, (cid, text) in enumerate(zip(batch["_cid"], batch["text"])):
                 at, first, last, fp = anchors(text.encode("utf-8", "surrogatepass"))
-                if len(at):
-                    yield pd.DataFrame({"fp": fp, "_cid": cid, "at": at << 10 | (at - first) << 5 | (at - last)})
+                found.append((fp, np.full(len(at), cid), at << 10 | (at - first) << 5 | (at - last)))
+                size += len(at)
+                if size > CHUNK_ROWS or k == len(batch) - 1:
+                    yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("fp", "_cid", "at"), zip(*found))})
+                    found, size = [], 0
 
     return texts.select("_cid", "text").mapInPandas(find, "fp long, _cid long, at long")
 
@@ -162,12 +193,17 @@ def _segments(texts: DataFrame, places: DataFrame) -> DataFrame:
     """(_order, _cid, start, left, fp, body, key) of the anchors in ``places`` (_cid, list of at and fp)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("_order", "_cid", "start", "left", "fp")
         for batch in batches:
-            for order, cid, text, ats, fps in zip(*(batch[c] for c in ("_order", "_cid", "text", "ats", "fps"))):
+            found, bodies = [], []
+            for k, (order, cid, text, ats, fps) in enumerate(zip(*(batch[c] for c in ("_order", "_cid", "text", "ats", "fps")))):
                 data, at = text.encode("utf-8", "surrogatepass"), np.asarray(ats, np.int64)
                 place, left, right = at >> 10, at >> 5 & 31, at & 31
-                bodies = [data[s:e] for s, e in zip((place - left).tolist(), (place - right + LENGTH).tolist())]
-                yield pd.DataFrame({"_order": order, "_cid": cid, "start": place - left, "left": left, "fp": np.asarray(fps, np.int64), "body": bodies})
+                bodies += [data[s:e] for s, e in zip((place - left).tolist(), (place - right + LENGTH).tolist())]
+                found.append((np.full(len(at), order), np.full(len(at), cid), place - left, left, np.asarray(fps, np.int64)))
+                if len(bodies) > CHUNK_ROWS or k == len(batch) - 1:
+                    yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(names, zip(*found))} | {"body": bodies})
+                    found, bodies = [], []
 
     got = texts.join(places, "_cid").select("_order", "_cid", "text", "ats", "fps").mapInPandas(
         cut, "_order long, _cid long, start long, left int, fp long, body binary")
