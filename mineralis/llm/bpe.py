@@ -21,9 +21,11 @@ from ..session import cut_lineage
 from .common import let, without
 
 #: bound of the literal of ready-made words
-READY_WORDS = 32_768
-#: lists to a literal: a list holds about one key
+READY_WORDS = 196_608
+#: lists to a literal, powers of two: a list holds a few keys
 RANK_LISTS, WORD_LISTS = 65_536, 32_768
+#: bytes up to which a word takes the fold that looks up every neighbour in every step
+SHORT = 64
 ABSENT = 2**31 - 1
 
 
@@ -42,16 +44,33 @@ def _lists(items: dict[str, object], n: int, kind: str) -> Column:
 
 
 def _look(lists: Column, n: int, key: Column) -> Column:
-    return F.try_element_at(F.get(lists, (F.crc32(key.cast("binary")) % n).cast("int")), key)
+    return F.try_element_at(F.get(lists, F.crc32(key.cast("binary")).bitwiseAND(F.lit(n - 1).cast("long")).cast("int")), key)
 
 
 def _bytes_of(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
-def _fold(ranks: Column, word: Column) -> Column:
-    """Ids of one word, given as the ISO 8859-1 reading of its bytes."""
-    rank = lambda piece: _look(ranks, RANK_LISTS, piece)
+def _short_fold(rank, w: Column, n: Column) -> Column:
+    """Pieces of a word of at most ``SHORT`` bytes, kept as the places where they begin.
+
+    Each step looks all neighbours up; rank and place of the lowest pair travel in one number, and the
+    merge takes the second piece's place away. A step without a pair takes away nothing.
+    """
+
+    def step(places, _):
+        pairs = F.transform(places, lambda s, i: rank(F.substring(w, s, F.get(places, i + 2) - s)).cast("long") * SHORT + i)
+        second = F.get(places, F.array_min(pairs).bitwiseAND(F.lit(SHORT - 1).cast("long")).cast("int") + 1)
+        return F.array_remove(places, F.coalesce(second, F.lit(0)))
+
+    def pieces(places):
+        return F.transform(F.slice(places, 1, F.size(places) - 1), lambda s, i: F.substring(w, s, F.get(places, i + 1) - s))
+
+    return let(F.aggregate(F.sequence(F.lit(2), n), F.sequence(F.lit(1), n + 1), step), pieces)
+
+
+def _long_fold(rank, w: Column, n: Column) -> Column:
+    """Pieces of a longer word: ranks are kept, and only the two beside a merge are looked up again."""
     merge_rank = lambda piece: F.coalesce(rank(piece), F.lit(ABSENT))
 
     def step(acc, _):
@@ -67,15 +86,20 @@ def _fold(ranks: Column, word: Column) -> Column:
             F.concat(F.slice(acc["parts"], 1, p - 1), F.array(merged), F.slice(acc["parts"], p + 2, F.size(acc["parts"]))).alias("parts"),
             F.concat(F.slice(acc["ranks"], 1, F.greatest(p - 2, F.lit(0))), fresh, F.slice(acc["ranks"], p + 2, F.size(acc["parts"]))).alias("ranks"))
 
-    def merged_parts(w):
-        n = F.length(w)
-        chars = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(w, i, F.lit(1)))
-        pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: merge_rank(F.substring(w, i, F.lit(2))))
+    def folded(chars):
+        pairs = F.transform(F.slice(chars, 1, n - 1), lambda c, i: merge_rank(F.concat(c, F.get(chars, i + 1))))
         start = F.struct(chars.alias("parts"), pairs.alias("ranks"))
-        parts = F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda acc: acc["parts"])
-        return F.transform(F.when(n > 1, parts).otherwise(F.array(w)), rank)
+        return F.aggregate(F.sequence(F.lit(2), n), start, step, lambda acc: acc["parts"])
+
+    return let(F.split(w, ""), folded)
+
 
-    return let(word, lambda w: let(rank(w), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(merged_parts(w))))
+def _fold(ranks: Column, word: Column) -> Column:
+    """Ids of one word, given as the ISO 8859-1 reading of its bytes."""
+    rank = lambda piece: _look(ranks, RANK_LISTS, piece)
+    parts = lambda w, n: F.when(n <= SHORT, _short_fold(rank, w, n)).otherwise(_long_fold(rank, w, n))
+    return let(word, lambda w: let(rank(w), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(
+        let(F.length(w), lambda n: F.transform(parts(w, n), rank)))))
 
 
 def _rank_lists(ranks: dict[bytes, int]) -> Column:
