@@ -60,19 +60,16 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         eight = four[:-4] * power(4) + four[4:]
         piece = (eight[:-12] * power(8) + eight[8:-4]) * power(4) + four[16:]
     value = mix64(piece) >> np.uint64(64 - FINGERPRINT_BITS)
-    # value and place in one number: of equal values the rightmost is the least
-    low = np.uint64((1 << 64 - FINGERPRINT_BITS) - 1)
-    least = value << np.uint64(64 - FINGERPRINT_BITS) | low - (np.arange(len(value), dtype=np.uint64) & low)
+    place = np.arange(len(value), dtype=np.int64)
     width = 1
-    while width < PLACES:   # the least value of a growing window
+    while width < PLACES:   # the least value of a growing window; of equal ones the rightmost
         step = min(width, PLACES - width)
-        least = np.minimum(least[:-step], least[step:])
+        right = value[step:] <= value[:-step]
+        value, place = np.where(right, value[step:], value[:-step]), np.where(right, place[step:], place[:-step])
         width += step
-    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    last = np.append(first[1:], len(least)) - 1
-    found = least[first]
-    at = first + ((low - (found & low)).astype(np.int64) - first) % (int(low) + 1)
-    return at, first, last, (found >> np.uint64(64 - FINGERPRINT_BITS)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    last = np.append(first[1:], len(place)) - 1
+    return place[first], first, last, value[first].astype(np.int64)
 
 
 def suffix_order(lengths: np.ndarray, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

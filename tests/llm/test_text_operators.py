@@ -295,6 +295,16 @@ def test_repeats_of_periodic_text(spark):
     assert digest(repeats.remove_repeats(table)) == brute_repeats(rows)
 
 
+def test_repeats_beyond_65536_bytes(spark):
+    rng = random.Random(12)
+    rows = [(0, "x" * 7 + "-" * 55 + "y" * 9)]
+    for k, (line, at) in enumerate((("-" * 55, 65_510), ("-" * 55, 131_050), (" " * 55, 65_520), ("abcdefg" * 8, 65_490)), 1):
+        head = "".join(rng.choices("klmnopqrst", k=at))
+        rows += [(k, head + line + "z"), (k + 10, "u" * k + line + "v")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digest(repeats.remove_repeats(table)) == brute_repeats(rows)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(4)
     lengths = rng.integers(0, 30, 50)
