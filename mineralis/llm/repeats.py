@@ -34,7 +34,7 @@ from .common import mix64
 #: length of a repeat and of an anchor, places of an anchor in a repeat
 LENGTH, ANCHOR = 50, 20
 PLACES = LENGTH - ANCHOR + 1
-#: segments that one task orders, about
+#: segments that one task orders, about; twice as many at most before common anchors are split
 PART_SEGMENTS = 60_000
 #: rows of an Arrow batch that a task hands back, about
 CHUNK_ROWS = 50_000
@@ -207,6 +207,81 @@ def _segments(texts: DataFrame, places: DataFrame) -> DataFrame:
     return got.withColumn("key", F.xxhash64("fp", "left", "body"))
 
 
+def _dealt(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with ``part``, hot rows): parts of about ``PART_SEGMENTS`` rows that keep equal ``name`` together.
+
+    Parts that come out twice as large give up their names of a quarter part or more; those are the hot rows,
+    None if there are none. Only part numbers and the names of the large parts are counted.
+    """
+    parts = max(1, rows.count() // PART_SEGMENTS)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(name), F.lit(parts)))
+    large = cut_lineage(dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * PART_SEGMENTS).select("part"))
+    if large.isEmpty():
+        return dealt, None
+    sizes = dealt.join(large, "part", "left_semi").groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    hot = cut_lineage(sizes.filter(F.col("n") >= max(2, PART_SEGMENTS // 4)).select(name))
+    return dealt.join(hot, name, "left_anti"), dealt.join(hot, name, "left_semi").drop("part")
+
+
+def _sides(rows: DataFrame) -> DataFrame:
+    """Each segment by its 15 bytes left of the anchor and by its 15 bytes right of it, where it has them.
+
+    Of the 30 bytes around the anchor of a 50-byte string, 15 or more lie on one side, so two segments that
+    share the string share ``near`` on that side.
+    """
+    half = (PLACES - 1) // 2
+    near = lambda at: F.substring(F.col("body"), at, F.lit(half))
+    left = F.when(F.col("left") >= half, F.struct(F.lit(True).alias("on_left"), near(F.col("left") - half + 1).alias("bytes")))
+    right = F.when(F.octet_length("body") >= F.col("left") + ANCHOR + half,
+                   F.struct(F.lit(False).alias("on_left"), near(F.col("left") + ANCHOR + 1).alias("bytes")))
+    made = rows.withColumn("side", F.explode(F.filter(F.array(left, right), lambda x: x.isNotNull())))
+    return made.select(*rows.columns, "side.on_left", F.xxhash64("fp", "side.on_left", "side.bytes").alias("near"))
+
+
+def _string_runs(rows: DataFrame) -> DataFrame:
+    """(key, a, b) of rows of ``_sides``: every 50-byte string whose larger part is on the row's side is a
+    key of its own. Minima are partial aggregates, so no task holds the rows of a string."""
+    half = (PLACES - 1) // 2
+    last = F.least(F.octet_length("body") - LENGTH, F.col("left"))
+    low = F.when(F.col("on_left"), F.lit(0)).otherwise(F.greatest(F.col("left") - half + 1, F.lit(0)))
+    high = F.when(F.col("on_left"), F.least(F.col("left") - half, last)).otherwise(last)
+    starts = F.when(low <= high, F.sequence(low, high))
+    strings = rows.select("key", "lowest", "body", F.explode(starts).alias("a")).select(
+        "key", "lowest", F.col("a").cast("long").alias("a"), F.substring(F.col("body"), F.col("a") + 1, F.lit(LENGTH)).alias("string"))
+    least = strings.groupBy("string").agg(F.min("lowest").alias("least"), F.max("lowest").alias("most")).filter("least < most")
+    again = strings.join(cut_lineage(least.select("string", "least")), "string").filter("lowest > least")
+    return again.select("key", "a", (F.col("a") + LENGTH).alias("b"))
+
+
+def _runs(distinct: DataFrame) -> DataFrame:
+    """(key, a, b): runs of bytes of each distinct segment that a segment with a smaller id has too.
+
+    The segments of an anchor are ordered by one task. Those of an anchor with too many of them are dealt by
+    the 15 bytes beside it, and those that have too many even so by the whole 50-byte strings.
+    """
+
+    def order(rows: pd.DataFrame) -> pd.DataFrame:
+        segment, start = repeated_starts(rows["fp"].to_numpy(), rows["body"].tolist(), rows["left"].to_numpy(), rows["lowest"].to_numpy())
+        by = np.lexsort((start, segment))
+        segment, start = segment[by], start[by]
+        new = np.append(True, (segment[1:] != segment[:-1]) | (start[1:] != start[:-1] + 1))[:len(segment)]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(segment))[:len(first)] - 1
+        return pd.DataFrame({"key": rows["key"].to_numpy()[segment[first]], "a": start[first], "b": start[last] + LENGTH})
+
+    def ordered(dealt: DataFrame) -> DataFrame:
+        return dealt.groupBy("part").applyInPandas(order, "key long, a long, b long")
+
+    dealt, hot = _dealt(distinct, "fp")
+    runs = ordered(dealt)
+    if hot is not None:
+        dealt, hot = _dealt(cut_lineage(_sides(hot)), "near")
+        runs = runs.unionByName(ordered(dealt))
+        if hot is not None:
+            runs = runs.unionByName(_string_runs(hot))
+    return runs
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(_cid, lowest, spans) of the texts that hold repeats: ``spans`` is the packed array of (start, stop)
     bytes that go from the text in the document of its lowest id, unmerged."""
@@ -220,18 +295,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     segments = cut_lineage(_segments(own, places))
     distinct = segments.groupBy("key").agg(F.min("_order").alias("lowest"), F.first("fp").alias("fp"), F.first("left").alias("left"), F.first("body").alias("body"))
     distinct = cut_lineage(distinct)
-    parts = max(1, distinct.count() // PART_SEGMENTS)
-
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        segment, start = repeated_starts(rows["fp"].to_numpy(), rows["body"].tolist(), rows["left"].to_numpy(), rows["lowest"].to_numpy())
-        by = np.lexsort((start, segment))
-        segment, start = segment[by], start[by]
-        new = np.append(True, (segment[1:] != segment[:-1]) | (start[1:] != start[:-1] + 1))[:len(segment)]
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(segment))[:len(first)] - 1
-        return pd.DataFrame({"key": rows["key"].to_numpy()[segment[first]], "a": start[first], "b": start[last] + LENGTH})
-
-    runs = distinct.groupBy(F.pmod(F.xxhash64("fp"), F.lit(parts)).alias("part")).applyInPandas(order, "key long, a long, b long")
+    runs = _runs(distinct)
     known = distinct.select("key", "lowest").join(runs.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "key", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
     placed = segments.select("key", "_cid", "_order", "start", F.octet_length("body").cast("long").alias("n")).join(cut_lineage(known), "key")

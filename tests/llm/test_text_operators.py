@@ -305,6 +305,27 @@ def test_repeats_beyond_65536_bytes(spark):
     assert digest(repeats.remove_repeats(table)) == brute_repeats(rows)
 
 
+def test_repeats_of_common_anchors(spark, monkeypatch):
+    """A template piece with many different surroundings, of which some are equal: by anchors, by the bytes
+    beside them, and by strings; no task gets more segments than a few parts' worth."""
+    rng, real = random.Random(13), repeats.repeated_starts
+    piece, names = "<td class='number of the page'>", ["".join(rng.choices("abcdefgh", k=40)) for _ in range(6)]
+    rows = [(k, "".join(rng.choices("ijklmnop", k=35)) + piece + "".join(rng.choices("qrstuvwx", k=35))) for k in range(60)]
+    rows += [(60 + k, rng.choice(names) + piece + "".join(rng.choices("qrstuvwx", k=35))) for k in range(60)]
+    rows += [(120 + k, "".join(rng.choices("ijklmnop", k=35)) + piece + rng.choice(names)) for k in range(60)]
+    rows += [(180 + k, "".join(rng.choices("ab", k=2)) + rng.choice(names[:2]) + piece + rng.choice(names[:2])) for k in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (8, 30):
+
+        def bounded(fingerprints, segments, lefts, ids, most=6 * limit):
+            assert len(segments) <= most, len(segments)
+            return real(fingerprints, segments, lefts, ids)
+
+        monkeypatch.setattr(repeats, "PART_SEGMENTS", limit)
+        monkeypatch.setattr(repeats, "repeated_starts", bounded)
+        assert digest(repeats.remove_repeats(table)) == brute_repeats(rows)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(4)
     lengths = rng.integers(0, 30, 50)
