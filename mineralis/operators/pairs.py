@@ -106,11 +106,32 @@ def nearest_image(pairs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return oriented.groupBy(*keys).agg(F.min("d").alias("d"))
 
 
+def with_radius(points: DataFrame, elements: DataFrame) -> DataFrame:
+    """``points`` with ``radius``; isotopes of hydrogen have its radius, an element that the table does not
+    list has NULL."""
+    radius = elements.select(F.col("symbol").alias("_symbol"), "radius")
+    symbol = F.when(F.col("element").isin("D", "T"), F.lit("H")).otherwise(F.col("element"))
+    return points.withColumn("_of", symbol).join(radius, F.col("_of") == F.col("_symbol"), "left").drop("_of", "_symbol")
+
+
+def radius_state(points: DataFrame, elements: DataFrame) -> DataFrame:
+    """(structure_id, n_atoms, n_unknown, unknown, state) of every structure: how many atoms have no radius,
+    of which elements, and ``unknown`` if there are any, else ``known``. The bonds and clashes of such atoms
+    are unknown, so a structure without any is clean only where the state is ``known``."""
+    lacks = F.col("radius").isNull()
+    per = with_radius(points, elements).groupBy("structure_id").agg(
+        F.count(F.lit(1)).alias("n_atoms"), F.count_if(lacks).alias("n_unknown"),
+        F.array_join(F.sort_array(F.collect_set(F.when(lacks, F.coalesce("element", F.lit("?"))))), ",").alias("unknown"))
+    return per.withColumn("state", F.when(F.col("n_unknown") > 0, "unknown").otherwise("known"))
+
+
 def bonds(points: DataFrame, lattice: DataFrame | None, elements: DataFrame, tol: float, max_radius: float,
           site: str = "atom") -> DataFrame:
-    """Directed bonds d < tol * (r_i + r_j), with elements and radii of both ends."""
-    radius = elements.select(F.col("symbol").alias("element"), "radius")
-    known = points.join(radius, "element")
+    """Directed bonds d < tol * (r_i + r_j), with elements and radii of both ends.
+
+    Atoms without a radius have no bonds here; ``radius_state`` says which structures have such atoms.
+    """
+    known = with_radius(points, elements).filter(F.col("radius").isNotNull())
     carry = ("element", "radius")
     half = half_pairs(known, lattice, 2 * max_radius * tol, site, carry)
     half = half.filter(F.col("d") < tol * (F.col("radius_i") + F.col("radius_j")))

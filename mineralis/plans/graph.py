@@ -69,6 +69,11 @@ def _(spark, sf):
     return bonds(spark, sf).select("structure_id", "i", "j", "element_i", "element_j", F.round("d", 4).alias("d"))
 
 
+@query("radius_state")
+def _(spark, sf):
+    return P.radius_state(V.point(spark, sf), element_table(spark))
+
+
 @query("clashes", """select structure_id, i, j, ei as element_i, ej as element_j, round(d, 2) as d from v_bond
        where i < j and d < (ri + rj) * 0.6""", _B)
 def _(spark, sf):

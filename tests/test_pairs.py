@@ -41,3 +41,15 @@ def test_nearest_image(spark):
     lattice = spark.createDataFrame([("s", CELLS["cube"])], "structure_id string, lattice array<double>")
     rows = P.nearest_image(P.half_pairs(points, lattice, 9.0)).collect()
     assert [(r.i, r.j, round(r.d, 6)) for r in rows] == [(0, 1, 0.8)]
+
+
+def test_atoms_without_a_radius(spark):
+    from mineralis.constants import element_table
+
+    atoms = [("d", 0, 0.0, "O"), ("d", 1, 0.12, "D"), ("ra", 0, 0.0, "Ra"), ("ra", 1, 0.1, "O"), ("ra", 2, 0.5, "Am"), ("ok", 0, 0.0, "H")]
+    points = spark.createDataFrame([(s, i, x, 0.0, 0.0, e) for s, i, x, e in atoms], "structure_id string, atom long, x double, y double, z double, element string")
+    lattice = spark.createDataFrame([(s, CELLS["cube"]) for s in ("d", "ra", "ok")], "structure_id string, lattice array<double>")
+    rows = P.bonds(points, lattice, element_table(spark), 1.25, 0.76).collect()
+    assert sorted((r.structure_id, r.element_i, r.element_j, round(r.d, 2)) for r in rows) == [("d", "D", "O", 0.96), ("d", "O", "D", 0.96)]
+    states = {r.structure_id: (r.n_atoms, r.n_unknown, r.unknown, r.state) for r in P.radius_state(points, element_table(spark)).collect()}
+    assert states == {"d": (2, 0, "", "known"), "ra": (3, 2, "Am,Ra", "unknown"), "ok": (1, 0, "", "known")}
