@@ -74,15 +74,16 @@ def minority_rescue(states: DataFrame, targets: DataFrame) -> DataFrame:
 
 # ---- charge balancing ---------------------------------------------------------------------------
 
-def balance_charge(targets: DataFrame, charges: DataFrame, judge, fixed: DataFrame | None = None,
-                   rounds: int = 80) -> tuple[DataFrame, DataFrame]:
+def balance_charge(targets: DataFrame, charges: DataFrame, judge, fixed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Move single sites between states until each cell is neutral: (targets, status).
 
     ``targets``: structure_id, orbit, state (element), target, n_groups; ``charges``: structure_id,
     state, oxidation; ``judge``: targets -> (structure_id, q, ok), the charge gate on the resulting
     cell. ``fixed``: (structure_id, orbit) that must keep their occupancy. In one round every structure
     takes its best move by (charge magnitude, deviation from the given targets); it stops when its gate
-    passes or no move gains.
+    passes or no move gains, however many rounds that takes. A move gains if it lowers the charge magnitude
+    by its oxidation numbers; if the gate then measures no smaller one, it was the last. So every structure
+    ends: only finitely many charges are smaller than its first.
     """
     keys = ["structure_id", "orbit"]
     table = cut_lineage(targets.select(*keys, "state", F.col("target").cast("long").alias("target"),
@@ -91,7 +92,7 @@ def balance_charge(targets: DataFrame, charges: DataFrame, judge, fixed: DataFra
     start = cut_lineage(judge(table).select("structure_id", F.col("q").alias("q_initial"), F.col("ok").alias("ok_initial")))
     status = start.select("structure_id", F.col("q_initial").alias("q"), F.col("ok_initial").alias("ok"))
     active = status.filter("not ok").select("structure_id", "q")
-    for _ in range(rounds):
+    while True:
         live = table.join(active, "structure_id")
         if fixed is not None:
             live = live.join(fixed, keys, "left_anti")
@@ -111,9 +112,11 @@ def balance_charge(targets: DataFrame, charges: DataFrame, judge, fixed: DataFra
 
         # the states of one orbit with each other: as many as one site has elements
         moves = side("a").filter("target_a > 0").join(side("b"), keys).filter("state_a <> state_b")
-        scored = moves.select(
+        # the charge itself must fall: its rounded size alone could seem to at equal oxidation numbers
+        size = F.abs(F.col("q") - F.col("oxidation_a") + F.col("oxidation_b"))
+        scored = moves.filter(size < F.abs("q") - 1e-9).select(
             "structure_id", "q", F.struct(
-                F.round(F.abs(F.col("q") - F.col("oxidation_a") + F.col("oxidation_b")), 3).alias("size"),
+                F.round(size, 3).alias("size"),
                 (shift("a", -1) + shift("b", 1)).alias("dev"), "orbit", F.col("state_a").alias("leave"), F.col("state_b").alias("enter")).alias("m"))
         best = scored.groupBy("structure_id", "q").agg(F.min("m").alias("m")).filter(
             F.col("m.size") < F.abs("q") - 1e-9).select("structure_id", "m.orbit", "m.leave", "m.enter")
@@ -126,7 +129,10 @@ def balance_charge(targets: DataFrame, charges: DataFrame, judge, fixed: DataFra
         moved = table.join(best.select("structure_id"), "structure_id", "left_semi")
         judged = cut_lineage(judge(moved).select("structure_id", "q", "ok"))
         status = cut_lineage(status.join(judged.select("structure_id"), "structure_id", "left_anti").unionByName(judged))
-        active = judged.filter("not ok").select("structure_id", "q")
+        # a gate whose charge does not follow the moves could send them in a circle
+        fell = judged.join(active.select("structure_id", F.col("q").alias("q_before")), "structure_id").filter(
+            F.abs("q") < F.abs("q_before") - 1e-9)
+        active = cut_lineage(fell.filter("not ok").select("structure_id", "q"))
     deviation = table.groupBy("structure_id").agg(F.sum(F.abs(F.col("target") - F.col("given"))).alias("deviation"))
     final = start.join(status, "structure_id").join(deviation, "structure_id", "left").select(
         "structure_id", "q_initial", F.col("q").alias("q_final"), "ok_initial", F.col("ok").alias("ok_final"),

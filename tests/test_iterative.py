@@ -109,6 +109,34 @@ def test_balance_charge(spark):
     assert {r.structure_id for r in status.collect()} == set(range(8))
 
 
+def test_balance_charge_has_no_round_limit(spark, monkeypatch):
+    """A loop counted by ``range`` would end after one move; 81 real rounds would take minutes."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(D, "range", lambda n: iter((0,)), raising=False)
+    table = spark.createDataFrame([(1, "o", "Li", 8, 8)], "structure_id long, orbit string, state string, target long, n_groups long")
+    charges = spark.createDataFrame([(1, "Li", 1.0)], "structure_id long, state string, oxidation double")
+
+    def judge(t):
+        return t.groupBy("structure_id").agg((F.sum("target") - 6.0).alias("q")).withColumn("ok", F.abs("q") < 0.3)
+
+    rows, _ = D.balance_charge(table, charges, judge)
+    assert [(r.state, r.target) for r in rows.collect()] == [("Li", 6)]
+
+
+def test_balance_charge_ends(spark):
+    """Equal oxidation numbers move nothing; a gate whose charge stays ends the moves."""
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame([(1, "o", "Fe", 3, 6), (1, "o", "Al", 3, 6)], "structure_id long, orbit string, state string, target long, n_groups long")
+    for ox in (0.0, 1.0):
+        charges = spark.createDataFrame([(1, "Fe", ox), (1, "Al", ox)], "structure_id long, state string, oxidation double")
+        rows, status = D.balance_charge(table, charges, lambda t: t.select("structure_id").distinct().select(
+            "structure_id", F.lit(5.0004).alias("q"), F.lit(False).alias("ok")))
+        assert sum(r.target for r in rows.collect()) == (6 if ox == 0 else 5)
+        assert [(r.q_final, r.ok_final) for r in status.collect()] == [(5.0004, False)]
+
+
 def test_sibling_search_matches_all_pairs(spark):
     rng = random.Random(2)
     rows = [(i, "hot" if rng.random() < 0.5 else f"k{rng.randint(0, 9)}" if rng.random() < 0.9 else None, rng.randint(1, 4),
