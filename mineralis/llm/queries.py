@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neardup, outliers, repeats, secrets, topk, toxicity, twins, warc
+from . import audit, bpe, hardneg, langid, mixing, neardup, outliers, repeats, secrets, simhash, topk, toxicity, twins, warc
 from ..session import cut_lineage
 from .common import remainder
 
@@ -93,7 +93,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("position", "doc_id")
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_toxicity, op2_topk, op3_neardup, op4_outliers, op5_bpe, op6_repeats, op7_secrets, op8_warc, op9_langid, op10_mixing)
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the component of near copies that it belongs to."""
+    return simhash.near_copies(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op12_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh vector first takes the next label."""
+    table = _read(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("long"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hardneg.labelled(table.withColumn("label", moved))
+    return hardneg.mine(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each source at each step of all 120 orders."""
+    return audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op1_toxicity, op2_topk, op3_neardup, op4_outliers, op5_bpe, op6_repeats, op7_secrets, op8_warc, op9_langid, op10_mixing,
+    op11_simhash, op12_hardneg, op13_filter_audit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

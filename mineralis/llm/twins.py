@@ -56,4 +56,52 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-SQL = {"op2_topk": OP2, "op8_warc": OP8, "op10_mixing": OP10}
+OP12 = r"""
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null and label is not null),
+s as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_inner_product(a.v::double[], c.v::double[])::bigint as score
+  from v a join v c on a.vec_id % 50 = 0 and c.vec_id <> a.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+         row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id)::int as rank
+  from p join s using (anchor_id) where not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+# counted document by document: each order keeps the documents that no earlier filter of it rejects
+OP13 = r"""
+with d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as words from documents),
+f as (
+  select doc_id, part, len(words) < 200 as a, 100 * len(list_distinct(words)) < 50 * len(words) as b,
+         100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) as c, regexp_matches(text, '[#$%&*|]') as d,
+         coalesce(doc_id > min(doc_id) over (partition by text), false) as e from d),
+l as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as bad from labels group by doc_id),
+m as (
+  select part, [a, b, c, d, e] as fails, count(*) as n, count(*) filter (coalesce(good, false)) as good, count(*) filter (coalesce(bad, false)) as bad
+  from f left join l using (doc_id) group by all),
+letter as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select p.x || q.x || r.x || s.x || t.x as filter_order from letter p, letter q, letter r, letter s, letter t
+           where len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+stepped as (
+  select filter_order, step, ascii(filter_order[step]) - 64 as own, list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) as earlier
+  from orders, (select unnest(range(1, 6)) as step)),
+judged as (
+  select part, filter_order, step, own, n, good, bad, fails[own] as hit, len(list_filter(earlier, lambda k: fails[k])) > 0 as gone,
+         len(list_filter(fails, lambda y: y)) = 1 and fails[own] as lone from m, stepped),
+counted as (
+  select part, filter_order, step, own, sum(case when not gone and not hit then n else 0 end)::bigint as kept,
+         sum(case when not gone and hit then n else 0 end)::bigint as removed, sum(case when gone and hit then n else 0 end)::bigint as redundant,
+         sum(case when lone then n else 0 end)::bigint as unique_fails, sum(case when not gone and hit then good else 0 end)::bigint as good_lost,
+         sum(case when not gone and hit then bad else 0 end)::bigint as toxic_lost from judged group by part, filter_order, step, own)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, own))::bigint as shapley from counted
+"""
+
+SQL = {"op12_hardneg": OP12, "op13_filter_audit": OP13, "op2_topk": OP2, "op8_warc": OP8, "op10_mixing": OP10}

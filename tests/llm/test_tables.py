@@ -157,11 +157,11 @@ def test_query_names(spark):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
 
 
-@pytest.mark.parametrize("name", ["op2_topk", "op8_warc", "op10_mixing"])
+@pytest.mark.parametrize("name", ["op2_topk", "op8_warc", "op10_mixing", "op12_hardneg", "op13_filter_audit"])
 def test_sql_twins(spark, name):
     from mineralis import llm
     from oracle_check import compare, duck
