@@ -12,7 +12,7 @@ inequality of Cauchy and Schwarz). The interval is a proof, not an estimate of t
 the wanted range of scores is left out, all others are scored in integers.
 
 Anchors are a stated set that meets all rows in blocks. A cell is one pack of anchors with one slot of
-blocks, both of bounded size; its hits are few for each anchor and are merged by rank.
+blocks, both filled up to a bounded number of rows; its hits are few for each anchor and are merged by rank.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ POSITIVES, NEGATIVES = 5, 3
 #: percent of the positive's score between which a negative is hard and not itself a likely positive
 LEAST_SHARE, MOST_SHARE = 50, 95
 #: bytes and rows of a block, blocks of a slot, anchors of a pack, anchors that meet a block at a time
-BLOCK_BYTES, BLOCK_ROWS, SLOT_BLOCKS, PACK_ROWS, TILE = 4 << 20, 4096, 4, 512, 64
+BLOCK_BYTES, BLOCK_ROWS, SLOT_BLOCKS, PACK_ROWS, TILE = 4 << 20, 2048, 4, 256, 64
 #: rotations of a code (bits for each coordinate), bit planes of an anchor, rows scored first for a floor
 ROTATIONS, PLANES, LEADS = 4, 7, 16
 
 BLOCK = "part int, k int, ids binary, labels binary, rows binary, kind string, width int, centre binary, codes binary, about binary, known array<long>"
-PACK = "pack long, ids binary, labels binary, rows binary, kind string, width int, known array<long>"
+PACK = "part int, k int, ids binary, labels binary, rows binary, kind string, width int, known array<long>"
 
 
 def labelled(table: DataFrame, vector: str = "embedding", factor: int = 256) -> DataFrame:
@@ -169,8 +169,8 @@ def _cut(table: DataFrame, width: int, most: int, coded: bool) -> DataFrame:
                 line[:len(r[2])] = r[2]
             small, known = _narrow(rows), np.unique(labels).tolist()
             if not coded:
-                return pd.DataFrame([((part << 32) + k, ids.tobytes(), labels.tobytes(), small.tobytes(), small.dtype.str, width, known)],
-                                    columns=["pack", "ids", "labels", "rows", "kind", "width", "known"])
+                return pd.DataFrame([(part, k, ids.tobytes(), labels.tobytes(), small.tobytes(), small.dtype.str, width, known)],
+                                    columns=["part", "k", "ids", "labels", "rows", "kind", "width", "known"])
             centre, codes, about = encode(rows, turns)
             return pd.DataFrame([(part, k, ids.tobytes(), labels.tobytes(), small.tobytes(), small.dtype.str, width,
                                   centre.tobytes(), codes.tobytes(), about.tobytes(), known)],
@@ -188,15 +188,17 @@ def _cut(table: DataFrame, width: int, most: int, coded: bool) -> DataFrame:
     return cut_lineage(dealt.mapInPandas(cut, BLOCK if coded else PACK))
 
 
-def _slots(blocks: DataFrame) -> tuple[DataFrame, int]:
-    """``blocks`` with ``slot``, numbered from 0, and the number of slots. The driver sees one count for each
-    partition of the blocks, whose number is a setting."""
-    counts = {r.part: -(-r.n // SLOT_BLOCKS) for r in blocks.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+def _filled(blocks: DataFrame, name: str, most: int, rows: int) -> tuple[DataFrame, int]:
+    """``blocks`` of at most ``most`` rows with column ``name``, the number of a group of blocks that follow
+    each other and begin within the same ``rows`` rows, and how many groups there are. However finely the
+    table was partitioned, groups are full. The driver sees one count for each partition, whose number is a setting.
+    """
+    counts = {r.part: int(r.n) for r in blocks.groupBy("part").agg(F.sum(F.octet_length("ids") / 8).alias("n")).collect()}
     first, total = {}, 0
     for part in sorted(counts):
         first[part], total = total, total + counts[part]
-    start = F.element_at(F.array(*[F.lit(first.get(p, 0)) for p in range(max(counts, default=0) + 1)]), F.col("part") + 1)
-    return blocks.withColumn("slot", (start + F.floor(F.col("k") / SLOT_BLOCKS)).cast("int")), total
+    start = F.element_at(F.array(*[F.lit(first.get(p, 0)).cast("long") for p in range(max(counts, default=0) + 1)]), F.col("part") + 1)
+    return blocks.withColumn(name, F.floor((start + F.col("k") * most) / rows).cast("int")), -(-total // rows)
 
 
 # ---- cells ---------------------------------------------------------------------------------------
@@ -233,22 +235,23 @@ def pick(score, low: np.ndarray, up: np.ndarray, ids: np.ndarray, usable: np.nda
 
 
 def _cells(pairs: DataFrame, packs: DataFrame, blocks: DataFrame, work, schema: str) -> DataFrame:
-    """``work`` on each (pack, slot): one pack with at most ``SLOT_BLOCKS`` blocks."""
+    """``work`` on each (pack, slot), both of a bounded number of rows."""
     pairs = cut_lineage(pairs)
     left = pairs.join(packs, "pack").groupBy("pack", "slot")
-    renamed = pairs.toDF("_pack", "slot").join(blocks.drop("part", "k", "known"), "slot")
+    renamed = pairs.toDF("_pack", "slot").join(blocks.drop("known"), "slot")
     right = renamed.withColumns({"_slot": F.col("slot")}).drop("slot").groupBy("_pack", "_slot")
     return left.cogroup(right).applyInPandas(work, schema)
 
 
 def _hits(pack: pd.DataFrame, blocks: pd.DataFrame, wanted, same: bool, k: int) -> Iterator[tuple]:
     """(q, anchor's id, place of the window, id, score) of one cell; ``wanted`` gives an anchor's windows."""
-    p, turns = pack.iloc[0], Turns(int(pack["width"].iat[0]))
-    names, labels = np.frombuffer(p["ids"], np.int64), np.frombuffer(p["labels"], np.int64)
-    anchors = _matrix(p["ids"], p["rows"], p["kind"], p["width"]).astype(np.int64)
+    joined = lambda side, c: np.concatenate([np.frombuffer(x, np.int64) for x in side[c]])
+    matrix = lambda side: np.concatenate([_matrix(b.ids, b.rows, b.kind, b.width) for b in side.itertuples()])
+    pack = pack.sort_values(["part", "k"])   # so that ``q`` names the same anchor in every cell
+    names, labels, anchors = joined(pack, "ids"), joined(pack, "labels"), matrix(pack).astype(np.int64)
+    turns = Turns(anchors.shape[1])
     asked = Asked(anchors, turns)
-    rows = np.concatenate([_matrix(b.ids, b.rows, b.kind, b.width) for b in blocks.itertuples()])
-    ids, kinds = (np.concatenate([np.frombuffer(b, np.int64) for b in blocks[c]]) for c in ("ids", "labels"))
+    ids, kinds, rows = joined(blocks, "ids"), joined(blocks, "labels"), matrix(blocks)
     parts = [(np.frombuffer(b.centre), np.frombuffer(b.codes, np.uint64).reshape(-1, turns.words), np.frombuffer(b.about).reshape(4, -1)) for b in blocks.itertuples()]
     for start in range(0, len(names), TILE):
         tile = range(start, min(start + TILE, len(names)))
@@ -300,19 +303,19 @@ def mine(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     width = rows.agg(F.max(F.size("v")).alias("w")).first().w or 0
     width = max(1, width, anchors.agg(F.max(F.size("v")).alias("w")).first().w or 0)
     fits = lambda most: max(1, min(most, BLOCK_BYTES // (8 * width)))
-    blocks, n_slots = _slots(_cut(rows, width, fits(BLOCK_ROWS), True))
-    packs = _cut(anchors, width, fits(PACK_ROWS), False)
+    blocks, n_slots = _filled(_cut(rows, width, fits(BLOCK_ROWS), True), "slot", fits(BLOCK_ROWS), SLOT_BLOCKS * fits(BLOCK_ROWS))
+    packs, _ = _filled(_cut(anchors, width, fits(PACK_ROWS), False), "pack", fits(PACK_ROWS), fits(PACK_ROWS))
     known = lambda table, name: table.select(name, F.explode("known").alias("label")).distinct()
     meets = known(packs, "pack").join(known(blocks, "slot"), "label").select("pack", "slot").distinct()
     given = packs.drop("known")
     best = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))
-    schema = "pack long, q int, anchor_id long, place int, vec_id long, score long"
+    schema = "pack int, q int, anchor_id long, place int, vec_id long, score long"
     found = _cells(meets, given, blocks, _positives, schema)
     positives = cut_lineage(found.withColumn("place", best("pack", "q")).filter(F.col("place") <= POSITIVES))
-    # at most PACK_ROWS anchors with POSITIVES windows each
+    # fewer than twice PACK_ROWS anchors with POSITIVES windows each
     windows = positives.groupBy("pack").agg(F.collect_list(F.struct("q", "place", "score")).alias("windows"))
     asking = given.join(windows, "pack")
-    every = packs.select("pack", F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("slot")) if n_slots else packs.select("pack", F.lit(0).alias("slot"))
+    every = packs.select("pack").distinct().select("pack", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_slots - 1)))).alias("slot"))
     hits = _cells(every, asking, blocks, _negatives, schema)
     ranked = hits.withColumn("rank", best("pack", "q", "place")).filter(F.col("rank") <= NEGATIVES)
     ranked = ranked.select("pack", "q", "place", "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
