@@ -240,7 +240,9 @@ def links(distinct: DataFrame) -> DataFrame:
     trees = cut_lineage(_trees(seats(distinct, n)))
     packs = trees.select("mask", "value", F.explode(F.sequence(F.lit(0), F.floor((F.col("nodes") - 1) / SEARCHERS).cast("int"))).alias("pack"))
     small = _size_of_trees(trees) <= BROADCAST_BYTES
-    met = packs.repartition("mask", "value", "pack").join(F.broadcast(trees) if small else trees, ["mask", "value"])
+    # a number, so that these small rows with long searches are not put together in one task
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = packs.repartition(parts, "mask", "value", "pack").join(F.broadcast(trees) if small else trees, ["mask", "value"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
