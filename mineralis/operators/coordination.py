@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from ..constants import (ANIONS, BV_MIN_DEFICIT, BV_NEIGHBOUR_CUT, CLASH_FACTOR, COUPLE_DEFAULT_CUT,
                          DUPLICATE_FLOOR, FORMERS, LIGANDS, PROTON_ACCEPTORS, STRETCH_FACTOR,
                          SUPERPOSITION_RATIO, UNIT_PREVALENCE)
+from .pairs import half_pairs, nearest, nearest_image, with_radius
 
 
 def _is(column: str, symbols) -> Column:
@@ -339,38 +340,57 @@ def former_anion_cut(contacts: DataFrame, structures: DataFrame, override: float
                          state.alias("state"))
 
 
-def full_occ_clash(points: DataFrame, bonds: DataFrame, ratio: float = SUPERPOSITION_RATIO,
-                   floor: float = DUPLICATE_FLOOR) -> DataFrame:
-    """Impossible contacts between fully occupied sites. ``points`` / ``bonds`` hold only those sites.
+def full_occ_clash(points: DataFrame, elements: DataFrame, ratio: float = SUPERPOSITION_RATIO,
+                   floor: float = DUPLICATE_FLOOR, listed: int = 8) -> DataFrame:
+    """Impossible contacts between fully occupied sites: the least ratio of distance to the sum of radii over
+    all pairs of a structure, at any distance, the numbers of impossible and of coincident pairs, the
+    ``listed`` worst of each, and two flags.
 
-    Ratios are looked for within bond reach; a structure without any pair that close has none.
+    ``points``: structure_id, atom, element, x, y, z, lattice of those sites only. A pair counts with its
+    nearest image. Pairs below ``floor`` are coincident and have no ratio, and neither have atoms of elements
+    without a radius: ``n_no_radius`` counts them. A structure without a pair has NULL ratio.
     """
+    known = with_radius(points, elements)
+    sized = known.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_sites"), F.count_if(F.col("radius").isNull()).alias("n_no_radius"),
+                                              F.max("radius").alias("widest"))
+    known = known.join(sized.select("structure_id", "widest"), "structure_id")
+    carry = ("element", "radius", "widest")
     rho = F.col("d") / (F.col("radius_i") + F.col("radius_j"))
-    pairs = bonds.filter("i < j").withColumn("rho", rho).withColumn(
-        "pair", F.when(F.col("d") >= floor, F.concat_ws("-", "element_i", "element_j")))
-    stat = pairs.groupBy("structure_id").agg(
-        F.min(F.when(F.col("d") >= floor, F.struct(F.round("rho", 4).alias("rho"), "i", "j", "pair"))).alias("m"),
-        F.count_if((F.col("d") >= floor) & (F.col("rho") < ratio)).alias("n_impossible"),
-        F.count_if(F.col("d") < floor).alias("n_coincident"))
-    n = points.groupBy("structure_id").agg(F.count(F.lit(1)).alias("n_sites"))
-    return n.join(stat, "structure_id", "left").select(
-        "structure_id", "n_sites", F.round("m.rho", 3).alias("rho_min"), F.col("m.pair").alias("rho_min_pair"),
-        F.coalesce("n_impossible", F.lit(0)).alias("n_impossible"), F.coalesce("n_coincident", F.lit(0)).alias("n_coincident"))
-
-
-def minority_dispersal(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Mean nearest distance among minority sites over the orbit's nearest distance.
-
-    ``members``: structure_id, orbit, atom, is_minority; ``pairs``: unordered with orbit_i/j and
-    is_minority_i/j, within the search cutoff.
+    # a pair out of reach has at least the ratio of two of the widest atoms just there
+    lowest = nearest(known.filter(F.col("radius").isNotNull()), ["structure_id"], "group", carry=carry,
+                     measure=lambda: F.when(F.col("d") >= floor, F.round(rho, 4)), least=lambda reach: F.round(reach / (2 * F.col("widest_i")), 4))
+    name = F.concat_ws("-", "element_i", "element_j")   # of equal ratios the lower i comes first, so i < j
+    lowest = lowest.select("structure_id", F.round("value", 3).alias("rho_min"), name.alias("rho_min_pair"))
+    widest = known.agg(F.max("widest")).first()[0] or 0.0
+    close = nearest_image(half_pairs(known, None, max(floor, 2 * ratio * widest) + 1e-9, "atom", carry), carry).withColumn("rho", rho)
+    kind = F.when(F.col("d") < floor, "coincident").when(F.col("rho") < ratio, "impossible")
+    close = close.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    worst = F.when(F.col("kind") == "coincident", F.round("d", 4)).otherwise(F.round("rho", 3))
+    order = W.partitionBy("structure_id", "kind").orderBy(worst, "i", "j")
+    counts = close.groupBy("structure_id").agg(F.count_if(F.col("kind") == "impossible").alias("n_impossible"), F.count_if(F.col("kind") == "coincident").alias("n_coincident"))
+    top = close.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= listed)
+    text = F.when(F.col("kind") == "coincident", F.format_string("%s d=%.4f", F.concat_ws("-", "element_i", "element_j"), F.round("d", 4))).otherwise(
+        F.format_string("%s d=%.3f sum=%.3f rho=%.3f", F.concat_ws("-", "element_i", "element_j"), F.round("d", 3), F.round(F.col("radius_i") + F.col("radius_j"), 3), F.round("rho", 3)))
+    lists = top.groupBy("structure_id").agg(*[   # at most ``listed`` of each kind
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", text.alias("text"))))), lambda r: r["text"]).alias(k) for k in ("impossible", "coincident")])
+    out = sized.join(lowest, "structure_id", "left").join(counts, "structure_id", "left").join(lists, "structure_id", "left")
+    none = F.array().cast("array<string>")
+    n_bad, n_same = (F.coalesce(c, F.lit(0)) for c in ("n_impossible", "n_coincident"))
+    return out.select(
+        "structure_id", "n_sites", "n_no_radius", "rho_min", "rho_min_pair", n_bad.alias("n_impossible"), n_same.alias("n_coincident"),
+        F.coalesce("impossible", none).alias("impossible"), F.coalesce("coincident", none).alias("coincident"),
+        F.when(n_bad > 0, "superposition").alias("flag"), F.when(n_same > 0, "duplicate").alias("dup_flag"))
+
+
+def minority_dispersal(members: DataFrame) -> DataFrame:
+    """Mean nearest distance among minority sites over the orbit's nearest distance, at any distance.
+
+    ``members``: structure_id, orbit, atom, is_minority, x, y, z, lattice.
     """
-    same = pairs.filter("orbit_i = orbit_j")
-    orbit_nn = same.groupBy("structure_id", F.col("orbit_i").alias("orbit")).agg(F.min("d").alias("orbit_nn"))
-    minor = same.filter("is_minority_i and is_minority_j").select(
-        "structure_id", F.col("orbit_i").alias("orbit"), "d", F.explode(F.array("i", "j")).alias("atom"))
-    nearest = minor.groupBy("structure_id", "orbit", "atom").agg(F.min("d").alias("nn"))
-    mean = nearest.groupBy("structure_id", "orbit").agg(F.avg("nn").alias("mean_nn"))
-    n = members.filter("is_minority").groupBy("structure_id", "orbit").agg(F.count(F.lit(1)).alias("n_minority"))
-    return n.join(mean, ["structure_id", "orbit"], "left").join(orbit_nn, ["structure_id", "orbit"], "left").select(
-        "structure_id", "orbit", "n_minority",
-        F.when(F.col("n_minority") >= 2, F.round(F.col("mean_nn") / F.col("orbit_nn"), 2)).alias("dispersal"))
+    keys = ["structure_id", "orbit"]
+    orbit_nn = nearest(members, keys, "group").select(*keys, F.col("d").alias("orbit_nn"))
+    among = nearest(members.filter("is_minority"), keys, "site")
+    mean = among.groupBy(*keys).agg(F.avg("d").alias("mean_nn"))
+    n = members.filter("is_minority").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_minority"))
+    return n.join(mean, keys, "left").join(orbit_nn, keys, "left").select(
+        *keys, "n_minority", F.when((F.col("n_minority") >= 2) & (F.col("orbit_nn") > 1e-6), F.round(F.col("mean_nn") / F.col("orbit_nn"), 2)).alias("dispersal"))

@@ -39,8 +39,10 @@ def minority_rescue(states: DataFrame, targets: DataFrame) -> DataFrame:
     """Give each element its rounded global count by demoting majority states.
 
     ``states``: structure_id, orbit, state (element), prob, n_groups of single-role orbits;
-    ``targets``: structure_id, orbit, state, target. Elements take their turn in alphabetical order
-    and move one unit per round; every structure that still lacks something moves in the same round.
+    ``targets``: structure_id, orbit, state, target. Elements take their turn in alphabetical order. Unit by
+    unit, the orbit that lacks most of the element takes one from its most numerous other state; what an orbit
+    lacks and what a state has fall by one with each unit, so all units of an element are the first of one
+    sorted list and move at once. There are as many rounds as one structure has elements that move.
     -> targets after the rescue, zero counts dropped.
     """
     keys = ["structure_id", "orbit"]
@@ -50,40 +52,67 @@ def minority_rescue(states: DataFrame, targets: DataFrame) -> DataFrame:
     open_ = cut_lineage(table.groupBy("structure_id", F.col("state").alias("element")).agg(expected.alias("e")).select(
         "structure_id", "element",
         F.greatest(F.bround(F.round("e", 9)), F.when(F.col("e") > 1e-6, 1).otherwise(0)).cast("long").alias("want")))
+    unit = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     while True:
         have = table.groupBy("structure_id", "state").agg(F.sum("target").alias("have"))
-        lacking = open_.join(have.withColumnRenamed("state", "element"), ["structure_id", "element"]).filter("have < want")
-        host = table.join(lacking.select("structure_id", F.col("element").alias("state")), ["structure_id", "state"]) \
-            .filter("target < n_groups").select(*keys, "state", (F.round(F.col("prob") * F.col("n_groups") - F.col("target"), 9)).alias("lack"))
-        donor = table.select(*keys, F.col("state").alias("give"), F.col("target").alias("give_n")).filter("give_n > 0")
-        # states of one orbit pair up: at most the elements of one site with each other
-        offer = host.join(donor, keys).filter("give <> state").groupBy(*keys, "state", "lack").agg(
-            F.min(F.struct((-F.col("give_n")).alias("g"), "give")).getField("give").alias("give"))
-        # the first element with an offer moves; the ones before it had their turn without one
-        per_element = offer.groupBy("structure_id", "state").agg(F.max(F.struct("lack", "orbit", "give")).alias("m"))
-        move = cut_lineage(per_element.groupBy("structure_id").agg(F.min(F.struct("state", "m")).alias("f")).select(
-            "structure_id", F.col("f.m.orbit").alias("orbit"), F.col("f.state").alias("take"), F.col("f.m.give").alias("give")))
-        if move.isEmpty():
+        lacking = open_.join(have.withColumnRenamed("state", "element"), ["structure_id", "element"]).filter("have < want").select(
+            "structure_id", F.col("element").alias("state"), (F.col("want") - F.col("have")).alias("short"))
+        rows = table.groupBy(*keys).agg(F.sum("target").alias("all"))
+        host = table.join(lacking, ["structure_id", "state"]).join(rows, keys).withColumn(
+            "room", F.least("short", F.col("n_groups") - F.col("target"), F.col("all") - F.col("target"))).filter("room > 0")
+        # the first element that can move does; the ones before it had their turn
+        turn = host.groupBy("structure_id").agg(F.min("state").alias("state"))
+        host = cut_lineage(host.join(turn, ["structure_id", "state"]))
+        if host.isEmpty():
             break
-        step = (F.when(F.col("state") == F.col("take"), 1).when(F.col("state") == F.col("give"), -1).otherwise(0))
-        table = cut_lineage(table.join(move, keys, "left").select(
-            *keys, "state", "prob", "n_groups", (F.col("target") + F.coalesce(step, F.lit(0))).alias("target")))
-        open_ = cut_lineage(open_.join(move.select("structure_id", "take"), "structure_id").filter("element >= take").drop("take"))
+        lack = F.round(F.col("prob") * F.col("n_groups") - F.col("target") - F.col("u"), 9).alias("lack")
+        taken = host.withColumn("u", unit(F.col("room"))).select(*keys, "state", "short", lack)
+        first = W.partitionBy("structure_id").orderBy(F.desc("lack"), F.desc("orbit"))
+        taken = taken.withColumn("rank", F.row_number().over(first)).filter("rank <= short").groupBy(*keys, "state").agg(F.count(F.lit(1)).alias("k"))
+        taken = cut_lineage(taken)
+        giver = table.join(taken.select(*keys, F.col("state").alias("take"), "k"), keys).filter("state <> take and target > 0")
+        piece = giver.withColumn("u", unit(F.least("k", "target"))).select(*keys, "state", "k", (F.col("target") - F.col("u")).alias("level"))
+        most = W.partitionBy(*keys).orderBy(F.desc("level"), "state")
+        given = piece.withColumn("rank", F.row_number().over(most)).filter("rank <= k").groupBy(*keys, "state").agg((-F.count(F.lit(1))).alias("k"))
+        step = taken.unionByName(given)
+        table = cut_lineage(table.join(step, [*keys, "state"], "left").select(
+            *keys, "state", "prob", "n_groups", (F.col("target") + F.coalesce("k", F.lit(0))).alias("target")))
+        open_ = cut_lineage(open_.join(turn, "structure_id").filter("element > state").drop("state"))
     return table.filter("target > 0").select(*keys, "state", "target")
 
 
 # ---- charge balancing ---------------------------------------------------------------------------
 
+def _times(leave: str, enter: str) -> Column:
+    """How often the move may be made at once and be the best move each time.
+
+    Until the charge would change its sign, the state that is left would be emptied or one that is entered
+    was empty, and up to where the targets of either meet the given ones, the moves' order does not change.
+    """
+    now, given = (lambda s: F.col(f"target_{s}")), (lambda s: F.col(f"given_{s}"))
+    ends = [F.greatest(F.lit(1), F.floor((F.abs("q") + 1e-6) / F.abs(F.col(f"oxidation_{enter}") - F.col(f"oxidation_{leave}")))),
+            F.greatest(F.lit(1), now(leave) - 1),
+            F.when(now(leave) > given(leave), now(leave) - given(leave)).when(now(leave) == given(leave), 1),
+            F.when(now(enter) < given(enter), given(enter) - now(enter)).when(now(enter) == given(enter), 1),
+            F.when(now(enter) == 0, 1)]
+    return F.least(*[e.cast("long") for e in ends])   # NULLs set no limit
+
+
 def balance_charge(targets: DataFrame, charges: DataFrame, judge, fixed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Move single sites between states until each cell is neutral: (targets, status).
 
     ``targets``: structure_id, orbit, state (element), target, n_groups; ``charges``: structure_id,
     state, oxidation; ``judge``: targets -> (structure_id, q, ok), the charge gate on the resulting
-    cell. ``fixed``: (structure_id, orbit) that must keep their occupancy. In one round every structure
-    takes its best move by (charge magnitude, deviation from the given targets); it stops when its gate
-    passes or no move gains, however many rounds that takes. A move gains if it lowers the charge magnitude
-    by its oxidation numbers; if the gate then measures no smaller one, it was the last. So every structure
-    ends: only finitely many charges are smaller than its first.
+    cell. ``fixed``: (structure_id, orbit) that must keep their occupancy. Site by site, every structure
+    takes its best move by (charge magnitude, deviation from the given targets) until its gate passes or no
+    move gains. A move gains if it lowers the charge magnitude by its oxidation numbers; if the gate then
+    measures no smaller one, it was the last. So every structure ends.
+
+    Moves of one pair of states that would follow each other are made at once: a move stays the best while the
+    charge keeps its sign, no deviation turns round and no state is emptied or newly taken (``_times``). The
+    gate's verdict is taken to change at most once on the way; the first number of moves that passes is found
+    by halving. Moves of which the gate does not measure the sum of their charges are made singly. The rounds
+    so are bounded by the pairs of states, not by the sites.
     """
     keys = ["structure_id", "orbit"]
     table = cut_lineage(targets.select(*keys, "state", F.col("target").cast("long").alias("target"),
@@ -116,18 +145,41 @@ def balance_charge(targets: DataFrame, charges: DataFrame, judge, fixed: DataFra
         size = F.abs(F.col("q") - F.col("oxidation_a") + F.col("oxidation_b"))
         scored = moves.filter(size < F.abs("q") - 1e-9).select(
             "structure_id", "q", F.struct(
-                F.round(size, 3).alias("size"),
-                (shift("a", -1) + shift("b", 1)).alias("dev"), "orbit", F.col("state_a").alias("leave"), F.col("state_b").alias("enter")).alias("m"))
-        best = scored.groupBy("structure_id", "q").agg(F.min("m").alias("m")).filter(
-            F.col("m.size") < F.abs("q") - 1e-9).select("structure_id", "m.orbit", "m.leave", "m.enter")
-        best = cut_lineage(best)
+                F.round(size, 3).alias("size"), (shift("a", -1) + shift("b", 1)).alias("dev"), "orbit", F.col("state_a").alias("leave"), F.col("state_b").alias("enter"),
+                (F.col("oxidation_b") - F.col("oxidation_a")).alias("delta"), _times("a", "b").alias("times")).alias("m"))
+        best = scored.groupBy("structure_id", "q").agg(F.min("m").alias("m"), F.collect_set(F.round("m.delta", 6)).alias("deltas")).filter(F.col("m.size") < F.abs("q") - 1e-9)
+        # charges that rounding could take for equal at one count and not at another
+        gap = F.transform("deltas", lambda d: F.abs(d - F.col("m.delta")))
+        blurred = F.exists(gap, lambda g: (g > 1e-5) & (g < 0.003)) | (F.abs("m.delta") < 0.003)
+        best = cut_lineage(best.select("structure_id", "q", "m.orbit", "m.leave", "m.enter", "m.delta", F.when(blurred, 1).otherwise(F.col("m.times")).cast("long").alias("times")))
         if best.isEmpty():
             break
-        step = F.when(F.col("state") == F.col("leave"), -1).when(F.col("state") == F.col("enter"), 1).otherwise(0)
-        table = cut_lineage(table.join(best, keys, "left").select(
-            *keys, "state", (F.col("target") + F.coalesce(step, F.lit(0))).alias("target"), "given", "n_groups"))
-        moved = table.join(best.select("structure_id"), "structure_id", "left_semi")
-        judged = cut_lineage(judge(moved).select("structure_id", "q", "ok"))
+
+        def after(move):
+            step = F.when(F.col("state") == F.col("leave"), -F.col("times")).when(F.col("state") == F.col("enter"), F.col("times")).otherwise(0)
+            return table.join(move, keys, "left").select(*keys, "state", (F.col("target") + F.coalesce(step, F.lit(0))).alias("target"), "given", "n_groups")
+
+        def judged_after(move):
+            those = after(move.select(*keys, "leave", "enter", "times")).join(move.select("structure_id"), "structure_id", "left_semi")
+            return cut_lineage(judge(cut_lineage(those)).select("structure_id", "q", "ok"))
+
+        judged = judged_after(best)
+        many = cut_lineage(best.filter("times > 1").join(judged.withColumnRenamed("q", "q_new"), "structure_id"))
+        if not many.isEmpty():
+            odd = F.abs(F.col("q_new") - F.col("q") - F.col("times") * F.col("delta")) > 0.002
+            span = cut_lineage(many.filter(odd | F.col("ok")).select(
+                *keys, "leave", "enter", F.lit(0).cast("long").alias("low"), F.when(odd, 1).otherwise(F.col("times")).cast("long").alias("times")))
+            while not (wide := span.filter("times - low > 1")).isEmpty():
+                half = wide.withColumn("high", F.col("times")).withColumn("times", F.floor((F.col("low") + F.col("times")) / 2))
+                seen = judged_after(half).select("structure_id", "ok")
+                narrow = half.join(seen, "structure_id").select(
+                    *keys, "leave", "enter", F.when(F.col("ok"), F.col("low")).otherwise(F.col("times")).alias("low"), F.when(F.col("ok"), F.col("times")).otherwise(F.col("high")).alias("times"))
+                span = cut_lineage(span.filter("times - low <= 1").unionByName(narrow))
+            fewer = span.select("structure_id", F.col("times").alias("fewer"))
+            best = cut_lineage(best.join(fewer, "structure_id", "left").withColumn("times", F.coalesce("fewer", "times")).drop("fewer"))
+            again = best.join(fewer, "structure_id", "left_semi")
+            judged = cut_lineage(judged.join(fewer, "structure_id", "left_anti").unionByName(judged_after(again)))
+        table = cut_lineage(after(best.select(*keys, "leave", "enter", "times")))
         status = cut_lineage(status.join(judged.select("structure_id"), "structure_id", "left_anti").unionByName(judged))
         # a gate whose charge does not follow the moves could send them in a circle
         fell = judged.join(active.select("structure_id", F.col("q").alias("q_before")), "structure_id").filter(

@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..constants import BROAD_SPREAD_MEV, PROBE_MODES
+from .pairs import nearest
 from .ranking import ordinal_rank
 
 
-def minimum_contact(pairs: DataFrame) -> DataFrame:
-    """Closest pair per structure with its sorted element pair."""
+def minimum_contact(points: DataFrame) -> DataFrame:
+    """Closest pair of different atoms of each structure, at any distance, with its sorted element pair.
+
+    ``points``: structure_id, atom, element, x, y, z, lattice. A structure of one atom has no pair: its row
+    has NULLs.
+    """
+    found = nearest(points, ["structure_id"], "group", carry=("element",))
     pair = F.concat_ws("-", F.least("element_i", "element_j"), F.greatest("element_i", "element_j"))
-    return pairs.groupBy("structure_id").agg(F.min(F.struct("d", pair.alias("pair"))).alias("m")).select(
-        "structure_id", F.round("m.d", 4).alias("min_d"), "m.pair")
+    return points.select("structure_id").distinct().join(
+        found.select("structure_id", F.round("d", 4).alias("min_d"), pair.alias("pair")), "structure_id", "left")
 
 
 def invalid_reason(short_fill: Column, converged: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import HULL_REF_TOL, ON_HULL_TOL
+from ..session import cut_lineage
 from .catalogue import chemistry_columns
 
 MAX_COMPONENTS = 3
@@ -84,66 +85,133 @@ def hull_states(is_disordered: Column, converged: Column, n_components: Column,
             .when(coverage != "derived", "ambiguous").when(~on_scale, "ambiguous").otherwise("derived"))
 
 
-def energy_above_hull(targets: DataFrame, references: DataFrame, digits: int = 4) -> DataFrame:
-    """Energy above the lower hull, formation energy and decomposition of each target.
+#: references of a system that one task turns into facets at once; larger systems are thinned first
+FACET_REFERENCES = 4000
+#: eV below a facet from which a reference is a vertex, and the share below which a phase is not named
+DEPTH, LEAST_SHARE = 1e-10, 1e-9
 
-    ``targets``: target_id, chemsys, fractions, energy; ``references``: target_chemsys, formula,
-    fractions (in the target's element order), energy. References of one system meet in one row; they
-    are the near-stable best-per-formula phases with few atoms. A system without an elemental endpoint
-    for each element has no hull, and its targets keep NULL energies.
+
+def _lower_facets(fractions, energies):
+    """Facets of the lower hull as rows of reference numbers, by adding one reference after the other.
+
+    The first facet has the lowest elemental endpoint of each component and covers every composition. A
+    reference below some facets replaces them: it joins the ridges that bound them. One that lies on or above
+    all facets is no vertex. There is no limit of rounds: each reference is looked at once.
+    """
+    import numpy as np
+
+    n = fractions.shape[1]
+    pure = [np.flatnonzero(fractions[:, k] > 1 - 1e-12) for k in range(n)]
+    facets = np.array([[p[np.argmin(energies[p])] for p in pure]])
+    ground = energies[facets[0]]
+    formation = energies - fractions @ ground
+    planes = np.linalg.solve(fractions[facets], energies[facets][..., None])[..., 0]
+    for ref in np.argsort(formation, kind="stable"):
+        seen = planes @ fractions[ref] - energies[ref] > DEPTH
+        if not seen.any():
+            continue
+        ridges = np.concatenate([np.delete(np.sort(facets[seen], axis=1), k, axis=1) for k in range(n)])
+        once, times = np.unique(ridges, axis=0, return_counts=True)
+        outer = once[times == 1]
+        fresh = np.concatenate([outer, np.full((len(outer), 1), ref)], axis=1)
+        fresh = fresh[np.abs(np.linalg.det(fractions[fresh])) > 1e-12]   # a ridge that the reference lies on stays an edge
+        facets = np.concatenate([facets[~seen], fresh])
+        planes = np.concatenate([planes[~seen], np.linalg.solve(fractions[fresh], energies[fresh][..., None])[..., 0]])
+    return facets
+
+
+def _complete(references: DataFrame) -> DataFrame:
+    """The references of systems that have an elemental endpoint for each element, the lowest of each composition."""
+    size = F.size("fractions")
+    pure = F.array_position(F.transform("fractions", lambda x: x > 1 - 1e-12), True)
+    has = references.groupBy("target_chemsys").agg(F.max(size).alias("n"), F.count_distinct(F.when(pure > 0, pure)).alias("ends"))
+    whole = references.join(has.filter("ends = n").select("target_chemsys"), "target_chemsys", "left_semi")
+    low = F.min(F.struct("energy", "formula")).alias("m")
+    return whole.filter(F.col("energy").isNotNull()).groupBy("target_chemsys", "fractions").agg(low).select(
+        "target_chemsys", F.col("m.formula").alias("formula"), "fractions", F.col("m.energy").alias("energy"))
+
+
+def hull_facets(references: DataFrame) -> DataFrame:
+    """Lower hull of each system: (target_chemsys, formulas, energies, inverse), one row per facet.
+
+    ``references``: target_chemsys, formula, fractions (in the system's element order), energy; any number of
+    components. ``inverse`` times a composition gives the shares of the facet's phases. Systems without an
+    elemental endpoint for each element have no facets. A system with more references than one task should
+    hold is thinned first: a vertex of the whole hull is one of any part of it that has the endpoints, so
+    parts drop what is none.
     """
-    packed = references.groupBy(F.col("target_chemsys").alias("chemsys")).agg(
-        F.sort_array(F.collect_list(F.struct("formula", "fractions", "energy"))).alias("refs"))
-    schema = "struct<hull:double,formation:double,decomposition:string>"
-
-    # nested, so that the function travels to the executors by value
-    def lower_hull(x, fractions, energies, rounds=200):
-        """Lowest energy of a mixture of references with composition ``x``: the simplex method on one
-        target. ``fractions``: references by components, elemental endpoints included."""
+    refs = cut_lineage(_complete(references))
+    sizes = refs.groupBy("target_chemsys").agg(F.count(F.lit(1)).alias("n_refs")).filter(F.col("n_refs") > FACET_REFERENCES)
+    sizes = cut_lineage(sizes)
+    columns = ["target_chemsys", "formula", "fractions", "energy"]
+
+    def arrays(rows):
+        import numpy as np
+
+        rows = rows.sort_values("formula", kind="stable")
+        return rows, np.array(rows["fractions"].tolist(), float), rows["energy"].to_numpy(float)
+
+    def thin(rows):
         import numpy as np
 
-        n = len(x)
-        basis = []
-        for k in range(n):   # start from the lowest elemental endpoint of each component
-            pure = [i for i in range(len(energies)) if fractions[i][k] > 1 - 1e-12]
-            basis.append(min(pure, key=lambda i: energies[i]))
-        for step in range(rounds):
-            b = fractions[basis].T
-            weights = np.linalg.solve(b, x)
-            plane = np.linalg.solve(b.T, energies[basis])
-            gain = energies - fractions @ plane
-            # steepest entering reference first; the lowest index later on, which cannot cycle
-            enter = int(np.argmin(gain)) if step < rounds // 2 else next((i for i, g in enumerate(gain) if g < -1e-12), -1)
-            if enter < 0 or gain[enter] >= -1e-12:
-                break
-            direction = np.linalg.solve(b, fractions[enter])
-            ratio = [(weights[i] / direction[i], i) for i in range(n) if direction[i] > 1e-12]
-            basis[min(ratio)[1]] = enter
-        return float(weights @ energies[basis]), list(zip(basis, weights))
-
-    def solve(x, energy, refs):
+        rows, fractions, energies = arrays(rows)
+        return rows.iloc[np.unique(_lower_facets(fractions, energies))][columns]
+
+    if not sizes.isEmpty():
+        large = refs.join(sizes, "target_chemsys")
+        parts = F.ceil(F.col("n_refs") / FACET_REFERENCES).cast("int")
+        end = F.array_max("fractions") > 1 - 1e-12   # endpoints, one of each element, belong to every part
+        dealt = large.withColumn("part", F.explode(F.when(end, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("formula"), parts).cast("int")))))
+        thinned = dealt.groupBy("target_chemsys", "part").applyInPandas(lambda rows: thin(rows), refs.schema).distinct()
+        refs = refs.join(sizes, "target_chemsys", "left_anti").unionByName(thinned)
+
+    def facets(rows):
         import numpy as np
         import pandas as pd
 
-        rows = []
-        for xi, e, rs in zip(x, energy, refs):
-            fr = np.array([list(r["fractions"]) for r in rs], dtype=float)
-            en = np.array([r["energy"] for r in rs], dtype=float)
-            xi = np.asarray(xi, dtype=float)
-            if not (fr > 1 - 1e-12).any(axis=0).all():   # an element without an elemental endpoint: no simplex
-                rows.append((None, None, None))
-                continue
-            hull, parts = lower_hull(xi, fr, en)
-            ground = [min(en[i] for i in range(len(en)) if fr[i][k] > 1 - 1e-12) for k in range(len(xi))]
-            text = ",".join(f"{rs[i]['formula']}={w:.3f}" for i, w in sorted(parts, key=lambda p: rs[p[0]]["formula"]) if w > 1e-9)
-            rows.append((e - hull, e - float(np.dot(xi, ground)), text))
-        return pd.DataFrame(rows, columns=["hull", "formation", "decomposition"])
-
-    solve = F.pandas_udf(solve, schema, F.PandasUDFType.SCALAR)
-    joined = targets.join(packed, "chemsys").withColumn("h", solve("fractions", "energy", "refs"))
+        rows, fractions, energies = arrays(rows)
+        names, system = rows["formula"].to_numpy(), rows["target_chemsys"].iat[0]
+        found = np.sort(_lower_facets(fractions, energies), axis=1)
+        inverse = np.linalg.inv(np.swapaxes(fractions[found], 1, 2))
+        return pd.DataFrame({"target_chemsys": system, "formulas": [names[f].tolist() for f in found],
+                             "energies": [energies[f].tolist() for f in found], "inverse": inverse.tolist()})
+
+    schema = "target_chemsys string, formulas array<string>, energies array<double>, inverse array<array<double>>"
+    return refs.groupBy("target_chemsys").applyInPandas(lambda rows: facets(rows), schema)
+
+
+def energy_above_hull(targets: DataFrame, references: DataFrame, digits: int = 4) -> DataFrame:
+    """Energy above the lower hull, formation energy and decomposition of each target, with the reason where
+    there is none.
+
+    ``targets``: target_id, chemsys, fractions, energy; ``references``: target_chemsys, formula,
+    fractions (in the target's element order), energy. The hull of a system is computed once and meets each
+    distinct composition once: the facet that holds it is the one whose shares are not negative. A target
+    below the hull has a negative energy above it. ``reason`` is ``no references``, ``no elemental endpoint``
+    or ``no energy`` where a target has no result, else NULL.
+    """
+    facets = cut_lineage(hull_facets(references)).withColumnRenamed("target_chemsys", "chemsys")
+    asked = targets.select("chemsys", "fractions").distinct()
+    share = F.transform("inverse", lambda line: F.aggregate(F.zip_with(line, F.col("fractions"), lambda a, x: a * x), F.lit(0.0), lambda s, v: s + v))
+    met = asked.join(facets, "chemsys").withColumn("shares", share).filter(F.array_min("shares") >= -LEAST_SHARE)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    text = F.array_join(F.transform(F.filter(F.arrays_zip("formulas", "shares"), lambda p: p["shares"] > LEAST_SHARE), lambda p: F.format_string(
+        "%s=%.3f", p["formulas"], F.floor(p["shares"] * 1000 + (0.5 + 1e-6)) / 1000)), ",")
+    # a composition on a common ridge lies in several facets; all give the same phases
+    held = met.groupBy("chemsys", "fractions").agg(F.min(F.struct(
+        F.round(-F.array_min("shares"), 9).alias("outside"), "formulas", dot(F.col("shares"), F.col("energies")).alias("hull"), text.alias("decomposition"))).alias("h"))
+    pure = references.select(F.col("target_chemsys").alias("chemsys"), F.posexplode("fractions").alias("k", "share"), "energy").filter(F.col("share") > 1 - 1e-12)
+    ground = pure.groupBy("chemsys", "k").agg(F.min("energy").alias("energy")).groupBy("chemsys").agg(
+        F.map_from_entries(F.collect_list(F.struct("k", "energy"))).alias("ground"))
+    of = F.aggregate(F.transform("fractions", lambda x, k: x * F.try_element_at("ground", k)), F.lit(0.0), lambda s, v: s + v)
+    any_ = references.select(F.col("target_chemsys").alias("chemsys")).distinct().withColumn("_any", F.lit(True))
+    joined = targets.join(held, ["chemsys", "fractions"], "left").join(ground, "chemsys", "left").join(any_, "chemsys", "left")
+    above = F.when(F.col("h.hull").isNotNull(), F.col("energy") - F.col("h.hull"))
     return joined.select(
-        "target_id", F.round("h.hull", digits).alias("e_above_hull"), F.round("h.formation", digits).alias("formation_e"),
-        (F.abs("h.hull") < ON_HULL_TOL).alias("on_hull"), F.col("h.decomposition").alias("decomposition"))
+        "target_id", F.round(above, digits).alias("e_above_hull"), F.round(F.when(above.isNotNull(), F.col("energy") - of), digits).alias("formation_e"),
+        (F.abs(above) < ON_HULL_TOL).alias("on_hull"), F.col("h.decomposition").alias("decomposition"),
+        F.when(F.col("_any").isNull(), "no references").when(F.col("h").isNull(), "no elemental endpoint")
+        .when(F.col("energy").isNull(), "no energy").alias("reason"))
 
 
 def aligned_references(candidates: DataFrame, phases: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _AXES = ("x", "y", "z")
 
 
@@ -106,6 +108,91 @@ def nearest_image(pairs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return oriented.groupBy(*keys).agg(F.min("d").alias("d"))
 
 
+# ---- nearest without a cutoff -------------------------------------------------------------------
+
+def _gridded(sites: DataFrame, keys: list[str], carry: tuple[str, ...]) -> DataFrame:
+    """Sites with their bucket in a grid whose buckets are no thinner than the group's ``reach``."""
+    heights = cell_heights(F.col("lattice"))
+    out = sites.select(*keys, "site", *_AXES, *carry, "lattice", "reach")
+    for k, axis in enumerate(_AXES):
+        out = out.withColumn(f"n{axis}", F.greatest(F.lit(1), F.floor(heights[k] / F.col("reach")).cast("int")))
+        out = out.withColumn(f"r{axis}", F.ceil(F.col("reach") * F.col(f"n{axis}") / heights[k]).cast("int"))
+        out = out.withColumn(f"w{axis}", F.least(F.floor(F.col(axis) * F.col(f"n{axis}")).cast("int"), F.col(f"n{axis}") - 1))
+    return out
+
+
+def _around(probe: DataFrame, others: DataFrame, keys: list[str], carry: tuple[str, ...], own_images: bool) -> DataFrame:
+    """Pairs of each probing site with the sites of its group nearer than the group's ``reach``."""
+    near = _gridded(probe, keys, carry)
+    for axis in _AXES:
+        near = near.withColumn(f"s{axis}", F.explode(F.sequence(-F.col(f"r{axis}"), F.col(f"r{axis}"))))
+    near = near.select(
+        *keys, F.col("site").alias("i"), *[F.col(a).alias(f"{a}_i") for a in _AXES], *[F.col(c).alias(f"{c}_i") for c in carry], "lattice", "reach",
+        *[F.pmod(F.col(f"w{a}") + F.col(f"s{a}"), F.col(f"n{a}")).alias(f"b{a}") for a in _AXES],
+        *[F.floor((F.col(f"w{a}") + F.col(f"s{a}")) / F.col(f"n{a}")).alias(f"g{a}") for a in _AXES])
+    far = _gridded(others, keys, carry).select(
+        *keys, F.col("site").alias("j"), *[F.col(a).alias(f"{a}_j") for a in _AXES], *[F.col(c).alias(f"{c}_j") for c in carry],
+        *[F.col(f"w{a}").alias(f"b{a}") for a in _AXES])
+    delta = [F.col(f"{a}_j") + F.col(f"g{a}") - F.col(f"{a}_i") for a in _AXES]
+    at_home = (F.col("gx") == 0) & (F.col("gy") == 0) & (F.col("gz") == 0)
+    other = (F.col("i") != F.col("j")) | ~at_home if own_images else F.col("i") != F.col("j")
+    return near.join(far, [*keys, "bx", "by", "bz"]).filter(other).withColumn("d", cartesian_norm(delta, F.col("lattice"))).filter(
+        F.col("d") < F.col("reach")).select(*keys, "i", "j", "d", *[f"{c}_{s}" for c in carry for s in "ij"])
+
+
+def nearest(points: DataFrame, keys: list[str], each: str, measure=None, least=None, carry: tuple[str, ...] = (),
+            site: str = "atom", own_images: bool = False) -> DataFrame:
+    """The nearest pair of each site, or of each group, at any distance: keys, i, j, d, value and the carried
+    columns as ``<name>_i`` / ``<name>_j``.
+
+    ``points``: ``keys`` (the structure, and what else both sites must have in common), ``site``, x, y, z and
+    lattice. ``each`` is ``site`` for one row per site or ``group`` for the one lowest row of each group.
+    Groups look around within a reach of their own, first about the mean spacing of their sites; who has
+    found nothing that the reach proves to be the lowest looks on with twice the reach, and only those
+    take part in the next round, until the reach spans the cell. ``measure`` of a pair at its nearest image (the
+    distance, if not given) is what is minimised, NULL leaves the pair out; ``least`` of the reach bounds it from
+    below for all pairs that the reach leaves out. Ties go to the lower (i, j). A site without any partner
+    has no row; with ``own_images`` a site's own images are partners.
+    """
+    measure, least = measure or (lambda: F.col("d")), least or (lambda reach: reach)
+    base = points.select(*keys, F.col(site).alias("site"), *[F.pmod(F.col(a).cast("double"), F.lit(1.0)).alias(a) for a in _AXES], *carry, "lattice")
+    base = cut_lineage(base)
+    m = F.col("lattice")
+    face = _cross(m, 1, 2)
+    volume = F.abs(sum(m[k] * face[k] for k in range(3)))
+    # repeated rows of a site are one site: no site is its own partner
+    edges = sum(F.sqrt(m[k] * m[k] + m[k + 1] * m[k + 1] + m[k + 2] * m[k + 2]) for k in (0, 3, 6))
+    groups = base.groupBy(*keys).agg(F.count_distinct("site").alias("n"), F.first(F.pow(volume, 1 / 3)).alias("edge"), F.first(edges).alias("span"))
+    if not own_images:
+        groups = groups.filter("n > 1")
+    open_ = cut_lineage(groups.select(*keys, "span", (F.col("edge") / F.pow(F.col("n").cast("double"), 1 / 3)).alias("reach")))
+    waiting = base.select(*keys, "site").distinct() if each == "site" else None
+    who = [*keys, "i"] if each == "site" else keys
+    done = None
+    while not open_.isEmpty():
+        others = base.join(open_, keys)
+        probe = others if waiting is None else others.join(waiting, [*keys, "site"], "left_semi")
+        rest = [f"{c}_{s}" for c in carry for s in "ij"]
+        found = _around(probe, others, keys, carry, own_images).groupBy(*keys, "i", "j", *rest).agg(F.min("d").alias("d"))
+        found = found.join(open_, keys).withColumn("value", measure()).filter(F.col("value").isNotNull())
+        first = F.struct("value", *(["i"] if each != "site" else []), "j", "d", *rest, "reach", "span")
+        best = found.groupBy(*who).agg(F.min(first).alias("m")).select(*who, "m.*").select(*keys, "i", "j", "d", "value", *rest, "reach", "span")
+        best = cut_lineage(best)
+        sure = best.filter((F.col("value") < least(F.col("reach"))) | (F.col("reach") > F.col("span"))).drop("reach", "span")
+        done = sure if done is None else done.unionByName(sure)
+        wider = open_.filter(F.col("reach") <= F.col("span")).withColumn("reach", 2 * F.col("reach"))
+        if waiting is None:
+            open_ = cut_lineage(wider.join(sure.select(*keys), keys, "left_anti"))
+        else:
+            waiting = cut_lineage(waiting.join(wider.select(*keys), keys, "left_semi").join(
+                sure.select(*keys, F.col("i").alias("site")), [*keys, "site"], "left_anti"))
+            open_ = cut_lineage(wider.join(waiting.select(*keys).distinct(), keys, "left_semi"))
+    if done is None:   # no group has a partner
+        alone = base.withColumn("reach", F.lit(1.0)).filter(F.lit(False))
+        done = _around(alone, alone, keys, carry, own_images).withColumn("value", measure())
+    return done
+
+
 def with_radius(points: DataFrame, elements: DataFrame) -> DataFrame:
     """``points`` with ``radius``; isotopes of hydrogen have its radius, an element that the table does not
     list has NULL."""

@@ -9,6 +9,7 @@ from ..operators import coordination as K
 from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import pairs as P
+from ..operators.ensemble import minimum_contact
 from ..session import cut_lineage
 from . import views as V
 from .evidence import sites
@@ -83,9 +84,26 @@ def _(spark, sf):
 @query("minimum_contact", """select structure_id, round(min(d), 4) as min_d,
        arg_min(least(ei, ej) || '-' || greatest(ei, ej), d) as pair from v_pointpair group by 1""", ("v_pointpair",))
 def _(spark, sf):
-    from ..operators.ensemble import minimum_contact
+    return minimum_contact(V.point(spark, sf))
 
-    return minimum_contact(point_pairs(spark, sf, 3.0))
+
+def sparse(spark, sf):
+    """Two atoms to a cube of 40 angstrom, the last one alone where their number is odd."""
+    edge = F.array(*[F.lit(40.0 if k % 4 == 0 else 0.0) for k in range(9)])
+    return V.point(spark, sf).withColumns({"structure_id": F.floor(F.col("atom") / 2), "lattice": edge})
+
+
+# the pairs of ``sparse``; a cube's nearest image is found by rounding, at any distance
+_SPARSE = """sp as (select * replace (atom // 2 as structure_id) from v_point),
+    spp as (select *, 40 * sqrt((bx - round(bx)) ** 2 + (b_y - round(b_y)) ** 2 + (bz - round(bz)) ** 2) as d from (
+        select a.structure_id, a.atom as i, b.atom as j, a.element as ei, b.element as ej, a.occ as oi, b.occ as oj, b.x - a.x as bx, b.y - a.y as b_y, b.z - a.z as bz
+        from sp a join sp b on a.structure_id = b.structure_id and a.atom < b.atom))"""
+
+
+@query("minimum_contact_sparse", f"""with {_SPARSE} select structure_id, round(min(d), 4) as min_d, arg_min(least(ei, ej) || '-' || greatest(ei, ej), d) as pair
+       from (select distinct structure_id from sp) left join spp using (structure_id) group by 1""", ("v_point",))
+def _(spark, sf):
+    return minimum_contact(sparse(spark, sf))
 
 
 @query("connected_components", f"with {_COMPONENTS} select * from comp", ("v_pointpair",))
@@ -432,18 +450,33 @@ def _(spark, sf):
         "structure_id", (F.col("n_former_anion") > 0).alias("has_former_anion"), "cut", "state")
 
 
-@query("full_occ_clash", """with full_site as (select * from v_point where occ >= 0.98),
-    pr as (select b.structure_id, i, j, ei, ej, d, d / (ri + rj) as rho from v_bond b join full_site x on x.structure_id = b.structure_id and x.atom = i
-           join full_site y on y.structure_id = b.structure_id and y.atom = j where i < j)
-    select s.structure_id, n_sites, round(round((select min(rho) from pr where pr.structure_id = s.structure_id and d >= 0.2), 4), 3) as rho_min,
-           (select arg_min(ei || '-' || ej, {'r': round(rho, 4), 'i': i, 'j': j}) from pr where pr.structure_id = s.structure_id and d >= 0.2) as rho_min_pair,
-           (select count(*) from pr where pr.structure_id = s.structure_id and d >= 0.2 and rho < 0.5) as n_impossible,
-           (select count(*) from pr where pr.structure_id = s.structure_id and d < 0.2) as n_coincident
-    from (select structure_id, count(*) as n_sites from full_site group by 1) s""", _B)
+_CLASH = """with full_site as (select * from {points} where occ >= 0.98),
+    pr as (select p.structure_id, i, j, ei, ej, d, a.radius + b.radius as s, d / (a.radius + b.radius) as rho
+           from {pairs} p join el a on a.symbol = ei join el b on b.symbol = ej
+                join full_site x on x.structure_id = p.structure_id and x.atom = i join full_site y on y.structure_id = p.structure_id and y.atom = j where i < j),
+    bad as (select structure_id, count(*) as n, list(ei || '-' || ej || printf(' d=%.3f sum=%.3f rho=%.3f', round(d, 3), round(s, 3), round(rho, 3)) order by round(rho, 3), i, j) as l
+            from pr where d >= 0.2 and rho < 0.5 group by 1),
+    same as (select structure_id, count(*) as n, list(ei || '-' || ej || printf(' d=%.4f', round(d, 4)) order by round(d, 4), i, j) as l from pr where d < 0.2 group by 1),
+    low as (select structure_id, round(round(min(rho), 4), 3) as rho_min, arg_min(ei || '-' || ej, {{'r': round(rho, 4), 'i': i, 'j': j}}) as rho_min_pair from pr where d >= 0.2 group by 1)
+    select s.structure_id, n_sites, 0::bigint as n_no_radius, rho_min, rho_min_pair, coalesce(bad.n, 0) as n_impossible, coalesce(same.n, 0) as n_coincident,
+           array_to_string(coalesce(bad.l, [])[:8], ';') as impossible, array_to_string(coalesce(same.l, [])[:8], ';') as coincident,
+           case when bad.n > 0 then 'superposition' end as flag, case when same.n > 0 then 'duplicate' end as dup_flag
+    from (select structure_id, count(*) as n_sites from full_site group by 1) s left join low using (structure_id) left join bad using (structure_id) left join same using (structure_id)"""
+
+
+def _clash(points, spark):
+    found = K.full_occ_clash(points.filter("occ >= 0.98"), element_table(spark))
+    return found.withColumns({c: F.array_join(c, ";") for c in ("impossible", "coincident")})
+
+
+@query("full_occ_clash", _CLASH.format(points="v_point", pairs="v_pointpair"), ("v_pointpair", "el"))
+def _(spark, sf):
+    return _clash(V.point(spark, sf), spark)
+
+
+@query("full_occ_clash_sparse", f"with {_SPARSE}, " + _CLASH.format(points="sp", pairs="spp")[5:], ("v_point", "el"))
 def _(spark, sf):
-    full = V.point(spark, sf).filter("occ >= 0.98")
-    b = P.bonds(full, None, element_table(spark), BOND_TOL, MAX_RADIUS)
-    return K.full_occ_clash(full, b)
+    return _clash(sparse(spark, sf), spark)
 
 
 @query("minority_dispersal", """with m as (select *, element as orbit, occ = 0.5 as is_minority from v_point),
@@ -455,6 +488,4 @@ def _(spark, sf):
     from (select structure_id, orbit, count(*) as n_minority from m where is_minority group by 1, 2) c""", ("v_pointpair",))
 def _(spark, sf):
     members = V.point(spark, sf).select("structure_id", "atom", F.col("element").alias("orbit"), (F.col("occ") == 0.5).alias("is_minority"), "x", "y", "z", "lattice")
-    carry = ("orbit", "is_minority")
-    pairs = P.nearest_image(P.half_pairs(members, None, 7.0, "atom", carry), carry)
-    return K.minority_dispersal(pairs, members)
+    return K.minority_dispersal(members)

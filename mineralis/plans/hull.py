@@ -85,52 +85,51 @@ def _(spark, sf):
     return p.join(cov, "chemsys").select("material_id", H.hull_states(m % 23 == 0, m % 29 != 0, F.size("elements"), F.col("coverage"), m % 31 != 0).alias("state"))
 
 
-# three weights from barycentric coordinates; one- and two-component mixtures are their edges and corners
+# shares from barycentric coordinates; one- and two-component mixtures are their edges and corners
 _HULL = f"""with {_CAND},
     ref as (select c.target_chemsys, formula, energy, t.tel, list_transform(t.tel, lambda e: coalesce(fracs[list_position(elements, e)], 0.0)) as f
-            from cand c join tgt t using (target_chemsys) join st using (target_chemsys) where not skipped and state = 'derived'),
+            from cand c join tgt t using (target_chemsys) where not skipped),
     ground as (select target_chemsys, k, min(energy) as g from (select target_chemsys, energy, unnest(range(1, len(f) + 1)) as k, f from ref) where f[k] > 1 - 1e-12 group by 1, 2),
-    tg as (select material_id, chemsys, fracs as x, energy, len(elements) as n from v_phase
-           join (select target_chemsys, count(*) as n_ground from ground group by 1) on target_chemsys = chemsys where n_ground = len(elements)),
+    has as (select material_id, coalesce(n_ground, 0) = len(elements) as whole, target_chemsys is not null as any_ref
+            from v_phase left join (select target_chemsys, count(distinct k) filter (g is not null) as n_ground from ref left join ground using (target_chemsys) group by 1) on target_chemsys = chemsys),
+    tg as (select material_id, chemsys, fracs as x, energy, len(elements) as n from v_phase join has using (material_id) where whole),
     form as (select material_id, any_value(energy) - sum(x[ground.k] * g) as formation from tg join ground on target_chemsys = chemsys group by 1),
-    one as (select material_id, min(r.energy) as e from tg join ref r on target_chemsys = chemsys where n = 1 group by 1),
-    two as (select material_id, min(case when abs(a.f[2] - b.f[2]) < 1e-12 then least(a.energy, b.energy) else a.energy + (b.energy - a.energy) * (x[2] - a.f[2]) / (b.f[2] - a.f[2]) end) as e
-            from tg join ref a on a.target_chemsys = chemsys join ref b on b.target_chemsys = chemsys where n = 2 and a.f[2] <= x[2] + 1e-12 and b.f[2] >= x[2] - 1e-12
-              and (abs(a.f[2] - b.f[2]) > 1e-12 or abs(a.f[2] - x[2]) < 1e-12) group by 1),
-    tri as (select material_id, a.energy as ea, b.energy as eb, c.energy as ec,
+    one as (select material_id, r.energy as e, [formula] as fs, [1.0::double] as ws from tg join ref r on target_chemsys = chemsys where n = 1),
+    two as (select material_id, [a.formula, b.formula] as fs, [a.energy, b.energy] as es, (x[2] - b.f[2]) / (a.f[2] - b.f[2]) as wa
+            from tg join ref a on a.target_chemsys = chemsys join ref b on b.target_chemsys = chemsys where n = 2 and a.formula < b.formula and abs(a.f[2] - b.f[2]) > 1e-12),
+    tri as (select material_id, a.formula as fa, b.formula as fb, c.formula as fc, a.energy as ea, b.energy as eb, c.energy as ec,
                    (b.f[2] - c.f[2]) * (a.f[1] - c.f[1]) + (c.f[1] - b.f[1]) * (a.f[2] - c.f[2]) as det,
                    (b.f[2] - c.f[2]) * (x[1] - c.f[1]) + (c.f[1] - b.f[1]) * (x[2] - c.f[2]) as na,
                    (c.f[2] - a.f[2]) * (x[1] - c.f[1]) + (a.f[1] - c.f[1]) * (x[2] - c.f[2]) as nb
             from tg join ref a on a.target_chemsys = chemsys join ref b on b.target_chemsys = chemsys and a.formula < b.formula
                  join ref c on c.target_chemsys = chemsys and b.formula < c.formula where n = 3),
-    three as (select material_id, min(na / det * ea + nb / det * eb + (1 - na / det - nb / det) * ec) as e from tri
-              where abs(det) > 1e-12 and na / det >= -1e-9 and nb / det >= -1e-9 and na / det + nb / det <= 1 + 1e-9 group by 1),
-    low as (select * from one union all select * from two union all select * from three)
-    select material_id as target_id, round(tg.energy - e, 6) as e_above_hull, round(formation, 6) as formation_e, abs(tg.energy - e) < 0.001 as on_hull
-    from tg join low using (material_id) join form using (material_id)"""
-
-
-def _hull(spark, sf):
+    mixed as (select material_id, e, fs, ws from one
+        union all select material_id, wa * es[1] + (1 - wa) * es[2], fs, [wa, 1 - wa] from two where wa between -1e-9 and 1 + 1e-9
+        union all select material_id, na / det * ea + nb / det * eb + (1 - na / det - nb / det) * ec, [fa, fb, fc], [na / det, nb / det, 1 - na / det - nb / det] from tri
+              where abs(det) > 1e-12 and na / det >= -1e-9 and nb / det >= -1e-9 and na / det + nb / det <= 1 + 1e-9),
+    named as (select material_id, e, list_filter(list_zip(fs, ws), lambda p: p[2] > 1e-9) as parts from mixed),
+    low as (select material_id, e, array_to_string(list_transform(parts, lambda p: p[1] || '=' || printf('%.3f', floor(p[2] * 1000 + 0.5 + 1e-6) / 1000)), ',') as decomposition
+            from named qualify row_number() over (partition by material_id order by round(e, 9), len(parts), list_transform(parts, lambda p: p[1])) = 1),
+    result as (select material_id as target_id, chemsys, round(tg.energy - e, 6) as e_above_hull, round(formation, 6) as formation_e, abs(tg.energy - e) < 0.001 as on_hull, decomposition, null::varchar as reason
+            from tg join low using (material_id) join form using (material_id)
+        union all select material_id, chemsys, null, null, null, null, case when any_ref then 'no elemental endpoint' else 'no references' end from v_phase join has using (material_id) where not whole)"""
+
+
+def _hull(spark, sf, shift=0.0):
     p, c = _candidates(spark, sf)
-    ok = H.hull_coverage(p.select("chemsys"), c, p).filter("state = 'derived'").select(F.col("target_chemsys").alias("chemsys"))
-    targets = p.join(ok, "chemsys", "left_semi").select(F.col("material_id").alias("target_id"), "chemsys", "fractions", "energy")
-    refs = H.aligned_references(c, p).join(ok.withColumnRenamed("chemsys", "target_chemsys"), "target_chemsys", "left_semi")
-    return H.energy_above_hull(targets, refs, digits=6)
+    targets = p.select(F.col("material_id").alias("target_id"), "chemsys", "fractions", "energy")
+    refs = H.aligned_references(c, p).withColumn("energy", F.col("energy") + shift)
+    return targets, H.energy_above_hull(targets, refs, digits=6)
 
 
-@query("energy_above_hull", _HULL, _P)
+@query("energy_above_hull", _HULL + " select * exclude (chemsys) from result", _P)
 def _(spark, sf):
-    return _hull(spark, sf).filter("e_above_hull is not null").drop("decomposition")
+    return _hull(spark, sf)[1]
 
 
-@query("injected_references", _HULL.replace("select material_id as target_id, round(tg.energy - e, 6) as e_above_hull, round(formation, 6) as formation_e, abs(tg.energy - e) < 0.001 as on_hull",
-       "select chemsys, count(*) as n_targets").rstrip() + " group by 1", _P)
+@query("injected_references", _HULL + " select chemsys, count(e_above_hull) as n_targets, round(sum(e_above_hull + 0.1), 4) as above from result group by 1", _P)
 def _(spark, sf):
     """Caller-supplied references in place of the selected ones: any table of the same columns."""
-    p, c = _candidates(spark, sf)
-    ok = H.hull_coverage(p.select("chemsys"), c, p).filter("state = 'derived'").select(F.col("target_chemsys").alias("chemsys"))
-    own = H.aligned_references(c, p).withColumn("energy", F.col("energy") - 0.1)
-    targets = p.join(ok, "chemsys", "left_semi").select(F.col("material_id").alias("target_id"), "chemsys", "fractions", "energy")
-    refs = own.join(ok.withColumnRenamed("chemsys", "target_chemsys"), "target_chemsys", "left_semi")
-    solved = H.energy_above_hull(targets, refs).filter("e_above_hull is not null")
-    return solved.join(targets.select("target_id", "chemsys"), "target_id").groupBy("chemsys").agg(F.count(F.lit(1)).alias("n_targets"))
+    targets, solved = _hull(spark, sf, -0.1)
+    return solved.join(targets.select("target_id", "chemsys"), "target_id").groupBy("chemsys").agg(
+        F.count("e_above_hull").alias("n_targets"), F.round(F.sum("e_above_hull"), 4).alias("above"))

@@ -161,3 +161,134 @@ def test_orientation_orbits(spark):
     lattice = spark.createDataFrame([(s, [20.0, 0.0, 0.0, 0.0, 20.0, 0.0, 0.0, 0.0, 20.0]) for s in (1, 2)], "structure_id long, lattice array<double>")
     rows = E.orientation_orbits(table, lattice, E.slaved_orbits(table, lattice)).collect()
     assert [(r.structure_id, r.element, r.n_anchors, r.positions_per_anchor, r.alternatives_per_anchor) for r in rows] == [(1, "O", 1, 1, 3)]
+
+
+# ---- many moves at once against one move at a time ------------------------------------------------
+
+def plain_balance(cells, charges, gate, n_of):
+    """One site at a time. ``cells``: {structure: {(orbit, state): target}}; ``gate``: cell -> (q, ok)."""
+    out, moves = {}, {}
+    for s, now in cells.items():
+        given, now, ox = dict(now), dict(now), charges[s]
+        moves[s] = 0
+        q, ok = gate(s, now)
+        while not ok:
+            options = []
+            for o in sorted({k[0] for k in now}):
+                names = [e for x, e in now if x == o] + [D.VACANT]
+                has = lambda e: n_of[s, o] - sum(v for (x, _), v in now.items() if x == o) if e == D.VACANT else now[o, e]  # noqa: B023, E731
+                shift = lambda e, by: 0 if e == D.VACANT else abs(now[o, e] + by - given[o, e]) - abs(now[o, e] - given[o, e])  # noqa: B023, E731
+                for a in names:
+                    for b in names:
+                        size = abs(q - ox.get(a, 0.0) + ox.get(b, 0.0))
+                        if a != b and has(a) > 0 and size < abs(q) - 1e-9:
+                            options.append((round(size, 3), shift(a, -1) + shift(b, 1), o, a, b))
+            if not options or min(options)[0] >= abs(q) - 1e-9:
+                break
+            _, _, o, a, b = min(options)
+            for e, by in ((a, -1), (b, 1)):
+                if e != D.VACANT:
+                    now[o, e] += by
+            moves[s] += 1
+            before = q
+            q, ok = gate(s, now)
+            if not abs(q) < abs(before) - 1e-9:
+                break
+        out[s] = now
+    return out, moves
+
+
+def run_balance(spark, cells, charges, n_of, q0, ok_sql):
+    from pyspark.sql import functions as F
+
+    rows = [(s, o, e, t, n_of[s, o]) for s, c in cells.items() for (o, e), t in c.items()]
+    table = spark.createDataFrame(rows, "structure_id long, orbit string, state string, target long, n_groups long")
+    ox = spark.createDataFrame([(s, e, q) for s, c in charges.items() for e, q in c.items()], "structure_id long, state string, oxidation double")
+    fixed = spark.createDataFrame(list(q0.items()), "structure_id long, q0 double")
+    calls = []
+
+    def judge(t):
+        calls.append(1)
+        q = t.join(ox, ["structure_id", "state"]).groupBy("structure_id").agg(
+            F.sum(F.col("target") * F.col("oxidation")).alias("s"), F.sum(F.when(F.col("state") == "Fe", F.col("target")).otherwise(0)).alias("fe"))
+        return q.join(fixed, "structure_id").withColumn("q", F.round(F.col("s") + F.col("q0"), 3)).select("structure_id", "q", F.expr(ok_sql).alias("ok"))
+
+    found, status = D.balance_charge(table, ox, judge)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.structure_id, {})[r.orbit, r.state] = r.target
+    return got, {r.structure_id: r for r in status.collect()}, len(calls)
+
+
+def test_balance_charge_moves_many_sites_at_once(spark):
+    rng = random.Random(11)
+    cells, charges, n_of, q0 = {}, {}, {}, {}
+    for s in range(14):
+        charges[s] = {"Li": 1.0, "Mg": 2.0, "Al": 3.0, "Fe": rng.choice([2.0, 3.0, 8 / 3]), "Ti": rng.choice([4.0, 2.001]), "O": -2.0}
+        q0[s], cells[s] = float(rng.randint(-60, 60)), {}
+        for o in ("o0", "o1", "o2"):
+            n_of[s, o] = 30
+            for e in rng.sample(sorted(charges[s]), rng.randint(1, 4)):
+                cells[s][o, e] = rng.randint(0, 7)
+
+    def gate(s, now):
+        q = round(q0[s] + sum(charges[s][e] * t for (_, e), t in now.items()), 3)
+        fe = sum(t for (_, e), t in now.items() if e == "Fe")
+        return q, abs(q) < 0.3 or (fe > 0 and abs(q) / fe <= 0.5)
+
+    want, moves = plain_balance(cells, charges, gate, n_of)
+    got, status, calls = run_balance(spark, cells, charges, n_of, q0, "abs(q) < 0.3 or (fe > 0 and abs(q) / fe <= 0.5)")
+    assert got == want
+    assert {s: (r.q_final, r.ok_final) for s, r in status.items()} == {s: gate(s, c) for s, c in want.items()}
+    assert max(moves.values()) > 25 and sum(moves.values()) > 100
+
+
+def test_ten_thousand_moves(spark):
+    cells = {1: {("o", "Li"): 30_000, ("o", "Mg"): 5}, 2: {("o", "Li"): 9}}
+    charges, n_of, q0 = {1: {"Li": 1.0, "Mg": 2.0}, 2: {"Li": 1.0}}, {(1, "o"): 60_000, (2, "o"): 9}, {1: -19_990.0, 2: -9.0}
+    got, status, calls = run_balance(spark, cells, charges, n_of, q0, "abs(q) < 0.3")
+    want, moves = plain_balance(cells, charges, lambda s, now: (q := q0[s] + sum(charges[s][e] * t for (_, e), t in now.items()), abs(q) < 0.3), n_of)
+    assert got == want and moves[1] > 10_000 and status[1].ok_final and status[2].ok_initial and calls < 30
+
+
+def plain_rescue(states, targets):
+    table = {(o, e): [p, n, targets.get((o, e), 0)] for o, e, p, n in states}
+    expected = {}
+    for (_, e), (p, n, _) in table.items():
+        expected[e] = expected.get(e, 0.0) + p * n
+    for e in sorted(expected):
+        want = max(round(round(expected[e], 9)), 1 if expected[e] > 1e-6 else 0)
+        while sum(t[2] for (_, x), t in table.items() if x == e) < want:
+            hosts = [(round(t[0] * t[1] - t[2], 9), o) for (o, x), t in table.items() if x == e and t[2] < t[1]
+                     and any(u[2] > 0 for (q, y), u in table.items() if q == o and y != e)]
+            if not hosts:
+                break
+            o = max(hosts)[1]
+            give = min((-u[2], y) for (q, y), u in table.items() if q == o and y != e and u[2] > 0)[1]
+            table[o, e][2] += 1
+            table[o, give][2] -= 1
+    return {k: t[2] for k, t in table.items() if t[2]}
+
+
+def test_minority_rescue_moves_all_units_of_an_element(spark):
+    rng = random.Random(4)
+    states, targets, want = [], [], {}
+    for s in range(10):
+        own, chosen = [], {}
+        for o in range(rng.randint(1, 5)):
+            n = rng.choice([1, 3, 40, 200])
+            names = rng.sample(["Al", "B", "Fe", "Si", "Ti"], rng.randint(1, 4))
+            weights = [rng.random() for _ in names]
+            for e, w in zip(names, weights):
+                p = round(w / sum(weights) * rng.choice([1.0, 0.8]), 3)
+                own.append((f"o{o}", e, p, n))
+                chosen[f"o{o}", e] = 0
+            for _ in range(rng.randint(0, n)):   # far from what the fractions ask for
+                chosen[f"o{o}", rng.choice(names)] += 1
+        states += [(s, *r) for r in own]
+        targets += [(s, *k, t) for k, t in chosen.items() if t]
+        want.update({(s, *k): t for k, t in plain_rescue(own, chosen).items()})
+    table = spark.createDataFrame(states, "structure_id long, orbit string, state string, prob double, n_groups long")
+    given = spark.createDataFrame(targets, "structure_id long, orbit string, state string, target long")
+    got = {(r.structure_id, r.orbit, r.state): r.target for r in D.minority_rescue(table, given).collect()}
+    assert got == want

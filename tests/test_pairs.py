@@ -53,3 +53,97 @@ def test_atoms_without_a_radius(spark):
     assert sorted((r.structure_id, r.element_i, r.element_j, round(r.d, 2)) for r in rows) == [("d", "D", "O", 0.96), ("d", "O", "D", 0.96)]
     states = {r.structure_id: (r.n_atoms, r.n_unknown, r.unknown, r.state) for r in P.radius_state(points, element_table(spark)).collect()}
     assert states == {"d": (2, 0, "", "known"), "ra": (3, 2, "Am,Ra", "unknown"), "ok": (1, 0, "", "known")}
+
+
+# ---- nearest at any distance ---------------------------------------------------------------------
+
+SPARSE = {**CELLS, "wide": [40.0, 0, 0, 0, 40.0, 0, 0, 0, 40.0], "flat": [60.0, 0, 0, 20.0, 3.0, 0, 1.0, 0.5, 4.0]}
+SITE = "structure_id string, atom long, x double, y double, z double, element string, lattice array<double>"
+
+
+def min_image(a, b, m):
+    return min(float(np.linalg.norm((b - a + image) @ m)) for image in itertools.product(range(-22, 23) if abs(np.linalg.det(m)) < 800 else range(-3, 4), range(-3, 4), range(-3, 4)))
+
+
+def test_nearest_at_any_distance(spark):
+    from mineralis.operators.coordination import minority_dispersal
+    from mineralis.operators.ensemble import minimum_contact
+
+    rng = np.random.default_rng(6)
+    rows, cells = [], {}
+    for kind, cell in SPARSE.items():
+        for n in (1, 2, 9):
+            name = f"{kind}{n}"
+            cells[name] = (np.array(cell).reshape(3, 3), rng.random((n, 3)).round(4))
+            rows += [(name, k, *map(float, f), "ORa"[k % 3 == 0:][:1], [float(v) for v in cell]) for k, f in enumerate(cells[name][1])]
+    cells["same3"] = (np.eye(3) * 9.0, np.array([[0.1, 0.1, 0.1], [0.1, 0.1, 0.1], [0.7, 0.1, 0.1]]))   # two atoms at one place
+    rows += [("same3", k, *map(float, f), "D", [9.0, 0.0, 0.0, 0.0, 9.0, 0.0, 0.0, 0.0, 9.0]) for k, f in enumerate(cells["same3"][1])]
+    points = spark.createDataFrame(rows, SITE)
+    want = {}
+    for name, (m, f) in cells.items():
+        for i, j in itertools.permutations(range(len(f)), 2):
+            want[name, i, j] = min_image(f[i], f[j], m)
+    got = {(r.structure_id, r.i): (r.j, r.d) for r in P.nearest(points, ["structure_id"], "site").collect()}
+    assert set(got) == {(s, i) for s, i, _ in want}
+    for (s, i), (j, d) in got.items():
+        assert abs(d - min(v for (t, k, _), v in want.items() if (t, k) == (s, i))) < 1e-9 and abs(want[s, i, j] - d) < 1e-9
+    least = {r.structure_id: r.min_d for r in minimum_contact(points).collect()}
+    assert set(least) == set(cells)
+    for s, d in least.items():
+        pairs = [v for (t, _, _), v in want.items() if t == s]
+        assert d is None if not pairs else abs(d - min(pairs)) < 1e-4
+    images = {r.structure_id: r.d for r in P.nearest(points.filter("structure_id like '%1'"), ["structure_id"], "group", own_images=True).collect()}
+    for kind, cell in SPARSE.items():   # a single atom and its own image: the shortest lattice vector
+        m = np.array(cell).reshape(3, 3)
+        short = min(float(np.linalg.norm(np.array(v) @ m)) for v in itertools.product(range(-20, 21), range(-3, 4), range(-3, 4)) if any(v))
+        assert abs(images[f"{kind}1"] - short) < 1e-9
+    from pyspark.sql import functions as F
+
+    members = points.withColumns({"orbit": F.lit("o"), "is_minority": F.col("atom") % 2 == 0})
+    for r in minority_dispersal(members).collect():
+        some = range(0, len(cells[r.structure_id][1]), 2)
+        if len(some) > 1:
+            every = [v for (t, _, _), v in want.items() if t == r.structure_id]
+            mean = np.mean([min(want[r.structure_id, i, j] for j in some if i != j) for i in some])
+            assert r.dispersal is None if min(every) <= 1e-6 else abs(r.dispersal - mean / min(every)) < 0.006
+        else:
+            assert r.dispersal is None
+    none = points.filter("false")
+    assert P.nearest(none, ["structure_id"], "site").count() == 0 and minimum_contact(none).count() == 0
+
+
+def test_clash_ratio_at_any_distance(spark):
+    from mineralis.constants import element_table
+    from mineralis.operators.coordination import full_occ_clash
+
+    rng = np.random.default_rng(9)
+    radius = {r.symbol: r.radius for r in element_table(spark).collect()}
+    radius["D"] = radius["H"]
+    names = ["Cs", "H", "O", "D", "Fe", "Xx"]
+    rows, cells = [], {}
+    for k, (edge, n) in enumerate([(40.0, 2), (25.0, 3), (6.0, 12), (5.0, 20), (30.0, 1), (9.0, 2)]):
+        f = rng.random((n, 3)).round(4)
+        if k == 3:
+            f[1] = f[0] + [0.01, 0, 0]
+        if k == 5:
+            f[1] = f[0]   # nothing but a coincident pair
+        kinds = [names[int(v)] for v in rng.integers(0, 6, n)] if k != 5 else ["O", "O"]
+        cells[f"c{k}"] = (np.eye(3) * edge, f, kinds)
+        rows += [(f"c{k}", i, *map(float, v), e, [edge, 0.0, 0.0, 0.0, edge, 0.0, 0.0, 0.0, edge]) for i, (v, e) in enumerate(zip(f, kinds))]
+    for r in full_occ_clash(spark.createDataFrame(rows, SITE), element_table(spark), listed=3).collect():
+        m, f, kinds = cells[r.structure_id]
+        bad, same, ratios = [], [], []
+        for i, j in itertools.combinations(range(len(f)), 2):
+            d, pair = min_image(f[i], f[j], m), f"{kinds[i]}-{kinds[j]}"
+            if d < 0.2:
+                same.append((round(d, 4), i, j, pair))
+            elif kinds[i] in radius and kinds[j] in radius:
+                rho = d / (radius[kinds[i]] + radius[kinds[j]])
+                ratios.append((rho, pair))
+                if rho < 0.5:
+                    bad.append((round(rho, 3), i, j, pair))
+        assert (r.n_sites, r.n_no_radius) == (len(f), kinds.count("Xx"))
+        assert (r.rho_min, r.rho_min_pair) == ((round(min(ratios)[0], 3), min(ratios)[1]) if ratios else (None, None))
+        assert (r.n_impossible, r.n_coincident, r.flag, r.dup_flag) == (len(bad), len(same), "superposition" if bad else None, "duplicate" if same else None)
+        assert [t.split(" ")[0] for t in r.impossible] == [b[3] for b in sorted(bad)[:3]]
+        assert [t.split(" ")[0] for t in r.coincident] == [b[3] for b in sorted(same)[:3]]
