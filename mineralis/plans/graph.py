@@ -70,7 +70,10 @@ def _(spark, sf):
     return bonds(spark, sf).select("structure_id", "i", "j", "element_i", "element_j", F.round("d", 4).alias("d"))
 
 
-@query("radius_state")
+@query("radius_state", """select structure_id, count(*) as n_atoms, count(*) filter (radius is null) as n_unknown,
+       coalesce(string_agg(distinct case when radius is null then element end, ',' order by case when radius is null then element end), '') as unknown,
+       case when count(*) filter (radius is null) > 0 then 'unknown' else 'known' end as state
+       from v_point left join el on symbol = case when element in ('D', 'T') then 'H' else element end group by 1""", ("v_point", "el"))
 def _(spark, sf):
     return P.radius_state(V.point(spark, sf), element_table(spark))
 

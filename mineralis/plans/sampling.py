@@ -48,7 +48,27 @@ def _(spark, sf):
         F.sum("target").alias("target"), F.sum("n_groups").alias("n_groups"))
 
 
-@query("minority_rescue")
+# one unit a step, the steps of all structures side by side: ``n`` has the counts of a structure's (orbit, state)
+_RESCUE = f"""with recursive {_STATES},
+    ent as (select st.*, coalesce(target, 0)::bigint as given, row_number() over (partition by structure_id order by orbit, state) as idx
+            from st left join (select structure_id, orbit, state, target from tgt) using (structure_id, orbit, state)),
+    wish as (select structure_id, state, greatest(round_even(round(sum(prob * n_groups), 9), 0), case when sum(prob * n_groups) > 1e-6 then 1 else 0 end)::bigint as want,
+                    list(idx) as places from ent group by 1, 2),
+    pair as (select h.structure_id, h.state, h.orbit, h.idx as ih, g.idx as ig, g.state as give, h.prob * h.n_groups as ideal, h.n_groups as cap
+             from ent h join ent g using (structure_id, orbit) where h.idx <> g.idx),
+    walk as (
+      select structure_id, 0 as k, list(given order by idx) as n, '' as turn from ent group by 1
+      union all
+      select structure_id, k + 1, list_transform(n, lambda x, i: case when i = m.ih then x + 1 when i = m.ig then x - 1 else x end), m.state
+      from (select w.structure_id, w.k, any_value(w.n) as n, min({{'state': p.state, 'lack': -round(p.ideal - w.n[p.ih], 9), 'far': -ord.r, 'few': -w.n[p.ig], 'give': p.give, 'ih': p.ih, 'ig': p.ig}}) as m
+            from walk w join pair p using (structure_id) join wish using (structure_id, state)
+                 join (select structure_id, orbit, dense_rank() over (partition by structure_id order by orbit) as r from (select distinct structure_id, orbit from ent)) ord
+                   on ord.structure_id = p.structure_id and ord.orbit = p.orbit
+            where p.state >= w.turn and w.n[p.ih] < p.cap and w.n[p.ig] > 0 and list_sum(list_transform(places, lambda i: w.n[i])) < want group by 1, 2)),
+    final as (select structure_id, arg_max(n, k) as n from walk group by 1)"""
+
+
+@query("minority_rescue", _RESCUE + " select structure_id, orbit, state, n[idx]::bigint as target from ent join final using (structure_id) where n[idx] > 0", _SV)
 def _(spark, sf):
     st = cut_lineage(states(spark, sf))
     return D.minority_rescue(st, D.largest_remainder(st))
@@ -79,12 +99,52 @@ def balanced(spark, sf):
     return D.balance_charge(D.largest_remainder(states(spark, sf)), charges, judge)
 
 
-@query("balance_charge")
+# one site a step, the steps of all structures side by side; the gate is computed anew from every cell
+_BALANCE = f"""with recursive {_STATES},
+    ordc as (select structure_id, s.element, count(*) as n from v_psig p join v_species s using (structure_id, pos) where n_species = 1 and occ_total >= 0.99 group by 1, 2),
+    raw as (select structure_id, orbit, state, target as given, target, n_groups from tgt
+            union all select structure_id, orbit, 'VAC', null, any_value(n_groups) - sum(target), any_value(n_groups) from tgt group by 1, 2),
+    ent as (select r.*, case when state = 'VAC' then 0 else coalesce(oxidation, 0) end::double as ox, row_number() over (partition by r.structure_id order by orbit, state) as idx
+            from raw r left join v_oxidation v on v.structure_id = r.structure_id and v.element = r.state),
+    pair as (select a.structure_id, a.idx as ia, b.idx as ib, a.orbit, a.state as leave, b.state as enter, b.ox - a.ox as delta, a.given as ga, b.given as gb
+             from ent a join ent b using (structure_id, orbit) where a.idx <> b.idx),
+    part as (select structure_id, state as element, idx from ent where state <> 'VAC' union all select structure_id, element, null from ordc where structure_id in (select structure_id from ent)),
+    els as (select structure_id, list({{'base': base, 'places': places, 'ox': ox, 'multi': multi, 'low': ox_low, 'high': ox_high}}) as els from (
+              select p.structure_id, p.element, coalesce(any_value(o.n), 0) as base, coalesce(list(p.idx) filter (p.idx is not null), []) as places, coalesce(any_value(oxidation), 0.0)::double as ox,
+                     coalesce(any_value(n_states) > 1 or abs(any_value(oxidation) - round_even(any_value(oxidation), 0)::double) > 1e-6, false) as multi, any_value(ox_low) as ox_low, any_value(ox_high) as ox_high
+              from part p left join ordc o using (structure_id, element) left join v_oxidation using (structure_id, element) left join el on symbol = element group by 1, 2) group by 1),
+    walk as (
+      select structure_id, 0 as k, n, round(q, 3) as q, abs(q) < 0.3 or fits as ok, false as stuck from (
+        select *, len(list_filter(cell, lambda e: e.multi and e.n > 0 and -(q - e.n * e.ox) / e.n between e.low - 1e-9 and e.high + 1e-9)) > 0 as fits from (
+          select *, coalesce(list_sum(list_transform(cell, lambda e: e.n * e.ox)), 0.0) as q from (
+            select structure_id, n, list_transform(els, lambda e: {{'n': e.base + coalesce(list_sum(list_transform(e.places, lambda i: n[i])), 0), 'ox': e.ox, 'multi': e.multi, 'low': e.low, 'high': e.high}}) as cell
+            from (select structure_id, list(target::bigint order by idx) as n from ent group by 1) join els using (structure_id))))
+      union all
+      select structure_id, k + 1, n, round(q, 3), abs(q) < 0.3 or fits, not abs(round(q, 3)) < abs(was) - 1e-9 from (
+        select *, len(list_filter(cell, lambda e: e.multi and e.n > 0 and -(q - e.n * e.ox) / e.n between e.low - 1e-9 and e.high + 1e-9)) > 0 as fits from (
+          select *, coalesce(list_sum(list_transform(cell, lambda e: e.n * e.ox)), 0.0) as q from (
+            select structure_id, k, n, was, list_transform(els, lambda e: {{'n': e.base + coalesce(list_sum(list_transform(e.places, lambda i: n[i])), 0), 'ox': e.ox, 'multi': e.multi, 'low': e.low, 'high': e.high}}) as cell
+            from (select structure_id, k, was, list_transform(n, lambda x, i: case when i = m.ia then x - 1 when i = m.ib then x + 1 else x end) as n
+                  from (select w.structure_id, w.k, any_value(w.n) as n, any_value(w.q) as was, min({{'size': round(abs(w.q + p.delta), 3),
+                               'dev': coalesce(abs(w.n[p.ia] - 1 - p.ga) - abs(w.n[p.ia] - p.ga), 0) + coalesce(abs(w.n[p.ib] + 1 - p.gb) - abs(w.n[p.ib] - p.gb), 0),
+                               'orbit': p.orbit, 'leave': p.leave, 'enter': p.enter, 'ia': p.ia, 'ib': p.ib}}) as m
+                        from walk w join pair p using (structure_id)
+                        where not w.ok and not w.stuck and w.n[p.ia] > 0 and abs(w.q + p.delta) < abs(w.q) - 1e-9 group by 1, 2)
+                  where m.size < abs(was) - 1e-9) join els using (structure_id))))),
+    final as (select structure_id, arg_max(n, k) as n, arg_max(q, k) as q, arg_max(ok, k) as ok, arg_min(q, k) as q0, arg_min(ok, k) as ok0 from walk group by 1)"""
+_BV = (*_SV, "v_oxidation", "el")
+
+
+@query("balance_charge", _BALANCE + " select structure_id, orbit, state, n[idx]::bigint as target, given, n_groups from ent join final using (structure_id) where state <> 'VAC'", _BV)
 def _(spark, sf):
     return balanced(spark, sf)[0]
 
 
-@query("charge_balance_state")
+@query("charge_balance_state", _BALANCE + """, orb as (select structure_id, orbit, sum(given) as was, sum(n[idx]) as now, any_value(n_groups) as size, sum(abs(n[idx] - given)) as dev
+      from ent join final using (structure_id) where state <> 'VAC' group by 1, 2),
+    lost as (select structure_id, count(*) filter (was < size and now >= size) as n_filled, count(*) filter (was > 0 and now = 0) as n_emptied, sum(dev)::bigint as deviation from orb group by 1)
+    select structure_id, q0 as q_initial, q as q_final, deviation, n_filled, n_emptied,
+           case when ok0 then 'vacuous' when n_filled + n_emptied > 0 or not ok then 'ambiguous' else 'derived' end as state from final join lost using (structure_id)""", _BV)
 def _(spark, sf):
     return D.charge_balance_state(*balanced(spark, sf))
 

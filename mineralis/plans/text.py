@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import catalogue as C
 from ..session import scratch_path
+from ..sources import archives as Z
 from ..sources import readers as R
 from ..sources import writers as W
 from . import views as V
@@ -66,6 +67,17 @@ def _(spark, sf):
         F.contains("text", F.lit("_atom_site_occupancy")).alias("has_sites"))
 
 
+@query("scan_zip_archive", """select filename, 'data_' || id as first_line, n_elements is not null as has_sites, null::varchar as read_error
+       from v_entry""", ("v_entry",))
+def _(spark, sf):
+    """One zip archive, read by as many tasks as its size asks for."""
+    path = scratch_path(spark, "zip")
+    Z.write_zip(archive(spark, sf).coalesce(1), path)
+    return Z.scan_zip_archive(spark, path, split_bytes=1 << 18).select(
+        "filename", F.split_part("text", F.lit("\n"), F.lit(1)).alias("first_line"),
+        F.contains("text", F.lit("_atom_site_occupancy")).alias("has_sites"), "read_error")
+
+
 @query("extract_id", "select filename, id from v_entry", ("v_entry",))
 def _(spark, sf):
     return archive(spark, sf).select("filename", X.extract_id(F.col("filename")).alias("id"))
@@ -191,8 +203,17 @@ def _(spark, sf):
     wanted = C.filenames_by_query(V.entry(spark, sf), chemsys="Si-O")
     absent = spark.range(1).select(F.lit("absent.cif").alias("filename"))
     W.extract_members(archive(spark, sf), wanted.unionByName(absent), path)
-    return (spark.read.option("basePath", path).text(path, wholetext=True)
-            .select("filename", F.startswith("value", F.lit("data_")).alias("has_text")))
+    return Z.scan_zip_archive(spark, path).select("filename", F.startswith("text", F.lit("data_")).alias("has_text"))
+
+
+@query("read_members", """select filename, 'data_' || id as first_line from v_entry where id % 50 = 0""", ("v_entry",))
+def _(spark, sf):
+    """Members read by their place in the packed archives."""
+    path = scratch_path(spark, "packed")
+    Z.write_zip(archive(spark, sf), path, 1 << 20)
+    wanted = V.entry(spark, sf).filter("id % 50 = 0").select("filename")
+    found = Z.read_members(spark, path, wanted.unionByName(spark.range(1).select(F.lit("absent.cif").alias("filename"))))
+    return found.select("filename", F.split_part("text", F.lit("\n"), F.lit(1)).alias("first_line"))
 
 
 @query("get_text", """select w.id, filename, filename is null as missing from (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import RECORD_FILES, RECORD_VERSION
 from ..functions.text import let
+from .archives import scan_zip_archive  # noqa: F401
 
 RECORD_SEP = "\u001e"
 LEDGER_SCHEMA = ("ts string, file string, status string, stage string, rundir string, klass string, "
@@ -40,32 +41,6 @@ def scan_packed_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan_zip_archive(spark: SparkSession, path: str, batch: int = 1000) -> DataFrame:
-    """Members of zip files, streamed in batches; an unreadable member keeps a row with its error."""
-
-    def members(frames):
-        import io
-        import zipfile
-
-        import pandas as pd
-
-        for frame in frames:
-            for content in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    names = sorted(n for n in archive.namelist() if n.endswith(".cif"))
-                    for start in range(0, len(names), batch):
-                        rows = []
-                        for name in names[start:start + batch]:
-                            try:
-                                rows.append((name, archive.read(name).decode("utf-8", "replace"), None))
-                            except Exception as exc:
-                                rows.append((name, None, f"read failed: {exc}"))
-                        yield pd.DataFrame(rows, columns=["filename", "text", "read_error"])
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(members, "filename string, text string, read_error string")
-
-
 # ---- ledger -------------------------------------------------------------------------------------
 
 def scan_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LEDGER_FIELDS
+from .archives import write_zip
 from .readers import RECORD_SEP
 
 
@@ -76,7 +77,5 @@ def write_records(records: DataFrame, path: str) -> None:
 
 
 def extract_members(archive: DataFrame, wanted: DataFrame, path: str) -> None:
-    """Export the wanted members, one folder per member; a name without a member is skipped."""
-    (archive.join(wanted.select("filename").distinct(), "filename", "left_semi")
-     .select("filename", F.col("text").alias("value"))
-     .write.partitionBy("filename").text(path))
+    """Export the wanted members as zip archives with an index; a name without a member is skipped."""
+    write_zip(archive.join(wanted.select("filename").distinct(), "filename", "left_semi"), path)
