@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -38,8 +38,12 @@ PLACES = LENGTH - ANCHOR + 1
 PART_SEGMENTS = 60_000
 #: rows of an Arrow batch that a task hands back, about
 CHUNK_ROWS = 50_000
-#: bits of an anchor's fingerprint; two anchors that share one only cost work
+#: bits of an anchor's fingerprint, by which anchors are dealt; strings are told apart by their bytes, so two
+#: anchors that share one only cost work
 FINGERPRINT_BITS = 48
+#: bits of the map of fingerprints that occur more than once; it spares anchors their shuffle, those it lets
+#: through by chance are left out by the join after it
+MAP_BITS = 1 << 27
 END = 255 + 1
 NO_ID = (1 << 63) - 1
 
@@ -140,7 +144,10 @@ def repeated_starts(fingerprints: np.ndarray, segments: list[bytes], lefts: np.n
         return np.empty(0, np.int64), np.empty(0, np.int64)
     fingerprints, lefts, ids = fingerprints[kept], lefts[kept], ids[kept]
     bodies = [np.frombuffer(segments[i], np.uint8) for i in kept]
-    names = np.unique(fingerprints, return_inverse=True)[1].astype(np.int64) + END + 1
+    # an anchor's symbol stands for its bytes
+    pieces = np.zeros((len(kept), 24), np.uint8)
+    pieces[:, :ANCHOR] = np.frombuffer(b"".join(segments[i][k:k + ANCHOR] for i, k in zip(kept, lefts.tolist())), np.uint8).reshape(-1, ANCHOR)
+    names = np.unique(pieces.view(np.uint64), axis=0, return_inverse=True)[1].ravel().astype(np.int64) + END + 1
     kind = np.uint16 if names.max(initial=0) < 1 << 16 else np.uint32
     lengths = np.array([len(b) - ANCHOR + 1 for b in bodies], np.int64)
     offsets = np.append(0, np.cumsum(lengths + 1))[:-1]
@@ -163,48 +170,85 @@ def repeated_starts(fingerprints: np.ndarray, segments: list[bytes], lefts: np.n
     return kept[owner[again]], (order - offsets[owner])[again]
 
 
+def _digest(*parts: Column) -> Column:
+    """128 bits by which texts and segments are told apart."""
+    return F.unhex(F.md5(F.concat(*[p.cast("binary") for p in parts])))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text, _cid, _order): null text empty, a null id last."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id", "text", F.xxhash64("text").alias("_cid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_order"))
+        "doc_id", "text", _digest(F.col("text")).alias("_cid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_order"))
 
 
-def _found(texts: DataFrame) -> DataFrame:
-    """(fp, _cid, at) of each anchor; ``at`` has its place, and the first and last start before it."""
+def _seen(texts: DataFrame) -> DataFrame:
+    """(fp, n): in how many rows each anchor's fingerprint occurs."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found, size = [], 0
-            for k, (cid, text) in enumerate(zip(batch["_cid"], batch["text"])):
-                at, first, last, fp = anchors(text.encode("utf-8", "surrogatepass"))
-                found.append((fp, np.full(len(at), cid), at << 10 | (at - first) << 5 | (at - last)))
-                size += len(at)
+            for k, text in enumerate(batch["text"]):
+                found.append(np.unique(anchors(text.encode("utf-8", "surrogatepass"))[3]))
+                size += len(found[-1])
                 if size > CHUNK_ROWS or k == len(batch) - 1:
-                    yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("fp", "_cid", "at"), zip(*found))})
+                    yield pd.DataFrame({"fp": np.concatenate(found)})
                     found, size = [], 0
 
-    return texts.select("_cid", "text").mapInPandas(find, "fp long, _cid long, at long")
+    return texts.select("text").mapInPandas(find, "fp long").groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _map_of(fingerprints: DataFrame) -> np.ndarray:
+    """A map of ``MAP_BITS`` bits with those of the fingerprints set; it reaches the driver as its non-zero words."""
+    bit = F.pmod(F.col("fp"), F.lit(MAP_BITS))
+    word = fingerprints.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits"))
+    rows = word.toPandas()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def _found(texts: DataFrame, common: DataFrame) -> DataFrame:
+    """(fp, _cid, at) of each anchor whose fingerprint is in ``common``; ``at`` has its place, and the first and
+    last start before it."""
+    known = texts.sparkSession.sparkContext.broadcast(_map_of(common))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = known.value
+        for batch in batches:
+            rows = []
+            for cid, text in zip(batch["_cid"], batch["text"]):
+                at, first, last, fp = anchors(text.encode("utf-8", "surrogatepass"))
+                slot = (fp % MAP_BITS).astype(np.uint64)
+                some = bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) == 1
+                if some.any():
+                    rows.append((cid, fp[some], (at << 10 | (at - first) << 5 | (at - last))[some]))
+            yield pd.DataFrame(rows, columns=["_cid", "fp", "at"])
+
+    met = texts.select("_cid", "text").mapInPandas(find, "_cid binary, fp array<long>, at array<long>")
+    each = met.select("_cid", F.explode(F.arrays_zip("fp", "at")).alias("x")).select("x.fp", "_cid", "x.at")
+    return each.join(common, "fp", "left_semi")
 
 
 def _segments(texts: DataFrame, places: DataFrame) -> DataFrame:
     """(_order, _cid, start, left, fp, body, key) of the anchors in ``places`` (_cid, list of at and fp)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ("_order", "_cid", "start", "left", "fp")
+        names = ("_order", "start", "left", "fp")
         for batch in batches:
-            found, bodies = [], []
+            found, bodies, cids = [], [], []
             for k, (order, cid, text, ats, fps) in enumerate(zip(*(batch[c] for c in ("_order", "_cid", "text", "ats", "fps")))):
                 data, at = text.encode("utf-8", "surrogatepass"), np.asarray(ats, np.int64)
                 place, left, right = at >> 10, at >> 5 & 31, at & 31
                 bodies += [data[s:e] for s, e in zip((place - left).tolist(), (place - right + LENGTH).tolist())]
-                found.append((np.full(len(at), order), np.full(len(at), cid), place - left, left, np.asarray(fps, np.int64)))
+                cids += [cid] * len(at)
+                found.append((np.full(len(at), order), place - left, left, np.asarray(fps, np.int64)))
                 if len(bodies) > CHUNK_ROWS or k == len(batch) - 1:
-                    yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(names, zip(*found))} | {"body": bodies})
-                    found, bodies = [], []
+                    yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(names, zip(*found))} | {"body": bodies, "_cid": cids})
+                    found, bodies, cids = [], [], []
 
     got = texts.join(places, "_cid").select("_order", "_cid", "text", "ats", "fps").mapInPandas(
-        cut, "_order long, _cid long, start long, left int, fp long, body binary")
-    return got.withColumn("key", F.xxhash64("fp", "left", "body"))
+        cut, "_order long, start long, left int, fp long, body binary, _cid binary")
+    return got.withColumn("key", _digest(F.col("body"), F.lpad(F.col("left").cast("string"), 2, "0")))   # the anchor begins at ``left``
 
 
 def _dealt(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame | None]:
@@ -235,7 +279,7 @@ def _sides(rows: DataFrame) -> DataFrame:
     right = F.when(F.octet_length("body") >= F.col("left") + ANCHOR + half,
                    F.struct(F.lit(False).alias("on_left"), near(F.col("left") + ANCHOR + 1).alias("bytes")))
     made = rows.withColumn("side", F.explode(F.filter(F.array(left, right), lambda x: x.isNotNull())))
-    return made.select(*rows.columns, "side.on_left", F.xxhash64("fp", "side.on_left", "side.bytes").alias("near"))
+    return made.select(*rows.columns, "side.on_left", F.xxhash64("fp", "side.on_left", "side.bytes").alias("near"))   # deals rows only
 
 
 def _string_runs(rows: DataFrame) -> DataFrame:
@@ -270,7 +314,7 @@ def _runs(distinct: DataFrame) -> DataFrame:
         return pd.DataFrame({"key": rows["key"].to_numpy()[segment[first]], "a": start[first], "b": start[last] + LENGTH})
 
     def ordered(dealt: DataFrame) -> DataFrame:
-        return dealt.groupBy("part").applyInPandas(order, "key long, a long, b long")
+        return dealt.groupBy("part").applyInPandas(order, "key binary, a long, b long")
 
     dealt, hot = _dealt(distinct, "fp")
     runs = ordered(dealt)
@@ -289,9 +333,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     copies = texts.groupBy("_cid").agg(F.min("_order").alias("lowest"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     copies = cut_lineage(copies.select("_cid", "lowest"))
     own = texts.join(copies, "_cid", "left").filter(F.col("lowest").isNull() | (F.col("lowest") == F.col("_order"))).drop("lowest")
-    anchored = _found(own)
-    common = cut_lineage(anchored.groupBy("fp").agg(F.min("_cid").alias("lo"), F.max("_cid").alias("hi")).filter(F.col("lo") != F.col("hi")).select("fp"))
-    places = anchored.join(common, "fp", "left_semi").groupBy("_cid").agg(F.collect_list("at").alias("ats"), F.collect_list("fp").alias("fps"))
+    common = cut_lineage(_seen(own).filter("n > 1").select("fp"))
+    places = _found(own, common).groupBy("_cid").agg(F.collect_list("at").alias("ats"), F.collect_list("fp").alias("fps"))
     segments = cut_lineage(_segments(own, places))
     distinct = segments.groupBy("key").agg(F.min("_order").alias("lowest"), F.first("fp").alias("fp"), F.first("left").alias("left"), F.first("body").alias("body"))
     distinct = cut_lineage(distinct)

@@ -469,3 +469,20 @@ def test_read_time_inverts_the_curve(spark):
         parts = [0.0, 0.01, 0.2, 0.5, 0.77, 1.0]
         got = [r.t for r in spark.createDataFrame([(p,) for p in parts], "p double").select(mixing.read_time(F.col("p"), curve).alias("t")).collect()]
         assert np.allclose(got, np.interp(np.array(parts) * area[-1], area, t), atol=2e-3)
+
+
+def test_anchors_that_share_a_fingerprint():
+    """A forged fingerprint: different anchors between equal sides are no repeat, equal ones are."""
+    left, right = b"l" * 15, b"r" * 15
+    first, second = left + b"A" * 20 + right, left + b"B" * 20 + right
+    same = lambda segments: [x.tolist() for x in repeats.repeated_starts(
+        np.array([7] * len(segments)), segments, np.array([15] * len(segments)), np.arange(1, len(segments) + 1))]
+    assert same([first, second]) == [[], []]
+    assert same([first, second, first]) == [[2], [0]]
+
+
+def test_repeats_with_a_full_map(spark, docs, monkeypatch):
+    """With a map of 64 bits nearly every anchor is let through and the join alone decides."""
+    want = {(r.doc_id, r.n_bytes, r.kept) for r in repeats.remove_repeats(docs).collect()}
+    monkeypatch.setattr(repeats, "MAP_BITS", 64)
+    assert {(r.doc_id, r.n_bytes, r.kept) for r in repeats.remove_repeats(docs).collect()} == want
