@@ -37,6 +37,12 @@ MAX_ELEMENTS = 6
 MAX_PRESSURE_KPA = 1000.0
 MIN_ATOMS = 1.5
 
+# ---- fixed values: formulas ---------------------------------------------------------------------
+AMOUNT_TOL = 1e-8          # amounts this close to a whole number are whole
+GROUP_DIFFERENCE = 1.65    # electronegativity difference below which the last two elements are a group
+MOLECULES = {"LiO": "Li2O2", "NaO": "Na2O2", "KO": "K2O2", "HO": "H2O2", "CsO": "Cs2O2", "RbO": "Rb2O2",
+             "O": "O2", "N": "N2", "F": "F2", "Cl": "Cl2", "H": "H2"}
+
 # ---- fixed values: element roles ----------------------------------------------------------------
 FORMERS = ("B", "C", "N", "P", "S", "Si", "As", "Se", "Te", "Ge", "Cl", "Br", "I",
            "V", "Cr", "Mo", "W", "Mn", "Re", "Nb", "Ta")

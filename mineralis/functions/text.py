@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DISORDER_TOL
+from ..constants import AMOUNT_TOL, DISORDER_TOL, ELEMENTS, GROUP_DIFFERENCE, MOLECULES
 
 # ---- fixed values: keys and patterns of the text format -----------------------------------------
 CELL_KEYS = {
@@ -84,6 +84,62 @@ def parse_composition(formula: Column, isotopes: bool = True) -> Column:
     return F.map_from_arrays(names, sums)
 
 
+def _gcd(values: Column) -> Column:
+    """Greatest common divisor of an integer array; Euclid needs at most 1.45 log2 of the value steps."""
+    def pair(a, b):
+        start = F.struct(a.alias("a"), b.alias("b"))
+        steps = (F.ceil(F.log2(F.greatest(a, b, F.lit(1))) * 1.45) + 2).cast("int")
+        done = F.aggregate(
+            F.sequence(F.lit(1), steps), start,
+            lambda s, _: F.when(s["b"] == 0, s).otherwise(
+                F.struct(s["b"].alias("a"), (s["a"] % F.nullif(s["b"], F.lit(0))).alias("b"))))
+        return done["a"]
+
+    return F.aggregate(values, F.lit(0).cast("long"), lambda acc, v: pair(v, acc))
+
+
+def _amount(n: Column, ones: bool) -> Column:
+    """Amount as formulas spell it: whole, or with up to eight decimals; one only where ``ones`` are written."""
+    whole = F.abs(n - F.round(n)) < AMOUNT_TOL
+    text = F.when(whole, F.round(n).cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.8f", n), r"0+$", ""))
+    return text if ones else F.when(whole & (F.round(n) == 1), "").otherwise(text)
+
+
+def reduced_formula(terms: Column) -> Column:
+    """Canonical formula from array<struct<element, n, electronegativity>>.
+
+    Elements go by electronegativity, one without any last. Whole amounts are divided by their greatest
+    common divisor; two last elements of three or more that differ by less than 1.65 are a group if their amounts
+    have a divisor of their own, as in Ca(HO)2; gases of two atoms and peroxides keep their molecule. Amounts
+    that are not all whole stay as they are, ones included.
+    """
+    struct = lambda t: F.struct(F.coalesce(t["electronegativity"].cast("double"), F.lit(float("inf"))).alias("en"), t["element"].alias("el"), t["n"].cast("double").alias("n"))
+    ordered = F.sort_array(F.filter(F.transform(terms, struct), lambda t: F.abs(t["n"]) > AMOUNT_TOL))
+    spelled = lambda ts, by, ones: F.array_join(F.transform(ts, lambda t: F.concat(t["el"], _amount(t["n"] / by, ones))), "")
+
+    def whole(ts):
+        last = F.slice(ts, -2, 2)
+        divisor = lambda some: _gcd(F.transform(some, lambda t: F.round(t["n"]).cast("long")))
+        close = (F.size(ts) >= 3) & (F.try_element_at(ts, F.lit(-1))["en"] - F.try_element_at(ts, F.lit(-2))["en"] < GROUP_DIFFERENCE)
+
+        def written(d):
+            group = F.when(close & (d["last"] > d["all"]), (d["last"] / d["all"]).cast("long"))
+            plain = spelled(ts, d["all"], False)
+            grouped = F.concat(spelled(F.slice(ts, 1, F.greatest(F.size(ts) - 2, F.lit(0))), d["all"], False), F.lit("("), spelled(last, d["last"], False), F.lit(")"), group.cast("string"))
+            return let(F.coalesce(grouped, plain), lambda f: F.coalesce(F.try_element_at(molecules, f), f))
+
+        return let(F.struct(divisor(ts).alias("all"), F.when(F.size(ts) >= 3, divisor(last)).otherwise(1).cast("long").alias("last")), written)
+
+    molecules = F.create_map(*[F.lit(v) for pair in MOLECULES.items() for v in pair])
+    return let(ordered, lambda ts: F.when(F.forall(ts, lambda t: F.abs(t["n"] - F.round(t["n"])) < AMOUNT_TOL), whole(ts)).otherwise(spelled(ts, F.lit(1.0), True)))
+
+
+def composition_terms(composition: Column) -> Column:
+    """map<element, amount> -> the terms of ``reduced_formula``, with the table's electronegativities."""
+    known = F.create_map(*[F.lit(v) for e in ELEMENTS for v in (e[0], e[3])])   # fixed: one entry an element
+    return F.transform(F.map_entries(composition), lambda t: F.struct(t["key"].alias("element"), t["value"].alias("n"), F.try_element_at(known, t["key"]).alias("electronegativity")))
+
+
 def unquote(value: Column) -> Column:
     """Bare value; empty, '.' and '?' are NULL."""
     bare = F.trim(F.regexp_replace(F.trim(value), r"""^['"]+|['"]+$""", ""))
@@ -195,6 +251,8 @@ def parse_entry(archive: DataFrame) -> DataFrame:
         formula.alias("formula_sum"),
         F.when(F.size(comp) > 0, F.array_join(F.map_keys(comp), "-")).alias("chemsys"),
         F.when(F.size(comp) > 0, F.size(comp)).alias("n_elements"),
+        F.when(F.size(comp) > 0, F.map_keys(comp)).alias("elements"),
+        F.when(F.size(comp) > 0, reduced_formula(composition_terms(comp))).alias("reduced_formula"),
         extract_spacegroup_number(text).alias("spacegroup_number"),
         extract_spacegroup_symbol(text).alias("spacegroup_symbol"),
         *[extract_cell(text, key).alias(name) for name, key in CELL_KEYS.items()],

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MAX_ELEMENTS, MAX_PRESSURE_KPA, MIN_ATOMS
+from ..functions.text import reduced_formula
 from ..session import cut_lineage
 from .ranking import null_safe_join
 
@@ -29,31 +30,6 @@ def parse_elements(spec: str) -> list[str]:
 
 # ---- chemistry columns --------------------------------------------------------------------------
 
-def _gcd(values: Column) -> Column:
-    """Greatest common divisor of an integer array; Euclid needs at most 1.45 log2 of the value steps."""
-    def pair(a, b):
-        start = F.struct(a.alias("a"), b.alias("b"))
-        steps = (F.ceil(F.log2(F.greatest(a, b, F.lit(1))) * 1.45) + 2).cast("int")
-        done = F.aggregate(
-            F.sequence(F.lit(1), steps), start,
-            lambda s, _: F.when(s["b"] == 0, s).otherwise(
-                F.struct(s["b"].alias("a"), (s["a"] % F.nullif(s["b"], F.lit(0))).alias("b"))))
-        return done["a"]
-
-    return F.aggregate(values, F.lit(0).cast("long"), lambda acc, v: pair(v, acc))
-
-
-def reduced_formula(terms: Column) -> Column:
-    """Reduced formula from array<struct<element, n, electronegativity>> with integer amounts."""
-    common = _gcd(F.transform(terms, lambda t: t["n"]))
-    ordered = F.sort_array(F.transform(
-        terms, lambda t: F.struct(F.coalesce(t["electronegativity"], F.lit(float("inf"))).alias("en"),
-                                  t["element"].alias("el"), t["n"].alias("n"))))
-    parts = F.transform(ordered, lambda t: F.concat(
-        t["el"], F.when(t["n"] == common, F.lit("")).otherwise((t["n"] / common).cast("long").cast("string"))))
-    return F.array_join(parts, "")
-
-
 def chemistry_columns(amounts: DataFrame, elements: DataFrame) -> DataFrame:
     """(structure_id, element, n, min_occ) -> one row per structure with its chemistry.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import catalogue as C
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import archives as Z
 from ..sources import readers as R
 from ..sources import writers as W
@@ -156,13 +156,35 @@ def _(spark, sf):
         "filename", X.flag_disordered(X.min_site_occupancy(F.col("text"))).alias("is_disordered"))
 
 
-@query("parse_entry", """select filename, id, formula_sum, chemsys, n_elements, spacegroup_number,
+@query("parse_entry", """select filename, id, formula_sum, chemsys, n_elements, array_to_string(elements, ',') as elements, reduced_formula, spacegroup_number,
        'P ' || spacegroup_number as spacegroup_symbol, case when id % 7 <> 0 then id % 50 + 5.25::double end as a,
        min_occupancy, is_disordered, null::varchar as parse_error from v_entry""", ("v_entry",))
 def _(spark, sf):
     return X.parse_entry(packed(spark, sf)).select(
-        "filename", "id", "formula_sum", "chemsys", "n_elements", "spacegroup_number", "spacegroup_symbol", "a",
-        "min_occupancy", "is_disordered", "parse_error")
+        "filename", "id", "formula_sum", "chemsys", "n_elements", F.array_join("elements", ",").alias("elements"), "reduced_formula",
+        "spacegroup_number", "spacegroup_symbol", "a", "min_occupancy", "is_disordered", "parse_error")
+
+
+@query("archive_by_formula", """select id, filename, reduced_formula, chemsys from v_entry
+       where reduced_formula = (select reduced_formula from v_entry where reduced_formula is not null group by 1 order by count(*) desc, 1 limit 1)""", ("v_entry",))
+def _(spark, sf):
+    """The catalogue parsed from the texts answers a search by formula: all entries of the most common one."""
+    parsed = cut_lineage(X.parse_entry(packed(spark, sf)))
+    top = parsed.filter(F.col("reduced_formula").isNotNull()).groupBy("reduced_formula").count().orderBy(F.desc("count"), "reduced_formula").first()
+    hits = C.query_formula(parsed, top.reduced_formula if top else "")
+    return parsed.join(hits.select("id"), "id", "left_semi").select("id", "filename", "reduced_formula", "chemsys")
+
+
+@query("reduced_formula_fractional", """select structure_id, case when bool_and(abs(a - round(a)) < 1e-8)
+         then 'whole' else string_agg(element || case when abs(a - round(a)) < 1e-8 then round(a)::bigint::varchar else rtrim(printf('%.2f', a), '0') end, '' order by electronegativity, element) end as formula
+       from (select structure_id, element, electronegativity, round(located, 2) as a from v_amount join el on symbol = element where round(located, 2) > 0) group by 1""", ("v_amount", "el"))
+def _(spark, sf):
+    """Formulas of the amounts that the occupancies add up to, spelled and read back."""
+    located = V.site(spark, sf).groupBy("structure_id", "element").agg(F.round(F.sum("occ"), 2).alias("a"))
+    text = F.array_join(F.sort_array(F.collect_list(F.format_string("%s%.2f", "element", "a"))), " ")   # one text an element
+    formula = located.groupBy("structure_id").agg(text.alias("text")).withColumn("comp", X.parse_composition(F.col("text"), isotopes=False))
+    whole = F.forall(F.map_values("comp"), lambda n: F.abs(n - F.round(n)) < 1e-8)
+    return formula.select("structure_id", F.when(whole, "whole").otherwise(X.reduced_formula(X.composition_terms(F.col("comp")))).alias("formula"))
 
 
 @query("journal_metadata", """select 'entry_' || o_orderkey || '.cif' as filename,

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from ..constants import ELEMENT_COLUMNS, ELEMENTS
+from ..constants import ELEMENT_COLUMNS, ELEMENTS, MOLECULES
 from .views import (BRAND_ELEMENTS, LABEL_ELEMENTS, POINT_CELL, POINTS_PER_CELL, SITE_CELL,
                     THIRD_ELEMENTS, TYPE_ELEMENTS)
 
 
+def formula_sql(terms: str) -> str:
+    """Canonical formula of a list of {x, e, n} with whole amounts without a common divisor, by electronegativity."""
+    group = f"case when len({terms}) >= 3 and {terms}[-1].x - {terms}[-2].x < 1.65 then gcd({terms}[-1].n, {terms}[-2].n) else 1 end"
+    amount = lambda n: f"case when {n} = 1 then '' else ({n})::bigint::varchar end"
+    raw = f"""array_to_string(list_transform(case when {group} > 1 then {terms}[:-3] else {terms} end, lambda t: t.e || {amount("t.n")}), '')
+        || case when {group} > 1 then '(' || {terms}[-2].e || {amount(f"({terms}[-2].n // {group})")} || {terms}[-1].e || {amount(f"({terms}[-1].n // {group})")} || ')' || ({group})::varchar else '' end"""
+    return f"case {raw} " + " ".join(f"when '{k}' then '{m}'" for k, m in MOLECULES.items()) + f" else {raw} end"
+
+
 def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -52,16 +61,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_amount": (("v_site",), """
         select structure_id, element, count(*) as n, sum(occ) as located, min(occ) as min_occ
         from v_site group by all"""),
-    "v_chem": (("v_amount", "el"), """
+    "v_chem": (("v_amount", "el"), f"""
+        select *, {formula_sql("terms")} as reduced_formula from (
         select structure_id, list(element order by element) as elements,
                string_agg(element, '-' order by element) as chemsys, count(*)::integer as n_elements,
                string_agg(element || n, ' ' order by element) as formula_sum,
-               string_agg(element || case when n // g = 1 then '' else (n // g)::varchar end, ''
-                          order by electronegativity, element) as reduced_formula,
+               list({{'x': electronegativity, 'e': element, 'n': n // g}} order by electronegativity, element) as terms,
                min(min_occ) as min_occupancy
         from (select *, (list_reduce(list(n) over (partition by structure_id), lambda a, b: gcd(a, b))) as g
               from v_amount) join el on symbol = element
-        group by structure_id"""),
+        group by structure_id)"""),
     "v_entry": (("v_chem",), """
         select o_orderkey as id, 'entry_' || o_orderkey || '.cif' as filename,
                cast(o_custkey % 230 + 1 as integer) as spacegroup_number, o_totalprice,
@@ -137,12 +146,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           union all select p_partkey, {_list(THIRD_ELEMENTS)}[p_partkey % 5 + 1],
                            cast(p_partkey % 2 + 1 as bigint) from part where p_partkey % 3 = 0 and p_partkey % 17 <> 0)
         group by all"""),
-    "v_phase": (("v_term", "el"), """
-        select material_id, chemsys, elements, formula, energy, ehull, n_cell_atoms, fracs from (
+    "v_phase": (("v_term", "el"), f"""
+        select material_id, chemsys, elements, {formula_sql("terms")} as formula, energy, ehull, n_cell_atoms, fracs from (
           select material_id, string_agg(element, '-' order by element) as chemsys,
                  list(element order by element) as elements,
-                 string_agg(element || case when n // g = 1 then '' else (n // g)::varchar end, ''
-                            order by electronegativity, element) as formula,
+                 list({{'x': electronegativity, 'e': element, 'n': n // g}} order by electronegativity, element) as terms,
                  list(n / tot order by element) as fracs
           from (select *, (list_reduce(list(n) over (partition by material_id), lambda a, b: gcd(a, b))) as g,
                        sum(n) over (partition by material_id) as tot from v_term)
