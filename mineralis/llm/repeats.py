@@ -41,9 +41,9 @@ CHUNK_ROWS = 50_000
 #: bits of an anchor's fingerprint, by which anchors are dealt; strings are told apart by their bytes, so two
 #: anchors that share one only cost work
 FINGERPRINT_BITS = 48
-#: bits of the map of fingerprints that occur more than once; it spares anchors their shuffle, those it lets
+#: bits of the map of fingerprints that occur in more than one row; it spares anchors their shuffle, those it lets
 #: through by chance are left out by the join after it
-MAP_BITS = 1 << 27
+MAP_BITS, PAGE_WORDS = 1 << 25, 1 << 14
 END = 255 + 1
 NO_ID = (1 << 63) - 1
 
@@ -198,39 +198,48 @@ def _seen(texts: DataFrame) -> DataFrame:
 
 
 def _map_of(fingerprints: DataFrame) -> np.ndarray:
-    """A map of ``MAP_BITS`` bits with those of the fingerprints set; it reaches the driver as its non-zero words."""
+    """A map of ``MAP_BITS`` bits with those of the fingerprints set; it reaches the driver as a few pages of bytes."""
     bit = F.pmod(F.col("fp"), F.lit(MAP_BITS))
-    word = fingerprints.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits"))
-    rows = word.toPandas()
-    out = np.zeros(MAP_BITS // 64, np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
+    shifted = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    words = fingerprints.groupBy(F.floor(bit / 64).cast("int").alias("word")).agg(F.bit_or(shifted).alias("bits"))
+    size = min(PAGE_WORDS, MAP_BITS // 64)
+
+    def page(key, rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(size, np.int64)
+        out[rows["word"].to_numpy() % size] = rows["bits"].to_numpy()
+        return pd.DataFrame({"page": [key[0]], "bytes": [out.tobytes()]})
+
+    pages = words.groupBy(F.floor(F.col("word") / size).cast("int").alias("page")).applyInPandas(page, "page int, bytes binary")
+    out = np.zeros(MAP_BITS // 64, np.uint64)
+    for r in pages.toLocalIterator():
+        out[r.page * size:(r.page + 1) * size] = np.frombuffer(r.bytes, np.uint64)
+    return out
 
 
 def _found(texts: DataFrame, common: DataFrame) -> DataFrame:
-    """(fp, _cid, at) of each anchor whose fingerprint is in ``common``; ``at`` has its place, and the first and
-    last start before it."""
+    """(fp, _cid, _order, at) of each anchor whose fingerprint is in ``common``; ``at`` has its place, and the first
+    and last start before it."""
     known = texts.sparkSession.sparkContext.broadcast(_map_of(common))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = known.value
         for batch in batches:
             rows = []
-            for cid, text in zip(batch["_cid"], batch["text"]):
+            for cid, order, text in zip(batch["_cid"], batch["_order"], batch["text"]):
                 at, first, last, fp = anchors(text.encode("utf-8", "surrogatepass"))
                 slot = (fp % MAP_BITS).astype(np.uint64)
                 some = bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) == 1
                 if some.any():
-                    rows.append((cid, fp[some], (at << 10 | (at - first) << 5 | (at - last))[some]))
-            yield pd.DataFrame(rows, columns=["_cid", "fp", "at"])
+                    rows.append((cid, order, fp[some], (at << 10 | (at - first) << 5 | (at - last))[some]))
+            yield pd.DataFrame(rows, columns=["_cid", "_order", "fp", "at"])
 
-    met = texts.select("_cid", "text").mapInPandas(find, "_cid binary, fp array<long>, at array<long>")
-    each = met.select("_cid", F.explode(F.arrays_zip("fp", "at")).alias("x")).select("x.fp", "_cid", "x.at")
+    met = texts.select("_cid", "_order", "text").mapInPandas(find, "_cid binary, _order long, fp array<long>, at array<long>")
+    each = met.select("_cid", "_order", F.explode(F.arrays_zip("fp", "at")).alias("x")).select("x.fp", "_cid", "_order", "x.at")
     return each.join(common, "fp", "left_semi")
 
 
 def _segments(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """(_order, _cid, start, left, fp, body, key) of the anchors in ``places`` (_cid, list of at and fp)."""
+    """(_order, _cid, start, left, fp, body, key) of the anchors in ``places`` (_cid, _order, list of at and fp)."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("_order", "start", "left", "fp")
@@ -246,7 +255,7 @@ def _segments(texts: DataFrame, places: DataFrame) -> DataFrame:
                     yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(names, zip(*found))} | {"body": bodies, "_cid": cids})
                     found, bodies, cids = [], [], []
 
-    got = texts.join(places, "_cid").select("_order", "_cid", "text", "ats", "fps").mapInPandas(
+    got = texts.join(places, ["_cid", "_order"]).select("_order", "_cid", "text", "ats", "fps").mapInPandas(
         cut, "_order long, start long, left int, fp long, body binary, _cid binary")
     return got.withColumn("key", _digest(F.col("body"), F.lpad(F.col("left").cast("string"), 2, "0")))   # the anchor begins at ``left``
 
@@ -330,12 +339,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(_cid, lowest, spans) of the texts that hold repeats: ``spans`` is the packed array of (start, stop)
     bytes that go from the text in the document of its lowest id, unmerged."""
     texts = _texts(docs)
-    copies = texts.groupBy("_cid").agg(F.min("_order").alias("lowest"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    copies = cut_lineage(copies.select("_cid", "lowest"))
-    own = texts.join(copies, "_cid", "left").filter(F.col("lowest").isNull() | (F.col("lowest") == F.col("_order"))).drop("lowest")
-    common = cut_lineage(_seen(own).filter("n > 1").select("fp"))
-    places = _found(own, common).groupBy("_cid").agg(F.collect_list("at").alias("ats"), F.collect_list("fp").alias("fps"))
-    segments = cut_lineage(_segments(own, places))
+    common = cut_lineage(_seen(texts).filter("n > 1").select("fp"))
+    # copies find the same anchors; the text is read where its id is the lowest
+    places = _found(texts, common).groupBy("_cid").agg(F.min("_order").alias("_order"), F.collect_set(F.struct("at", "fp")).alias("found"))
+    places = places.select("_cid", "_order", F.col("found.at").alias("ats"), F.col("found.fp").alias("fps"))
+    segments = cut_lineage(_segments(texts, places))
     distinct = segments.groupBy("key").agg(F.min("_order").alias("lowest"), F.first("fp").alias("fp"), F.first("left").alias("left"), F.first("body").alias("body"))
     distinct = cut_lineage(distinct)
     runs = _runs(distinct)
