@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FINISHED_STATUSES
 from ..functions.text import let
+from ..session import cut_lineage
 from .ranking import ordinal_rank
 
 
@@ -108,14 +109,22 @@ def slug(name: Column) -> Column:
 
 def unique_slug(names: DataFrame, rows_per_task: int = 1_000_000) -> DataFrame:
     """File-safe unique names: (ord, name, slug). Repeats get ``-1``, ``-2`` …; a number whose result
-    is itself some entry's plain name is passed over."""
+    is itself some entry's plain name is passed over.
+
+    Before the i-th taken number t of a stem there are t - i free ones, so in one order of repeats (by how many
+    repeats are before them) and taken numbers (by how many free ones are before them, the taken one first)
+    the place of a repeat is its number. Ranks come from ``ordinal_rank``: no list of a stem's numbers is made.
+    """
     based = names.withColumn("base", slug(F.col("name")))
-    ranked = ordinal_rank(based, ["base"], "ord", "ord", out="k", rows_per_task=rows_per_task)
-    taken = based.select("base").distinct().select(
-        F.regexp_extract("base", r"^(.*)-\d+$", 1).alias("stem"), F.regexp_extract("base", r"-(\d+)$", 1).try_cast("long").alias("t")) \
-        .filter("stem <> '' and t is not null").groupBy(F.col("stem").alias("base")).agg(F.sort_array(F.collect_set("t")).alias("taken"))
-    number = F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), F.col("k") - 1,
-                         lambda n, t: F.when((n > 0) & (t <= n), n + 1).otherwise(n))
-    return ranked.join(taken, "base", "left").select(
-        "ord", "name", F.when(F.col("k") == 1, F.col("base")).otherwise(
-            F.concat("base", F.lit("-"), number.cast("string"))).alias("slug"))
+    ranked = cut_lineage(ordinal_rank(based, ["base"], "ord", "ord", out="k", rows_per_task=rows_per_task).select("base", "k", "ord", "name"))
+    stems = ranked.filter("k = 1").select(F.col("base").alias("whole"), F.regexp_extract("base", r"^(.*)-\d+$", 1).alias("base"),
+                                          F.regexp_extract("base", r"-(\d+)$", 1).try_cast("long").alias("t"))
+    # only numbers from one on are given, and they have no zeros in front
+    taken = stems.filter((F.col("base") != "") & (F.col("t") >= 1) & (F.concat("base", F.lit("-"), F.col("t").cast("string")) == F.col("whole")))
+    order = ordinal_rank(taken, ["base"], "t", "t", out="i", rows_per_task=rows_per_task)
+    kind = ranked.schema["ord"].dataType
+    marks = order.select("base", (2 * (F.col("t") - F.col("i"))).alias("place"), "t", F.lit(None).cast(kind).alias("ord"), F.lit(None).cast("string").alias("name"))
+    repeats = ranked.filter("k > 1").select("base", (2 * (F.col("k") - 2) + 1).alias("place"), F.lit(0).cast("long").alias("t"), "ord", "name")
+    placed = ordinal_rank(marks.unionByName(repeats), ["base"], "place", "t", out="number", rows_per_task=rows_per_task).filter("place % 2 = 1")
+    given = placed.select("ord", "name", F.concat("base", F.lit("-"), F.col("number").cast("string")).alias("slug"))
+    return ranked.filter("k = 1").select("ord", "name", F.col("base").alias("slug")).unionByName(given)

@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import catalogue as C
 from ..session import cut_lineage, scratch_path
 from ..sources import archives as Z
+from ..sources import index as I
 from ..sources import readers as R
 from ..sources import writers as W
 from . import views as V
@@ -204,12 +205,25 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "index")
     W.write_index(V.entry(spark, sf), path, {"archive": sf})
-    bridge = spark.read.parquet(f"{path}/elements").groupBy("id").agg(F.count(F.lit(1)).alias("n_bridge"))
-    return (spark.read.parquet(f"{path}/entries").join(bridge, "id", "left")
+    bridge = I.read_index(spark, path, "elements").groupBy("id").agg(F.count(F.lit(1)).alias("n_bridge"))
+    return (I.read_index(spark, path).join(bridge, "id", "left")
             .select("id", "chemsys", F.col("n_elements").cast("int").alias("n_elements"), "is_disordered",
                     F.coalesce("n_bridge", F.lit(0)).alias("n_bridge")))
 
 
+@query("backfill_index", "select filename, chemsys, case when n_elements = 2 then min_occupancy end as min_occupancy, case when n_elements = 2 then id % 9 end as mark, n_elements = 2 as rewritten from v_entry", ("v_entry",))
+def _(spark, sf):
+    """Occupancies put into the entries of two elements; the other partitions stay the files they were."""
+    path, entries = scratch_path(spark, "index"), cut_lineage(V.entry(spark, sf))
+    I.write_index(entries.withColumn("min_occupancy", F.lit(None).cast("double")), path)
+    fresh = entries.filter("n_elements = 2").select("filename", "min_occupancy", (F.col("id") % 9).alias("mark"))
+    I.backfill_index(spark, path, fresh)
+    assert I.backfill_index(spark, path, fresh) == 0   # again: nothing changes
+    first = {r.folder.split("/data/")[1].split("/")[0] for r in I._published(spark, path) if r.tbl == "meta"}
+    rewritten = ~F.contains(F.input_file_name(), F.lit(first.pop()))
+    return I.read_index(spark, path).select("filename", "chemsys", "min_occupancy", "mark", F.when(F.col("n_elements").isNull(), None).otherwise(rewritten).alias("rewritten"))
+
+
 @query("add_columns", "select filename, spacegroup_number, min_occupancy, is_disordered from v_entry", ("v_entry",))
 def _(spark, sf):
     old = V.entry(spark, sf).select("filename", "spacegroup_number", F.lit(None).cast("double").alias("min_occupancy"))

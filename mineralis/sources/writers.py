@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import LEDGER_FIELDS
 from .archives import write_zip
+from .index import write_index  # noqa: F401
 from .readers import RECORD_SEP
 
 
@@ -16,17 +17,6 @@ def write_packed_text(archive: DataFrame, path: str) -> None:
         path, lineSep=RECORD_SEP)
 
 
-def write_index(entries: DataFrame, path: str, meta: dict[str, str] | None = None) -> None:
-    """Rebuild the whole index: partitioned by element count, sorted so chemsys filters skip row groups."""
-    (entries.sortWithinPartitions("n_elements", "chemsys")
-     .write.mode("overwrite").partitionBy("n_elements").parquet(f"{path}/entries"))
-    entries.select("id", F.explode("elements").alias("element")).distinct().sortWithinPartitions("element") \
-        .write.mode("overwrite").parquet(f"{path}/elements")
-    spark = entries.sparkSession
-    spark.createDataFrame(sorted((meta or {}).items()) or [("", "")], "key string, value string") \
-        .write.mode("overwrite").parquet(f"{path}/meta")
-
-
 def log_line(row: dict[str, Column] | None = None) -> Column:
     """Human-readable log line: only the parts that are set."""
     c = row or {f: F.col(f) for f in LEDGER_FIELDS}
