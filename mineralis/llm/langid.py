@@ -46,7 +46,8 @@ def fit(labelled: DataFrame, pieces: int = PIECES, piece_chars: int = PIECE_CHAR
     """Dictionaries from rows of (text, lang), the language with most texts first.
 
     Different texts are ranked by a hash, so a text with many copies counts once; the ``pieces`` lowest
-    of each language give their first ``piece_chars`` characters. The result has at most
+    of each language give ``piece_chars`` characters from a place that the hash names, so that headers which many
+    texts begin with are not all that is learned. The result has at most
     ``pieces * piece_chars`` characters for each language. Rows without text or language teach nothing.
     """
     usable = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
@@ -54,8 +55,9 @@ def fit(labelled: DataFrame, pieces: int = PIECES, piece_chars: int = PIECE_CHAR
     sizes = usable.groupBy("lang", "order").agg(F.count(F.lit(1)).alias("n"))
     chosen = (sizes.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("order")))
               .filter(F.col("rank") <= pieces).select("lang", "order"))
+    place = F.pmod("order", F.greatest(F.length("text") - piece_chars, F.lit(0)) + 1).cast("int") + 1
     parts = (usable.join(cut_lineage(chosen), ["lang", "order"]).groupBy("lang", "order")
-             .agg(F.min(F.substring("text", 1, piece_chars)).alias("piece")))
+             .agg(F.min(F.substring(F.col("text"), place, F.lit(piece_chars))).alias("piece")))
     content = parts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("order", "piece"))).alias("parts"))
     counts = sizes.groupBy("lang").agg(F.sum("n").alias("texts"))
     rows = cut_lineage(content.join(counts, "lang")).collect()

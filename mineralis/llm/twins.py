@@ -21,7 +21,7 @@ targets as (
   from marked, left_over),
 placed as (
   select s.doc_id, s.size, t.source_size, t.target, t.c, floor(t.target)::bigint as whole,
-         coalesce(sum(s.size) over (partition by s.source order by s.k, s.doc_id nulls first
+         coalesce(sum(s.size) over (partition by s.source order by s.k, s.doc_id nulls first, s.size
              rows between unbounded preceding and 1 preceding), 0)::bigint as before
   from sized s join targets t on s.source is not distinct from t.source),
 timed as (select *, before::double / target as u from placed)
@@ -77,7 +77,8 @@ select anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 OP13 = r"""
 with d as (
   select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
-         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as words from documents),
+         regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') as words from documents),
 f as (
   select doc_id, part, len(words) < 200 as a, 100 * len(list_distinct(words)) < 50 * len(words) as b,
          100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) as c, regexp_matches(text, '[#$%&*|]') as d,

@@ -486,3 +486,48 @@ def test_repeats_with_a_full_map(spark, docs, monkeypatch):
     want = {(r.doc_id, r.n_bytes, r.kept) for r in repeats.remove_repeats(docs).collect()}
     monkeypatch.setattr(repeats, "MAP_BITS", 64)
     assert {(r.doc_id, r.n_bytes, r.kept) for r in repeats.remove_repeats(docs).collect()} == want
+
+
+def test_mixing_of_rows_with_one_id(spark):
+    """Rows of one id and different texts: what is taken does not depend on how they are dealt to tasks."""
+    rows = [(7, "w " * n, "en", "s", 0) for n in (5, 40, 3, 17, 40, 1)] + [(k, "w " * 9, "en", "t", 0) for k in range(30)]
+    taken = []
+    for parts, back in ((1, False), (5, True), (3, False)):
+        table = spark.createDataFrame(rows[::-1] if back else rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
+        taken.append(sorted((r.doc_id, r["size"], r.taken) for r in mixing.curriculum(table).collect()))
+    assert taken[0] == taken[1] == taken[2]
+
+
+def test_dictionaries_learn_from_any_place(spark):
+    """A header that all texts share is not the only thing learned, and every piece is one of its text's."""
+    rng = random.Random(6)
+    texts = ["shared header of every text " * 4 + " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(400)) for _ in range(30)]
+    made, = langid.fit(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string"), pieces=20, piece_chars=64)
+    content = made.content.decode()
+    assert content.count("shared header") < 10 and len(content) <= 20 * 65
+    short, = langid.fit(spark.createDataFrame([("only ten words of text", "en")], "text string, lang string"), pieces=5, piece_chars=64)
+    assert short.content == b"only ten words of text"
+
+
+def test_language_by_the_smallest_size(spark):
+    """Predictions against a plain loop over zstandard sizes."""
+    import zstandard
+
+    rng = random.Random(9)
+    vocabularies = {"aa": ["lorem", "ipsum", "dolor", "sit"], "bb": ["quick", "brown", "fox", "jumps"], "cc": ["eins", "zwei", "drei", "vier"]}
+    text = lambda lang, n: " ".join(rng.choices(vocabularies[lang], k=n))
+    teach = spark.createDataFrame([(text(lang, 40), lang) for lang in vocabularies for _ in range(12)], "text string, lang string")
+    made = langid.fit(teach)
+    rows = [(k, text(lang, 3 + k)) for k, lang in enumerate(sorted(vocabularies) * 5)] + [(90, None), (91, "12 !"), (92, "")]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), made).collect()}
+    for k, t in rows:
+        plain = langid._plain(t or "")
+        if not plain:
+            assert got[k] == "und"
+            continue
+        sizes = {}
+        for d in made:
+            held = zstandard.ZstdCompressionDict(d.content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[d.lang] = len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=held).compress(plain))
+        least = min(sizes.values())
+        assert sizes[got[k]] <= least + 1   # block sizes leave the frame's header out
