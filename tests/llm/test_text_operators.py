@@ -531,3 +531,50 @@ def test_language_by_the_smallest_size(spark):
             sizes[d.lang] = len(zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=held).compress(plain))
         least = min(sizes.values())
         assert sizes[got[k]] <= least + 1   # block sizes leave the frame's header out
+
+
+def plain_ftrl(rows, labels, bits):
+    """FTRL-proximal, coordinate by coordinate, with dictionaries."""
+    z, n, bias = {}, {}, 1 << bits
+
+    def weight(i):
+        zi, l1 = z.get(i, 0.0), 0.0 if i == bias else toxicity.L1
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - math.copysign(l1, zi)) / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for row, y in zip(rows, labels):
+            old = {i: weight(i) for i in row}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, math.fsum(old.values())))))
+            for i in row:
+                g = p - y
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * old[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: w for i in [*z, bias] if (w := weight(i))}
+
+
+def test_ftrl_against_a_plain_loop(spark):
+    """The whole operator: chosen rows, shards, their mean and the scores."""
+    from conftest import words
+
+    rng, bits = random.Random(31), 9
+    texts = {k: words(rng, rng.randint(1, 25)) + (" vile rot" * rng.randint(1, 3) if k % 3 == 0 else "") for k in range(70)}
+    docs = spark.createDataFrame([*texts.items(), (200, None), (201, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in texts], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True), max_rows=60, shard_rows=30, bits=bits)
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    chosen = sorted(texts, key=lambda k: (order[k], k))[:60]
+    hashes, want = WordHashes(), defaultdict(float)
+    indices = {k: sorted({int(i) for i in toxicity.features(texts[k], hashes, bits)}) for k in texts}
+    for shard in (0, 1):
+        own = [k for k in chosen if order[k] % 2 == shard]
+        for i, w in plain_ftrl([indices[k] + [1 << bits] for k in own], [int(k % 3 == 0) for k in own], bits).items():
+            want[i] += w / 2
+    assert abs(model[1] - want[1 << bits]) < 1e-9
+    assert all(abs(w - want.get(i, 0.0)) < 1e-6 for i, w in enumerate(model[0].tolist()))
+    assert 0 < np.count_nonzero(model[0]) < 1 << bits
+    for r in toxicity.score(docs, model).collect():
+        total = model[1] + sum(float(model[0][i]) for i in indices.get(r.doc_id, []))
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-6 and r.predicted == (r.score >= 0.7)
