@@ -43,6 +43,17 @@ def _lists(items: dict[str, object], n: int, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(out)), f"array<map<string,{kind}>>")
 
 
+def _ready_lists(folded: DataFrame) -> Column:
+    """The same literal of at most ``READY_WORDS`` rows (word, ids); tasks write the text of the maps, the driver
+    only puts them in a row."""
+    of = F.crc32(F.col("word").cast("binary")).bitwiseAND(F.lit(WORD_LISTS - 1).cast("long")).cast("int").alias("list")
+    maps = folded.groupBy(of).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "ids")))).alias("map"))
+    texts = ["{}"] * WORD_LISTS
+    for row in maps.toLocalIterator():
+        texts[row["list"]] = row["map"]
+    return F.from_json(F.lit(f"[{','.join(texts)}]"), "array<map<string,array<int>>>")
+
+
 def _look(lists: Column, n: int, key: Column) -> Column:
     return F.try_element_at(F.get(lists, F.crc32(key.cast("binary")).bitwiseAND(F.lit(n - 1).cast("long")).cast("int")), key)
 
@@ -125,9 +136,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ready_words:
     """
     lists = _rank_lists(ranks)
     folded = frequent_words(docs, pattern, ready_words).select("word", let(lists, lambda r: _fold(r, _bytes_of(F.col("word")))).alias("ids"))
-    ready = {row["word"]: row["ids"] for row in cut_lineage(folded.repartition("word")).collect()}   # at most ready_words rows
+    known = _ready_lists(cut_lineage(folded.repartition("word")))
     words = words_of(F.col("text"), pattern)
-    known = _lists(ready, WORD_LISTS, "array<int>")
     ids = let(lists, lambda r: let(known, lambda k: F.flatten(F.transform(
         words, lambda w: F.coalesce(_look(k, WORD_LISTS, w), _fold(r, _bytes_of(w)))))))
     return without(docs, "ids").withColumn("ids", ids)
