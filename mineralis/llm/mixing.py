@@ -72,8 +72,8 @@ def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, curves=CURVE
 
     ``taken`` counts the words read, repeats included, at most ``cap`` times ``size``; ``positions`` has
     the time of each pass over the document, in order (null for a document that is not read). A source's
-    documents follow each other in the order of the MD5 of their id, then the id (rows of one id by size and
-    text, so that reruns agree); the source's stream is
+    documents follow each other in the order of the MD5 of their id, then the id (rows of one id by size, so
+    that reruns agree; which of two texts of one id and size comes first is open); the source's stream is
     read again from its start while its demand lasts, so the words taken sum to the whole part of the
     target. Only the last document read may be read in part.
 
@@ -94,8 +94,7 @@ def curriculum(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, curves=CURVE
     before = F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before")
     offsets = buckets.select("source", "_bucket", before)
     offsets = _null_safe(offsets, targets, ["source"])
-    inside = W.partitionBy("source", "_bucket").orderBy(
-        "_key", F.col("doc_id").asc_nulls_first(), "size", F.xxhash64("text")).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "_bucket").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
     placed = sized.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = _null_safe(placed, offsets, ["source", "_bucket"])
     start = F.col("_before") + F.col("_inside")
