@@ -21,9 +21,9 @@ from ..session import cut_lineage
 from .common import let, without
 
 #: bound of the literal of ready-made words
-READY_WORDS = 196_608
+READY_WORDS = 98_304
 #: lists to a literal, powers of two: a list holds a few keys
-RANK_LISTS, WORD_LISTS = 65_536, 32_768
+RANK_LISTS, WORD_LISTS = 65_536, 16_384
 #: bytes up to which a word takes the fold that looks up every neighbour in every step
 SHORT = 64
 ABSENT = 2**31 - 1
