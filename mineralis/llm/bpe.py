@@ -1,11 +1,13 @@
-"""Byte-level BPE, encoded and decoded inside the JVM by higher-order functions.
+"""Byte-level BPE, encoded and decoded by higher-order functions over distinct words.
 
 A word (a match of the split pattern) is an array of its bytes, each byte a character of ISO 8859-1. A
 fold merges, again and again, the leftmost neighbours of lowest rank. Ranks are one literal: an array of
 small maps, found by the CRC-32 of a piece, because looking a key up in one large map would walk it.
 
-Words repeat, so the most frequent distinct words are folded once and become a second literal of fixed
-size; other words are folded where they stand. Any text gives the same ids either way.
+Words repeat, so frequent distinct words are folded once and sent to the tasks as Arrow arrays of bounded
+size. The distinct words of a text that are not among them are folded there, once a text, and their ids
+spliced in. A word of thousands of characters takes a heap instead of the fold, whose steps each walk the
+word. Any text gives the same ids either way.
 """
 
 from __future__ import annotations
@@ -13,19 +15,27 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import let, without
 
-#: bound of the literal of ready-made words
+#: bound of the ready-made words; each has at most ``SHORT`` bytes, so all of them have at most 31 MB
 READY_WORDS = 98_304
-#: lists to a literal, powers of two: a list holds a few keys
-RANK_LISTS, WORD_LISTS = 65_536, 16_384
+#: lists to the literal, a power of two: a list holds a few keys
+RANK_LISTS = 65_536
 #: bytes up to which a word takes the fold that looks up every neighbour in every step
 SHORT = 64
+#: characters beyond which a word takes the heap
+LONG = 512
+#: words that a task looks up at once, and bins to a doubling of counts
+BLOCK, BINS = 1_000_000, 16
 ABSENT = 2**31 - 1
 
 
@@ -43,17 +53,6 @@ def _lists(items: dict[str, object], n: int, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(out)), f"array<map<string,{kind}>>")
 
 
-def _ready_lists(folded: DataFrame) -> Column:
-    """The same literal of at most ``READY_WORDS`` rows (word, ids); tasks write the text of the maps, the driver
-    only puts them in a row."""
-    of = F.crc32(F.col("word").cast("binary")).bitwiseAND(F.lit(WORD_LISTS - 1).cast("long")).cast("int").alias("list")
-    maps = folded.groupBy(of).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("word", "ids")))).alias("map"))
-    texts = ["{}"] * WORD_LISTS
-    for row in maps.toLocalIterator():
-        texts[row["list"]] = row["map"]
-    return F.from_json(F.lit(f"[{','.join(texts)}]"), "array<map<string,array<int>>>")
-
-
 def _look(lists: Column, n: int, key: Column) -> Column:
     return F.try_element_at(F.get(lists, F.crc32(key.cast("binary")).bitwiseAND(F.lit(n - 1).cast("long")).cast("int")), key)
 
@@ -123,36 +122,129 @@ def words_of(text: Column, pattern: str) -> Column:
 
 
 def frequent_words(docs: DataFrame, pattern: str, limit: int = READY_WORDS) -> DataFrame:
-    """The ``limit`` most frequent words of all texts, equal counts in the order of the words."""
-    words = docs.select(F.explode(words_of(F.col("text"), pattern)).alias("word"))
-    return words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(limit).select("word")
+    """At most ``limit`` words of at most ``SHORT`` bytes: all that are as frequent as a threshold or more.
+
+    The threshold comes from a histogram of counts, so no task sorts all words. Words that occur once are
+    left out. Which words these are changes no ids.
+    """
+    words = docs.select(F.explode(words_of(F.col("text"), pattern)).alias("word")).filter(F.octet_length("word") <= SHORT)
+    counts = cut_lineage(words.groupBy("word").count().filter("count > 1"))
+    bins = counts.groupBy(F.floor(F.log2("count") * BINS).alias("bin")).count()   # at most 64 * BINS rows
+    least, taken = 64 * BINS, 0
+    for row in sorted(bins.collect(), reverse=True):
+        taken += row["count"]
+        if taken > limit:
+            break
+        least = row["bin"]
+    return counts.filter(F.floor(F.log2("count") * BINS) >= least).select("word")
+
+
+def heap_ids(ranks: dict[bytes, int], word: bytes) -> list[int]:
+    """Ids of one word by a heap of neighbours: n log n."""
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))   # part i ends at after[i]; 0: merged away
+    pair = lambda i, end: (ranks.get(word[i:end], ABSENT), i, end)
+    heap = [pair(i, i + 2) for i in range(n - 1)]
+    heapify(heap)
+    while heap and heap[0][0] != ABSENT:
+        _, i, end = heappop(heap)
+        mid = after[i]
+        if not 0 < mid < n or after[mid] != end:
+            continue
+        after[i], after[mid] = end, 0
+        if end < n:
+            before[end] = i
+            heappush(heap, pair(i, after[end]))
+        if before[i] >= 0:
+            heappush(heap, pair(before[i], end))
+    return [ranks[word[i:after[i]]] for i in range(n) if after[i]]
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` at ``starts`` one after the other, and where each begins (with the end)."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return values[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends
+
+
+def _in_blocks(work, column: pa.ListArray) -> pa.Array:
+    """``work`` over parts of the rows that have at most ``BLOCK`` elements, or one row."""
+    n = len(column)
+    if n < 2 or len(column.flatten()) <= BLOCK:
+        return work(column)
+    return pa.concat_arrays([_in_blocks(work, column.slice(0, n // 2)), _in_blocks(work, column.slice(n // 2))])
+
+
+def _lists_of(values, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def code_words(words: pa.ListArray, ready: pa.Array, ids: pa.ListArray, ranks: dict[bytes, int]) -> pa.StructArray:
+    """Per row ``runs`` of the ids of its words, cut where a word has none here; ``rest``, the distinct words that
+    have none; ``at``, which of those stands after each run but the last."""
+    flat, n = words.flatten(), len(words)
+    rows = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+    entry = pc.index_in(flat, value_set=ready).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    other = np.flatnonzero(entry < 0)
+    coded = flat.take(pa.array(other)).dictionary_encode()
+    code, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    # long words become entries behind the ready ones, the last entry is empty and stands for all that is left
+    is_long = pc.greater(pc.utf8_length(names), LONG).to_numpy(zero_copy_only=False).astype(bool)
+    heaps = [heap_ids(ranks, names[int(k)].as_py().encode()) for k in np.flatnonzero(is_long)]
+    entry[other] = np.where(is_long, len(ready) + np.cumsum(is_long) - 1, len(ready) + len(heaps))[code]
+    values = np.concatenate([ids.flatten().to_numpy(zero_copy_only=False), *[np.array(h, np.int32) for h in heaps]])
+    sizes = np.concatenate([ids.value_lengths().to_numpy(zero_copy_only=False), [len(h) for h in heaps], [0]]).astype(np.int64)
+    out, ends = _gather(values, (np.cumsum(sizes) - sizes)[entry], sizes[entry])
+    # distinct words left over, by row
+    rest, code = other[~is_long[code]], code[~is_long[code]]
+    row = np.searchsorted(rows, rest, "right") - 1
+    width = max(len(names), 1)
+    distinct, which = np.unique(row * width + code, return_inverse=True)
+    of_row = np.searchsorted(distinct, np.arange(n + 1) * width)
+    # a run ends before a word left over (odd) and at the end of a row (even, so before the next row's first word)
+    run_ends = np.concatenate([[0], ends[np.sort(np.concatenate([2 * rest + 1, 2 * rows[1:]])) // 2]])
+    rest_ends = np.searchsorted(rest, rows)
+    runs = _lists_of(_lists_of(pa.array(out, pa.int32()), run_ends), rest_ends + np.arange(n + 1))
+    at = _lists_of(pa.array(which - of_row[row], pa.int32()), rest_ends)
+    return pa.StructArray.from_arrays([runs, _lists_of(names.take(pa.array(distinct % width)), of_row), at], ["runs", "rest", "at"])
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ready_words: int = READY_WORDS) -> DataFrame:
     """``docs`` with ``ids``: array<int>, the tokens of the whole text.
 
     Null or empty text: an empty array. Strings that look like special tokens are ordinary text. Every
-    single byte must have a rank. Rows are taken one by one; a column named ``ids`` is replaced.
+    single byte must have a rank. Rows are taken one by one; a column named ``ids`` is replaced, one
+    named ``_coded`` goes. A word of any length costs n log n at most.
     """
     lists = _rank_lists(ranks)
-    folded = frequent_words(docs, pattern, ready_words).select("word", let(lists, lambda r: _fold(r, _bytes_of(F.col("word")))).alias("ids"))
-    known = _ready_lists(cut_lineage(folded.repartition("word")))
-    words = words_of(F.col("text"), pattern)
-    ids = let(lists, lambda r: let(known, lambda k: F.flatten(F.transform(
-        words, lambda w: F.coalesce(_look(k, WORD_LISTS, w), _fold(r, _bytes_of(w)))))))
-    return without(docs, "ids").withColumn("ids", ids)
+    frequent = frequent_words(docs, pattern, ready_words).repartition(32, "word")
+    folded = frequent.select("word", let(lists, lambda r: _fold(r, _bytes_of(F.col("word")))).alias("ids")).toArrow().combine_chunks()
+    ready = [pa.concat_arrays(folded[c].chunks) if folded[c].num_chunks else pa.array([], t)
+             for c, t in (("word", pa.string()), ("ids", pa.list_(pa.int32())))]
+    shared = docs.sparkSession.sparkContext.broadcast((*ready, ranks))
+
+    @F.arrow_udf("struct<runs: array<array<int>>, rest: array<string>, at: array<int>>")
+    def code(words: pa.Array) -> pa.Array:
+        return _in_blocks(lambda w: code_words(w, *shared.value), words)
+
+    # called nondeterministic, it stays a step of its own; else the optimizer would move it into the lambdas
+    coded = without(docs, "ids", "_coded").withColumn("_coded", code.asNondeterministic()(words_of(F.col("text"), pattern)))
+    folded = let(lists, lambda r: F.transform(F.col("_coded.rest"), lambda w: _fold(r, _bytes_of(w))))
+    ids = let(folded, lambda f: F.flatten(F.transform(
+        F.col("_coded.runs"), lambda run, k: let(F.get(F.col("_coded.at"), k), lambda at: F.when(at.isNull(), run).otherwise(F.concat(run, F.get(f, at)))))))
+    return coded.withColumn("ids", ids).drop("_coded")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``encoded`` with ``decoded``: the bytes of the ids' pieces, one after the other.
 
     Pieces are joined in hexadecimal and turned to bytes at the end, so a long text costs linear time. An
-    id without a piece makes the result null.
+    id without a piece puts in what is not hexadecimal, which makes the result null.
     """
-    pieces = [""] * (max(ranks.values()) + 1)
+    pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()
     listed = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
     parts = let(listed, lambda p: F.transform("ids", lambda i: F.get(p, i)))
-    whole = F.when(F.forall(parts, lambda x: F.coalesce(x, F.lit("")) != ""), F.unhex(F.array_join(parts, "")))
-    return without(encoded, "decoded").withColumn("decoded", whole)
+    return without(encoded, "decoded").withColumn("decoded", F.unhex(F.array_join(parts, "", "x")))

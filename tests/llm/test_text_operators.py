@@ -253,6 +253,47 @@ def test_bpe_edges(spark, clashing, empty_docs, ranks):
     assert bad.decoded is None
 
 
+def test_bpe_long_words(spark, ranks):
+    import public_tokenizers as P
+    import tiktoken
+
+    rng = random.Random(3)
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    texts = [letters, "a" * 5_000, "é日" * 900, f"so {letters[:600]} it {letters[:600]} is {letters[:400]}", letters[:512], letters[:513]]
+    for r in bpe.encode(spark.createDataFrame([(t,) for t in texts], "text string"), ranks, P.PATTERN).collect():
+        assert r.ids == encoding.encode_ordinary(r.text)
+
+
+def test_bpe_heap_equals_the_library(ranks):
+    import tiktoken
+
+    rng = random.Random(4)
+    encoding = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    for _ in range(500):
+        word = "".join(rng.choices("aeinrst=é", k=rng.randint(1, 60)))
+        assert bpe.heap_ids(ranks, word.encode()) == encoding.encode_ordinary(word)
+
+
+def test_bpe_blocks_and_runs(monkeypatch):
+    """Words known, long, and left over, in rows with and without each, whole and in parts."""
+    import pyarrow as pa
+
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256}
+    ready, ids = pa.array(["ab", "b"]), pa.array([[256], [98]], pa.list_(pa.int32()))
+    rows = [["ab", "x", "b", "x", "yy"], [], ["yy", "x"], [], ["b"], ["ab" * 300, "q"], ["x"] * 4, []]
+    own = lambda w: [256] * (len(w) // 2) if w[:2] == "ab" else list(w.encode())
+    words = pa.array([["z"], *rows], pa.list_(pa.string())).slice(1)
+    for block in (10**6, 1, 3):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        coded = bpe._in_blocks(lambda w: bpe.code_words(w, ready, ids, ranks), words).to_pylist()
+        assert [r["rest"] for r in coded] in ([["x", "yy"], [], ["x", "yy"], [], [], ["q"], ["x"], []], [["x", "yy"], [], ["yy", "x"], [], [], ["q"], ["x"], []])
+        for row, made in zip(rows, coded, strict=True):
+            assert len(made["runs"]) == len(made["at"]) + 1
+            joined = [i for k, run in enumerate(made["runs"]) for i in run + (own(made["rest"][made["at"][k]]) if k < len(made["at"]) else [])]
+            assert joined == [i for w in row for i in own(w)]
+
+
 # --- repeats ----------------------------------------------------------------------------------------
 
 def brute_repeats(rows):
