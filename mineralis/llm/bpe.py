@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import let, without
 
-#: bound of the ready-made words; each has at most ``SHORT`` bytes, so all of them have at most 31 MB
-READY_WORDS = 98_304
+#: bound of the ready-made words and of the bytes of each; with ids of four bytes all of them have at most 88 MB
+READY_WORDS, READY_BYTES = 524_288, 32
 #: lists to the literal, a power of two: a list holds a few keys
 RANK_LISTS = 65_536
 #: bytes up to which a word takes the fold that looks up every neighbour in every step
@@ -122,12 +122,12 @@ def words_of(text: Column, pattern: str) -> Column:
 
 
 def frequent_words(docs: DataFrame, pattern: str, limit: int = READY_WORDS) -> DataFrame:
-    """At most ``limit`` words of at most ``SHORT`` bytes: all that are as frequent as a threshold or more.
+    """At most ``limit`` words of at most ``READY_BYTES`` bytes: all that are as frequent as a threshold or more.
 
     The threshold comes from a histogram of counts, so no task sorts all words. Words that occur once are
     left out. Which words these are changes no ids.
     """
-    words = docs.select(F.explode(words_of(F.col("text"), pattern)).alias("word")).filter(F.octet_length("word") <= SHORT)
+    words = docs.select(F.explode(words_of(F.col("text"), pattern)).alias("word")).filter(F.octet_length("word") <= READY_BYTES)
     counts = cut_lineage(words.groupBy("word").count().filter("count > 1"))
     bins = counts.groupBy(F.floor(F.log2("count") * BINS).alias("bin")).count()   # at most 64 * BINS rows
     least, taken = 64 * BINS, 0
