@@ -20,9 +20,10 @@ def phase_columns(terms: DataFrame, elements: DataFrame) -> DataFrame:
     fractions = amounts.groupBy("material_id").agg(
         F.sort_array(F.collect_list(F.struct("element", "n"))).alias("a"), total.alias("total")).select(
         "material_id", F.transform("a", lambda t: t["n"] / F.col("total")).alias("fractions"))
-    rest = terms.drop("terms")
+    # one row a phase on every side: packed files of them look small enough to broadcast long before they are
+    rest = terms.drop("terms").hint("merge")
     return (chem.select(F.col("structure_id").alias("material_id"), "chemsys", "elements", F.col("reduced_formula").alias("formula"))
-            .join(fractions, "material_id").join(rest, "material_id"))
+            .join(fractions.hint("merge"), "material_id").join(rest, "material_id"))
 
 
 def powerset(elements: Column) -> Column:
@@ -34,9 +35,13 @@ def powerset(elements: Column) -> Column:
 
 def best_per_formula(phases: DataFrame) -> DataFrame:
     """Phase with the lowest energy above hull per formula; an unknown one counts as 9.0."""
-    rank = F.struct(F.coalesce("ehull", F.lit(9.0)).alias("ehull_rank"), "material_id")
-    return phases.groupBy("formula").agg(F.min(rank).alias("r")).select(
-        "formula", F.col("r.material_id").alias("material_id"), F.col("r.ehull_rank").alias("ehull_rank"))
+    return _best(phases).select("formula", "material_id", "ehull_rank")
+
+
+def _best(phases: DataFrame, *more: str) -> DataFrame:
+    """The rows of ``best_per_formula`` with ``more`` of their columns."""
+    rank = F.struct(F.coalesce("ehull", F.lit(9.0)).alias("ehull_rank"), "material_id", *more)
+    return phases.groupBy("formula").agg(F.min(rank).alias("r")).select("formula", "r.*")
 
 
 def hull_candidates(targets: DataFrame, phases: DataFrame, tol: float = HULL_REF_TOL,
@@ -46,8 +51,7 @@ def hull_candidates(targets: DataFrame, phases: DataFrame, tol: float = HULL_REF
     Near-stable best phases over every sub-system, plus one elemental endpoint per element even when
     it is not near-stable. Cells above ``max_atoms``, if one is given, stay listed as skipped.
     """
-    best = phases.join(best_per_formula(phases).select("material_id", "ehull_rank"), "material_id").select(
-        "material_id", "formula", "chemsys", "ehull_rank", "n_cell_atoms", "elements")
+    best = _best(phases, "chemsys", "n_cell_atoms", "elements")
     subs = targets.select(F.col("chemsys").alias("target_chemsys"), F.explode(powerset(F.split("chemsys", "-"))).alias("chemsys"))
     inside = subs.join(best, "chemsys")
     single = inside.filter(F.size("elements") == 1)
@@ -62,7 +66,7 @@ def hull_candidates(targets: DataFrame, phases: DataFrame, tol: float = HULL_REF
 
 def hull_coverage(targets: DataFrame, candidates: DataFrame, phases: DataFrame) -> DataFrame:
     """Which elements of a target system no usable reference covers, and the state that follows."""
-    used = candidates.filter("not skipped").join(phases.select("material_id", "elements"), "material_id")
+    used = candidates.filter("not skipped").join(phases.select("material_id", "elements").hint("merge"), "material_id")
     covered = used.select("target_chemsys", "material_id", F.explode("elements").alias("element")).groupBy("target_chemsys").agg(
         F.collect_set("element").alias("covered"), F.count_distinct("material_id").alias("n_refs"))
     t = targets.select(F.col("chemsys").alias("target_chemsys")).distinct().join(covered, "target_chemsys", "left")
@@ -217,7 +221,7 @@ def energy_above_hull(targets: DataFrame, references: DataFrame, digits: int = 4
 def aligned_references(candidates: DataFrame, phases: DataFrame) -> DataFrame:
     """References with their fractions in the element order of the target system."""
     usable = candidates.filter("not skipped").join(
-        phases.select("material_id", "elements", "fractions", "energy"), "material_id")
+        phases.select("material_id", "elements", "fractions", "energy").hint("merge"), "material_id")
     aligned = F.transform(F.split("target_chemsys", "-"), lambda e: F.coalesce(
         F.try_element_at(F.map_from_arrays("elements", "fractions"), e), F.lit(0.0)))
     return usable.select("target_chemsys", "formula", aligned.alias("fractions"), "energy")

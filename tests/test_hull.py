@@ -84,3 +84,18 @@ def test_reasons(spark):
     none = spark.createDataFrame([], REFERENCE)
     assert H.energy_above_hull(spark.createDataFrame([], TARGET), none).count() == 0
     assert {r.reason for r in H.energy_above_hull(spark.createDataFrame(targets, TARGET), none).collect()} == {"no references"}
+
+
+def test_tables_of_phases_are_not_broadcast(spark, tmp_path):
+    """Packed files of phases are far smaller than the phases, so their size alone would have them broadcast."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(20000).select(F.col("id").alias("material_id"), F.array(F.lit("Fe"), F.lit("O")).alias("elements"), F.array(F.lit(0.5), F.lit(0.5)).alias("fractions"),
+                                    F.lit(-1.0).alias("energy"), F.lit(0.0).alias("ehull"), F.lit("FeO").alias("formula"), F.lit("Fe-O").alias("chemsys"), F.lit(4).alias("n_cell_atoms"))
+    ids.write.parquet(str(tmp_path / "phases"))
+    phases = spark.read.parquet(str(tmp_path / "phases"))
+    candidates = H.hull_candidates(phases.select("chemsys").distinct(), phases)
+    assert H.aligned_references(candidates, phases).collect() == [("Fe-O", "FeO", [0.5, 0.5], -1.0)]
+    for df in (H.aligned_references(candidates, phases), H.hull_coverage(phases.select("chemsys"), candidates, phases)):
+        joins = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "material_id" in line]
+        assert joins and not any("Broadcast" in line and "target_chemsys" not in line for line in joins), joins
