@@ -82,7 +82,7 @@ def _(spark, sf):
     p, c = _candidates(spark, sf)
     cov = H.hull_coverage(p.select("chemsys"), c, p).select(F.col("target_chemsys").alias("chemsys"), F.col("state").alias("coverage"))
     m = F.col("material_id")
-    return p.join(cov, "chemsys").select("material_id", H.hull_states(m % 23 == 0, m % 29 != 0, F.size("elements"), F.col("coverage"), m % 31 != 0).alias("state"))
+    return p.hint("merge").join(cov, "chemsys").select("material_id", H.hull_states(m % 23 == 0, m % 29 != 0, F.size("elements"), F.col("coverage"), m % 31 != 0).alias("state"))
 
 
 # shares from barycentric coordinates; one- and two-component mixtures are their edges and corners
@@ -115,21 +115,21 @@ _HULL = f"""with {_CAND},
         union all select material_id, chemsys, null, null, null, null, case when any_ref then 'no elemental endpoint' else 'no references' end from v_phase join has using (material_id) where not whole)"""
 
 
-def _hull(spark, sf, shift=0.0):
+def _hull(spark, sf, target, shift=0.0):
     p, c = _candidates(spark, sf)
-    targets = p.select(F.col("material_id").alias("target_id"), "chemsys", "fractions", "energy")
+    targets = p.select(target.alias("target_id"), "chemsys", "fractions", "energy")
     refs = H.aligned_references(c, p).withColumn("energy", F.col("energy") + shift)
-    return targets, H.energy_above_hull(targets, refs, digits=6)
+    return H.energy_above_hull(targets, refs, digits=6)
 
 
 @query("energy_above_hull", _HULL + " select * exclude (chemsys) from result", _P)
 def _(spark, sf):
-    return _hull(spark, sf)[1]
+    return _hull(spark, sf, F.col("material_id"))
 
 
 @query("injected_references", _HULL + " select chemsys, count(e_above_hull) as n_targets, round(sum(e_above_hull + 0.1), 4) as above from result group by 1", _P)
 def _(spark, sf):
     """Caller-supplied references in place of the selected ones: any table of the same columns."""
-    targets, solved = _hull(spark, sf, -0.1)
-    return solved.join(targets.select("target_id", "chemsys"), "target_id").groupBy("chemsys").agg(
+    solved = _hull(spark, sf, F.struct("material_id", "chemsys"), -0.1)
+    return solved.groupBy(F.col("target_id.chemsys").alias("chemsys")).agg(
         F.count("e_above_hull").alias("n_targets"), F.round(F.sum("e_above_hull"), 4).alias("above"))
