@@ -1,8 +1,9 @@
 """Zip archives as a splittable source and as a packed sink.
 
-A zip file ends with a directory of its members, so one archive can be read by many tasks: the directory is
-walked once to cut it into slices of about equal size, and a task reads its slice of the directory and then
-only the bytes of its own members. Nothing but the slices' places reaches the driver, however many members there are.
+A zip file ends with a directory of its members, so one archive can be read by many tasks: the directory of a
+large archive is walked once to cut it into slices of about equal size, and a task reads its slice of the directory
+and then only the bytes of its own members. Nothing but the slices' places reaches the driver, however many members
+there are.
 
 The sink writes one archive per task (a few hundred for a million members, where a folder per member would be
 a million) and an index of each member's place, so that one member can be read without its archive's others.
@@ -150,6 +151,9 @@ def slices(uri: str, split_bytes: int) -> list[Slice]:
             raw, size = _open(files, path)
             with raw, io.BufferedReader(raw, READ_AHEAD) as source:
                 start, length = directory(source, size)
+                if size <= split_bytes:   # one slice, so its entries need no look
+                    out += [Slice(path, start, length)] if length else []
+                    continue
                 begun = at = start
                 full = 0
                 for used, member in entries(source, start, length):
