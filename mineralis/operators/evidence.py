@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import (ALTERNATE_CUT, CONFIDENT_STATES, CONTACT_CUT, FULL_SITE_OCC, LIGHT_LIGANDS,
                          ORIENT_CUT, ORIENT_OCC, PARTIAL_OCC, SLAVE_BOND, SLAVE_OCC_TOL, SLAVE_RANK)
+from ..session import cut_lineage
 from .pairs import both_ways, half_pairs, nearest_image
 
 
@@ -161,11 +162,13 @@ def slaved_orbits(sites: DataFrame, lattice: DataFrame | None) -> DataFrame:
     """Follower orbits whose atoms exist only where a partial parent orbit is occupied.
 
     Candidate orbit pairs come from the bonded positions, never from pairing orbits with orbits: a
-    parent qualifies only when each of its positions has a follower in bond range.
+    parent qualifies only when each of its positions has a follower in bond range. Parents have a partial
+    species and followers none else, so only positions with a partial species are paired.
     """
     low, high = SLAVE_BOND
+    partial = sites.filter(F.exists("species", lambda s: s["occ"] < FULL_SITE_OCC))
     # the closed upper end of the bond range needs a cutoff just above it
-    pairs = both_ways(site_pairs(sites, lattice, high * 1.001, ("signature",)), ("signature",)).filter(
+    pairs = both_ways(site_pairs(partial, lattice, high * 1.001, ("signature",)), ("signature",)).filter(
         F.col("d").between(low, high) & (F.col("signature_i") != F.col("signature_j")))
     matched = pairs.groupBy("structure_id", F.col("signature_i").alias("parent"),
                             F.col("signature_j").alias("follower")).agg(F.count_distinct("i").alias("n_matched"))
@@ -233,13 +236,15 @@ def orientation_orbits(sites: DataFrame, lattice: DataFrame | None, slaved: Data
         "structure_id", "signature", F.col("species")[0]["element"].alias("element"), "occ_total", "n_positions")
     anchors = sites.filter((F.col("n_species") == 1) & (F.col("occ_total") >= FULL_SITE_OCC)).groupBy(
         "structure_id", F.col("major").alias("element")).agg(F.count(F.lit(1)).alias("n_anchors"))
-    pairs = both_ways(site_pairs(sites, lattice, ORIENT_CUT, ("signature", "major", "occ_total", "n_species")),
-                      ("signature", "major", "occ_total", "n_species"))
+    # anchors and alternatives hold one element each, the alternatives of an anchor the same
+    carry = ("signature", "major", "occ_total")
+    occ = F.col("species")[0]["occ"]
+    apart = sites.filter((F.col("n_species") == 1) & ((F.col("occ_total") >= FULL_SITE_OCC) | (occ < FULL_SITE_OCC) & occ.between(low, high)))
+    pairs = cut_lineage(both_ways(site_pairs(apart, lattice, ORIENT_CUT, carry), carry).filter("major_i = major_j").drop("d"))
     near = pairs.filter("signature_i = signature_j").groupBy("structure_id", F.col("i").alias("pos")).agg(
         F.collect_list("j").alias("near"))
     claims = (
-        pairs.filter((F.col("occ_total_i") >= FULL_SITE_OCC) & (F.col("n_species_i") == 1)
-                     & (F.col("major_i") == F.col("major_j")))
+        pairs.filter(F.col("occ_total_i") >= FULL_SITE_OCC)
         .select("structure_id", F.col("i").alias("anchor"), F.col("j").alias("pos"), F.col("signature_j").alias("signature"))
         .join(part.select("structure_id", "signature", "occ_total"), ["structure_id", "signature"])
         .join(near, ["structure_id", "pos"], "left")

@@ -35,6 +35,28 @@ def cartesian_norm(delta: list[Column], m: Column) -> Column:
     return F.sqrt(xyz[0] * xyz[0] + xyz[1] * xyz[1] + xyz[2] * xyz[2])
 
 
+def _probes(base: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """A row per site and bucket that half of its shell reaches.
+
+    Images whose buckets coincide, as all do in a small cell, travel as one row: the first image, how many follow
+    it in steps of a cell, and the bucket that they share.
+    """
+    probe = base
+    for a in _AXES:
+        n, r = F.col(f"n{a}"), F.col(f"r{a}")
+        probe = probe.withColumn(f"s{a}", F.explode(F.sequence(-r, F.least(r, n - 1 - r)))).withColumn(
+            f"k{a}", F.floor((r - F.col(f"s{a}")) / n).cast("int"))
+    # half of the shell: each unordered pair (with its image) is met from one side only
+    last = {a: F.col(f"s{a}") + F.col(f"k{a}") * F.col(f"n{a}") for a in _AXES}
+    level = {a: F.col(f"s{a}") % F.col(f"n{a}") == 0 for a in _AXES}
+    probe = probe.filter((last["x"] > 0) | (level["x"] & ((last["y"] > 0) | (level["y"] & (last["z"] >= 0)))))
+    return probe.select(
+        "structure_id", F.col("site").alias("i"), *[F.col(a).alias(f"{a}_i") for a in _AXES],
+        *[F.col(c).alias(f"{c}_i") for c in carry], *[F.col(f"{p}{a}") for p in "nsk" for a in _AXES],
+        *[F.pmod(F.col(f"w{a}") + F.col(f"s{a}"), F.col(f"n{a}")).alias(f"b{a}") for a in _AXES],
+        *[F.floor((F.col(f"w{a}") + F.col(f"s{a}")) / F.col(f"n{a}")).cast("int").alias(f"g{a}") for a in _AXES])
+
+
 def half_pairs(points: DataFrame, lattice: DataFrame | None, cutoff: float, site: str = "atom",
                carry: tuple[str, ...] = ()) -> DataFrame:
     """Every pair closer than ``cutoff`` once per periodic image: structure_id, i, j, d and the
@@ -57,25 +79,20 @@ def half_pairs(points: DataFrame, lattice: DataFrame | None, cutoff: float, site
         base = base.withColumn(f"r{axis}", F.ceil(F.lit(cutoff) * F.col(f"n{axis}") / heights[k]).cast("int"))
         base = base.withColumn(f"w{axis}", F.least(F.floor(F.col(axis) * F.col(f"n{axis}")).cast("int"),
                                                    F.col(f"n{axis}") - 1))
-    # half of the shell: each unordered pair (with its image) is met from one side only
-    probe = base
-    for axis in _AXES:
-        probe = probe.withColumn(f"s{axis}", F.explode(F.sequence(-F.col(f"r{axis}"), F.col(f"r{axis}"))))
-    sx, sy, sz = (F.col(f"s{a}") for a in _AXES)
-    probe = probe.filter((sx > 0) | ((sx == 0) & ((sy > 0) | ((sy == 0) & (sz >= 0)))))
-    home = (sx == 0) & (sy == 0) & (sz == 0)
-    probe = probe.select(
-        "structure_id", F.col("site").alias("i"), *[F.col(a).alias(f"{a}_i") for a in _AXES],
-        *[F.col(c).alias(f"{c}_i") for c in carry], "lattice", home.alias("home"),
-        *[F.pmod(F.col(f"w{a}") + F.col(f"s{a}"), F.col(f"n{a}")).alias(f"b{a}") for a in _AXES],
-        *[F.floor((F.col(f"w{a}") + F.col(f"s{a}")) / F.col(f"n{a}")).alias(f"g{a}") for a in _AXES])
+    probe = _probes(base, carry)
     other = base.select(
-        "structure_id", F.col("site").alias("j"), *[F.col(a).alias(f"{a}_j") for a in _AXES],
+        "structure_id", F.col("site").alias("j"), *[F.col(a).alias(f"{a}_j") for a in _AXES], "lattice",
         *[F.col(c).alias(f"{c}_j") for c in carry], *[F.col(f"w{a}").alias(f"b{a}") for a in _AXES])
     joined = probe.join(other, ["structure_id", "bx", "by", "bz"])
+    for a in _AXES:
+        joined = joined.withColumn("t", F.explode(F.sequence(F.lit(0), F.col(f"k{a}")))).withColumn(
+            f"g{a}", F.col(f"g{a}") + F.col("t")).withColumn(f"s{a}", F.col(f"s{a}") + F.col("t") * F.col(f"n{a}"))
+    sx, sy, sz = (F.col(f"s{a}") for a in _AXES)
+    home = (sx == 0) & (sy == 0) & (sz == 0)
+    joined = joined.filter((sx > 0) | ((sx == 0) & ((sy > 0) | ((sy == 0) & (sz >= 0)))))
     delta = [F.col(f"{a}_j") + F.col(f"g{a}") - F.col(f"{a}_i") for a in _AXES]
     return (
-        joined.filter(~F.col("home") | (F.col("i") < F.col("j")))
+        joined.filter(~home | (F.col("i") < F.col("j")))
         .withColumn("d", cartesian_norm(delta, F.col("lattice")))
         .filter(F.col("d") < cutoff)
         .select("structure_id", "i", "j", "d", *[f"{c}_{s}" for c in carry for s in "ij"])

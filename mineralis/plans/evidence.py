@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
+from ..session import cut_lineage
 from . import views as V
 from .registry import query
 
@@ -159,7 +160,7 @@ _ORBIT_SQL = """orbit as (select structure_id, signature, count(*) as n, min(pos
     from cand where trig is not null qualify row_number() over (partition by structure_id, follower order by first_pos) = 1""",
        ("v_pospair", "v_species"))
 def _(spark, sf):
-    return E.slaved_orbits(sites(spark, sf), None)
+    return E.slaved_orbits(cut_lineage(sites(spark, sf)), None)
 
 
 @query("rigid_shells", """with pm as (select p.*, a.major as mi, b.major as mj, b.occ_total as occ_j from v_pospair p
@@ -181,7 +182,7 @@ def _(spark, sf):
 
 @query("orientation_orbits")
 def _(spark, sf):
-    s = sites(spark, sf)
+    s = cut_lineage(sites(spark, sf))
     return E.orientation_orbits(s, None, E.slaved_orbits(s, None))
 
 

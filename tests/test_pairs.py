@@ -6,6 +6,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mineralis.operators import pairs as P
 
@@ -147,3 +148,14 @@ def test_clash_ratio_at_any_distance(spark):
         assert (r.n_impossible, r.n_coincident, r.flag, r.dup_flag) == (len(bad), len(same), "superposition" if bad else None, "duplicate" if same else None)
         assert [t.split(" ")[0] for t in r.impossible] == [b[3] for b in sorted(bad)[:3]]
         assert [t.split(" ")[0] for t in r.coincident] == [b[3] for b in sorted(same)[:3]]
+
+
+def test_images_in_one_bucket_probe_once(spark):
+    """In a cell of one bucket each site meets the join once, not once an image."""
+    from mineralis.operators import pairs as P
+
+    sites = [(1, k, k / 7, k / 5 % 1, k / 3 % 1, [5.0, 0.0, 0.0, 0.0, 5.0, 0.0, 0.0, 0.0, 5.0]) for k in range(6)]
+    df = spark.createDataFrame(sites, "structure_id long, site int, x double, y double, z double, lattice array<double>")
+    for a in "xyz":
+        df = df.withColumn(f"n{a}", F.lit(1)).withColumn(f"r{a}", F.lit(1)).withColumn(f"w{a}", F.lit(0))
+    assert P._probes(df, ()).count() == 6
