@@ -37,7 +37,7 @@ def scan_packed_text(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.text(path, lineSep=RECORD_SEP).filter(F.trim("value") != "")
         .select(F.split_part(record, F.lit("\n"), F.lit(1)).alias("filename"),
-                F.regexp_replace(record, r"^[^\n]*\n", "").alias("text"))
+                F.substring(record, F.instr(record, "\n") + 1, F.length(record)).alias("text"))
     )
 
 

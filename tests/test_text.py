@@ -130,3 +130,19 @@ def test_record_discovery(spark, tmp_path):
     assert sorted((r.dir, r.file, r.kind) for r in best.collect()) == sorted([
         (tmp_path.name, "record.json", "mar-1.0"), ("a", "record.json", "mar-1.0"), ("b", "record.json", "deaverage")])
     assert sorted((r.dir, r.file) for r in rejected.collect()) == [("a", "deaverage_output.json"), ("c", "record.json")]
+
+
+def test_a_formula_is_read_once(spark):
+    """The terms of a formula are found by one pair of patterns, not again for each element and column."""
+    df = spark.createDataFrame([("entry_1.cif", "_chemical_formula_sum 'Fe2 O3 Fe'\n")], "filename string, text string")
+    plan = X.parse_entry(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2, plan
+    r = X.parse_entry(df).first()
+    assert (r.chemsys, r.reduced_formula, r.formula_sum, r.parse_error) == ("Fe-O", "FeO", "Fe2 O3 Fe", None)
+
+
+def test_only_loops_with_an_occupancy_are_taken_apart(spark):
+    text = "loop_\n_Atom_Site_Occupancy\n_atom_site_fract_x\n0.5(1) 0\n0.25 0\nloop_\n_other\n0.1\n"
+    df = spark.createDataFrame([(text,), ("loop_\n_other\n0.1\n",), (None,)], "text string")
+    assert [tuple(r) for r in df.select(X.min_site_occupancy(F.col("text")), F.size(X.loops(F.col("text"), "_atom_site_occupancy"))).collect()] == [
+        (0.25, 1), (None, 0), (None, None)]
