@@ -165,9 +165,7 @@ def _frames(spark, sf):
 def _written_frames(spark, sf):
     path = scratch_path(spark, "ensemble")
     W.write_ensemble(_frames(spark, sf), path)
-    files = spark.read.option("basePath", path).text(path, wholetext=True)
-    named = files.select("entry", F.concat_ws("#", "entry", F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("file"), F.col("value").alias("text"))
-    return named
+    return R.scan_packed_text(spark, path).withColumnRenamed("filename", "file")
 
 
 @query("scan_frames", """select label, mode, energy, 2 as n_atoms, 'Fe 0.0 0.0 0.0' as first_atom from v_valid where valid""", _VALID)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LEDGER_FIELDS
+from ..operators.ranking import ordinal_rank
 from .archives import write_zip
 from .index import write_index  # noqa: F401
 from .readers import RECORD_SEP
@@ -50,15 +51,20 @@ def frame_text(n_atoms: Column, comment: Column, atoms: Column) -> Column:
     return F.concat_ws("\n", n_atoms.cast("string"), comment, F.array_join(atoms, "\n"))
 
 
-def write_ensemble(frames: DataFrame, path: str, order: str = "energy", frames_per_file: int = 100_000) -> None:
-    """Frames by energy, one folder per entry.
+def write_ensemble(frames: DataFrame, path: str, order: str = "energy", frames_per_record: int = 1000, rows_per_task: int = 1_000_000) -> None:
+    """Frames by energy, packed: a record is named ``entry#part`` and holds up to ``frames_per_record`` frames.
 
-    An entry's frames are range-partitioned with the entry, so a very large ensemble spreads over
-    several files that still follow each other in energy.
+    ``frames``: entry, ``order``, frame; of equal energies a hash of the text decides. The parts of an entry follow each
+    other in energy, so a very large ensemble spreads over several records. ``scan_packed_text`` reads them
+    back; the number of files does not grow with the number of entries. A frame must not hold the record separator.
     """
-    (frames.repartitionByRange("entry", order).sortWithinPartitions("entry", order)
-     .select("entry", F.col("frame").alias("value"))
-     .write.option("maxRecordsPerFile", frames_per_file).partitionBy("entry").text(path))
+    tied = frames.select("entry", order, "frame", F.xxhash64("frame").alias("_tie"))
+    ranked = ordinal_rank(tied, ["entry"], order, "_tie", out="_rank", rows_per_task=rows_per_task)
+    part = F.floor((F.col("_rank") - 1) / frames_per_record)
+    records = ranked.groupBy("entry", part.alias("_part")).agg(F.sort_array(F.collect_list(F.struct("_rank", "frame"))).alias("_frames"))
+    name = F.format_string("%s#%08d", F.col("entry").cast("string"), "_part")
+    text = F.concat(F.array_join(F.transform("_frames", lambda f: f["frame"]), "\n"), F.lit("\n"))
+    write_packed_text(records.select(name.alias("filename"), text.alias("text")), path)
 
 
 def write_records(records: DataFrame, path: str) -> None:

@@ -146,3 +146,22 @@ def test_only_loops_with_an_occupancy_are_taken_apart(spark):
     df = spark.createDataFrame([(text,), ("loop_\n_other\n0.1\n",), (None,)], "text string")
     assert [tuple(r) for r in df.select(X.min_site_occupancy(F.col("text")), F.size(X.loops(F.col("text"), "_atom_site_occupancy"))).collect()] == [
         (0.25, 1), (None, 0), (None, None)]
+
+
+def test_ensembles_are_packed(spark, tmp_path):
+    """Files do not grow with the entries, records are bounded, and their parts follow each other in energy."""
+    frames = spark.range(600).selectExpr(
+        "id % 60 as entry", "cast((id * 37) % 11 as double) as energy", "concat('1\nE=', (id * 37) % 11, ' key=k', id, '\nFe 0 0 0') as frame")
+    frames = frames.unionByName(spark.range(95).selectExpr("60 as entry", "cast(id % 7 as double) as energy", "concat('1\nE=', id % 7, ' key=h', id, '\nFe 0 0 0') as frame"))
+    for rows_per_task in (1_000_000, 20):   # the second cuts the large entry at quantiles
+        path = tmp_path / str(rows_per_task)
+        W.write_ensemble(frames.repartition(3), str(path), frames_per_record=10, rows_per_task=rows_per_task)
+        assert len(list(path.rglob("part-*"))) < 60
+        got = R.scan_frames(R.scan_packed_text(spark, str(path)).withColumnRenamed("filename", "file")).orderBy("file", "frame_index").collect()
+        by_entry = {}
+        for r in got:
+            by_entry.setdefault(int(r.file.split("#")[0]), []).append((r.file, float(r.comment.split()[0][2:]), r.comment.split("key=")[1]))
+        assert len(by_entry) == 61 and {len(v) for k, v in by_entry.items() if k < 60} == {10} and len(by_entry[60]) == 95
+        assert len({key for v in by_entry.values() for _, _, key in v}) == 695
+        assert all([e for _, e, _ in v] == sorted(e for _, e, _ in v) for v in by_entry.values())
+        assert len({file for file, _, _ in by_entry[60]}) == 10
