@@ -84,12 +84,12 @@ def _(spark, sf):
 
 def _formula(spark, sf):
     """Formula amounts: each raised row counts double, every fourth position nothing."""
-    return V.site(spark, sf).groupBy("structure_id", "element").agg(
+    return V.site_parts(spark, sf).groupBy("structure_id", "element").agg(
         F.sum(F.when(F.col("pos") % 4 != 3, 1.0 + F.col("raised")).otherwise(0.0)).alias("expected"))
 
 
 def _found(spark, sf):
-    return V.site(spark, sf).groupBy("structure_id", "element").agg(
+    return V.site_parts(spark, sf).groupBy("structure_id", "element").agg(
         F.sum(F.when(F.col("pos") != 0, F.col("occ")).otherwise(0.0)).alias("located"))
 
 
