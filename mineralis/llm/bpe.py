@@ -1,7 +1,7 @@
 """Byte-level BPE, encoded and decoded by higher-order functions over distinct words.
 
 A word (a match of the split pattern) is an array of its bytes, each byte a character of ISO 8859-1. A
-fold merges, again and again, the leftmost neighbours of lowest rank. Ranks are one literal: an array of
+fold merges, again and again, the leftmost neighbours of lowest rank. Ranks are one value: an array of
 small maps, found by the CRC-32 of a piece, because looking a key up in one large map would walk it.
 
 Words repeat, so frequent distinct words are folded once and sent to the tasks as Arrow arrays of bounded
@@ -20,7 +20,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -28,9 +28,9 @@ from .common import let, without
 
 #: bound of the ready-made words and of the bytes of each; with ids of four bytes all of them have at most 88 MB
 READY_WORDS, READY_BYTES = 524_288, 32
-#: lists to the literal, a power of two: a list holds a few keys
+#: lists to that value, a power of two: a list holds a few keys
 RANK_LISTS = 65_536
-#: bytes up to which a word takes the fold that looks up every neighbour in every step
+#: bytes up to which a word takes the fold that keeps places and ranks in one number
 SHORT = 64
 #: characters beyond which a word takes the heap
 LONG = 512
@@ -45,12 +45,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def _lists(items: dict[str, object], n: int, kind: str) -> Column:
-    """Literal array of ``n`` maps; a key is in the one of its CRC-32, modulo ``n``."""
+def _held(spark: SparkSession, value: object, kind: str) -> Column:
+    """``value`` as a scalar subquery over one written row. A lambda takes it by the name of a column, into which the
+    optimizer puts it.
+
+    A literal would be printed into every description of a plan, some megabytes each, and the driver keeps those.
+    """
+    row = spark.createDataFrame([(json.dumps(value),)], "text string")
+    return cut_lineage(row.select(F.from_json("text", kind).alias("value"))).scalar()
+
+
+def _lists(spark: SparkSession, items: dict[str, object], n: int, kind: str) -> Column:
+    """Array of ``n`` maps; a key is in the one of its CRC-32, modulo ``n``."""
     out: list[dict] = [{} for _ in range(n)]
     for key, value in items.items():
         out[zlib.crc32(key.encode()) % n][key] = value
-    return F.from_json(F.lit(json.dumps(out)), f"array<map<string,{kind}>>")
+    return _held(spark, out, f"array<map<string,{kind}>>")
 
 
 def _look(lists: Column, n: int, key: Column) -> Column:
@@ -62,21 +72,31 @@ def _bytes_of(word: Column) -> Column:
 
 
 def _short_fold(rank, w: Column, n: Column) -> Column:
-    """Pieces of a word of at most ``SHORT`` bytes, kept as the places where they begin.
+    """Ids of a word of at most ``SHORT`` bytes; its pieces are kept as the places where they begin.
 
-    Each step looks all neighbours up; rank and place of the lowest pair travel in one number, and the
-    merge takes the second piece's place away. A step without a pair takes away nothing.
+    A place carries in one number, above itself, the rank of its piece with the next one. Each step takes
+    away the second place of the lowest pair and looks up again the two pairs that this changes. A step
+    without a pair changes nothing. Names are bound by folds over one element: taking an element out of a
+    transformed array, Spark works out its type, and so walks the lambda, at every call.
     """
+    width = 2 * SHORT   # a place is below it
+    place = lambda x: x.bitwiseAND(F.lit(width - 1).cast("long")).cast("int")
+    piece = lambda x, end: F.substring(w, place(x), place(end) - place(x))
+    ranked = lambda s, piece: s.cast("long") + F.coalesce(rank(piece).cast("long") * width, F.lit(ABSENT * width))
+
+    def merged(places, first):   # the pairs at ``first`` and after it change; where they end is two further on than before
+        return F.transform(F.array_remove(places, F.get(places, first + 2)), lambda x, i: F.when(
+            (i >= first) & (i <= first + 1), ranked(place(x), piece(x, F.get(places, i + 3)))).otherwise(x))
 
     def step(places, _):
-        pairs = F.transform(places, lambda s, i: rank(F.substring(w, s, F.get(places, i + 2) - s)).cast("long") * SHORT + i)
-        second = F.get(places, F.array_min(pairs).bitwiseAND(F.lit(SHORT - 1).cast("long")).cast("int") + 1)
-        return F.array_remove(places, F.coalesce(second, F.lit(0)))
+        return F.aggregate(F.array(F.array_min(places)), places, lambda now, low: F.when(low >= F.lit(ABSENT * width), now).otherwise(
+            F.aggregate(F.array(F.array_position(now, low).cast("int") - 2), now, merged)))
 
-    def pieces(places):
-        return F.transform(F.slice(places, 1, F.size(places) - 1), lambda s, i: F.substring(w, s, F.get(places, i + 1) - s))
+    def ids(places):
+        return F.transform(F.slice(places, 1, F.size(places) - 1), lambda x, i: rank(piece(x, F.get(places, i + 1))))
 
-    return let(F.aggregate(F.sequence(F.lit(2), n), F.sequence(F.lit(1), n + 1), step), pieces)
+    start = F.transform(F.sequence(F.lit(1), n + 1), lambda s: ranked(s, F.when(s < n, F.substring(w, s, F.lit(2)))))
+    return F.aggregate(F.sequence(F.lit(2), n), start, step, ids)
 
 
 def _long_fold(rank, w: Column, n: Column) -> Column:
@@ -104,16 +124,16 @@ def _long_fold(rank, w: Column, n: Column) -> Column:
     return let(F.split(w, ""), folded)
 
 
-def _fold(ranks: Column, word: Column) -> Column:
-    """Ids of one word, given as the ISO 8859-1 reading of its bytes."""
+def _fold(ranks: Column, w: Column) -> Column:
+    """Ids of one word, given as a lambda's name for the ISO 8859-1 reading of its bytes."""
     rank = lambda piece: _look(ranks, RANK_LISTS, piece)
-    parts = lambda w, n: F.when(n <= SHORT, _short_fold(rank, w, n)).otherwise(_long_fold(rank, w, n))
-    return let(word, lambda w: let(rank(w), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(
-        let(F.length(w), lambda n: F.transform(parts(w, n), rank)))))
+    n = F.length(w)
+    return F.when(rank(w).isNotNull(), F.array(rank(w))).when(n <= SHORT, _short_fold(rank, w, n)).otherwise(
+        F.transform(_long_fold(rank, w, n), rank))
 
 
-def _rank_lists(ranks: dict[bytes, int]) -> Column:
-    return _lists({piece.decode("latin-1"): r for piece, r in ranks.items()}, RANK_LISTS, "int")
+def _rank_lists(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    return _lists(spark, {piece.decode("latin-1"): r for piece, r in ranks.items()}, RANK_LISTS, "int")
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -214,12 +234,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ready_words:
     """``docs`` with ``ids``: array<int>, the tokens of the whole text.
 
     Null or empty text: an empty array. Strings that look like special tokens are ordinary text. Every
-    single byte must have a rank. Rows are taken one by one; a column named ``ids`` is replaced, one
-    named ``_coded`` goes. A word of any length costs n log n at most.
+    single byte must have a rank. Rows are taken one by one; a column named ``ids`` is replaced, those
+    named ``_coded`` or ``_held`` go. A word of any length costs n log n at most.
     """
-    lists = _rank_lists(ranks)
+    lists = _rank_lists(docs.sparkSession, ranks)
     frequent = frequent_words(docs, pattern, ready_words).repartition(32, "word")
-    folded = frequent.select("word", let(lists, lambda r: _fold(r, _bytes_of(F.col("word")))).alias("ids")).toArrow().combine_chunks()
+    folded = frequent.withColumn("_held", lists).select("word", let(F.col("_held"), lambda r: let(_bytes_of(F.col("word")), lambda w: _fold(r, w))).alias("ids")).toArrow().combine_chunks()
     ready = [pa.concat_arrays(folded[c].chunks) if folded[c].num_chunks else pa.array([], t)
              for c, t in (("word", pa.string()), ("ids", pa.list_(pa.int32())))]
     shared = docs.sparkSession.sparkContext.broadcast((*ready, ranks))
@@ -229,11 +249,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ready_words:
         return _in_blocks(lambda w: code_words(w, *shared.value), words)
 
     # called nondeterministic, it stays a step of its own; else the optimizer would move it into the lambdas
-    coded = without(docs, "ids", "_coded").withColumn("_coded", code.asNondeterministic()(words_of(F.col("text"), pattern)))
-    folded = let(lists, lambda r: F.transform(F.col("_coded.rest"), lambda w: _fold(r, _bytes_of(w))))
-    ids = let(folded, lambda f: F.flatten(F.transform(
-        F.col("_coded.runs"), lambda run, k: let(F.get(F.col("_coded.at"), k), lambda at: F.when(at.isNull(), run).otherwise(F.concat(run, F.get(f, at)))))))
-    return coded.withColumn("ids", ids).drop("_coded")
+    coded = without(docs, "ids", "_coded", "_held").withColumn("_coded", code.asNondeterministic()(words_of(F.col("text"), pattern)))
+    folded = let(F.col("_held"), lambda r: F.transform(F.transform(F.col("_coded.rest"), _bytes_of), lambda w: _fold(r, w)))
+    ids = let(folded, lambda f: F.flatten(F.transform(F.col("_coded.runs"), lambda run, k: F.concat(
+        run, F.coalesce(F.get(f, F.get(F.col("_coded.at"), k)), F.array().cast("array<int>"))))))
+    return coded.withColumn("_held", lists).withColumn("ids", ids).drop("_coded", "_held")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -245,6 +265,6 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece.hex()
-    listed = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    parts = let(listed, lambda p: F.transform("ids", lambda i: F.get(p, i)))
-    return without(encoded, "decoded").withColumn("decoded", F.unhex(F.array_join(parts, "", "x")))
+    listed = _held(encoded.sparkSession, pieces, "array<string>")
+    parts = let(F.col("_held"), lambda p: F.transform("ids", lambda i: F.get(p, i)))
+    return without(encoded, "decoded", "_held").withColumn("_held", listed).withColumn("decoded", F.unhex(F.array_join(parts, "", "x"))).drop("_held")

@@ -265,6 +265,15 @@ def test_bpe_long_words(spark, ranks):
         assert r.ids == encoding.encode_ordinary(r.text)
 
 
+def test_bpe_plans_stay_short(spark, ranks):
+    import public_tokenizers as P
+
+    docs = spark.createDataFrame([(1, "one text")], "doc_id long, text string")
+    both = bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks)
+    assert both.first().decoded == b"one text"
+    assert len(both._jdf.queryExecution().toString()) < 100_000   # ranks and pieces are not printed into it
+
+
 def test_bpe_heap_equals_the_library(ranks):
     import tiktoken
 
