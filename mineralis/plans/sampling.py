@@ -21,9 +21,9 @@ def disordered(spark, sf):
     return sites(spark, sf).filter("is_disordered")
 
 
-def states(spark, sf):
-    """States of each disordered orbit: element, occupancy, number of positions."""
-    return E.orbit_index(disordered(spark, sf)).select(
+def states(spark, sf, of=None):
+    """States of each disordered orbit (of the sites ``of``, if they are at hand): element, occupancy, number of positions."""
+    return E.orbit_index(disordered(spark, sf) if of is None else of).select(
         "structure_id", F.col("signature").alias("orbit"), F.col("n_positions").alias("n_groups"), F.explode("species").alias("s")).select(
         "structure_id", "orbit", F.col("s.element").alias("state"), F.col("s.occ").alias("prob"), "n_groups")
 
@@ -163,8 +163,9 @@ def _(spark, sf):
             window w as (partition by structure_id, orbit order by target, state rows unbounded preceding))
     select r.structure_id, config, r.orbit, r.pos as "group", coalesce(state, 'VAC') as state from r left join rng on rng.structure_id = r.structure_id and rng.orbit = r.orbit and rank > low and rank <= high""", _SV)
 def _(spark, sf):
-    groups = disordered(spark, sf).select("structure_id", F.col("signature").alias("orbit"), F.col("pos").alias("group"))
-    return D.random_decorations(groups, D.largest_remainder(states(spark, sf)), 3, seed=7)
+    found = cut_lineage(disordered(spark, sf))   # read several times
+    groups = found.select("structure_id", F.col("signature").alias("orbit"), F.col("pos").alias("group"))
+    return D.random_decorations(groups, D.largest_remainder(states(spark, sf, found)), 3, seed=7)
 
 
 @query("random_decorations_split", f"""with pts as (select structure_id // 5 as structure_id, element as orbit, atom from v_point),

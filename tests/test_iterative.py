@@ -309,3 +309,12 @@ def test_rescue_leaves_structures_at_rest(spark, monkeypatch):
     monkeypatch.setattr(D, "cut_lineage", counted)
     got = {tuple(r) for r in D.minority_rescue(table.drop("target"), table.select("structure_id", "orbit", "state", "target")).collect()}
     assert got == {(1, "a", "Fe", 4), (2, "a", "Fe", 1), (2, "a", "Ni", 1)} and written == [2, 1]
+
+
+def test_random_decorations_are_not_grouped_again(spark):
+    groups = spark.createDataFrame([(1, "o", g) for g in range(6)], "structure_id long, orbit string, group long")
+    targets = spark.createDataFrame([(1, "o", "Fe", 2), (1, "o", "Ni", 3)], "structure_id long, orbit string, state string, target long")
+    found = D.random_decorations(groups, targets, 2, seed=3)
+    rows = [(r.config, r.state) for r in found.collect()]
+    assert sorted(rows) == sorted((c, s) for c in (0, 1) for s in ["Fe"] * 2 + ["Ni"] * 3 + [D.VACANT])
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()   # a rank meets one range at most
