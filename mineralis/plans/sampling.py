@@ -74,29 +74,35 @@ def _(spark, sf):
     return D.minority_rescue(st, D.largest_remainder(st))
 
 
-def charge_judge(spark, sf):
+class ChargeJudge:
     """Charge gate of a cell: its ordered sites plus the current targets."""
-    ordered = sites(spark, sf).filter("not is_disordered").groupBy("structure_id", F.col("major").alias("element")).agg(
-        F.count(F.lit(1)).alias("n"))
-    ordered = cut_lineage(ordered)
-    ox = cut_lineage(E.oxidation_states(V.valence(spark, sf)).withColumn("n_states", F.size("states")))
-    elements = element_table(spark)
 
-    def judge(table):
+    def __init__(self, ordered, ox, elements):
+        self.ordered, self.ox, self.elements = ordered, ox, elements
+
+    def only(self, structures):
+        """The gate for these structures alone, so that a round reads no others."""
+        few = [cut_lineage(t.join(structures.select("structure_id"), "structure_id", "left_semi")) for t in (self.ordered, self.ox)]
+        return ChargeJudge(*few, self.elements)
+
+    def __call__(self, table):
         who = table.select("structure_id").distinct()
         placed = table.filter("target > 0").select("structure_id", F.col("state").alias("element"), F.col("target").alias("n"))
-        comp = placed.unionByName(ordered.join(who, "structure_id", "left_semi")).groupBy("structure_id", "element").agg(F.sum("n").alias("n"))
-        g = Q.charge_gate(comp, ox, elements).select("structure_id", F.col("q_per_cell").alias("q"), F.col("pass").alias("ok"))
+        comp = placed.unionByName(self.ordered.join(who, "structure_id", "left_semi")).groupBy("structure_id", "element").agg(F.sum("n").alias("n"))
+        g = Q.charge_gate(comp, self.ox, self.elements).select("structure_id", F.col("q_per_cell").alias("q"), F.col("pass").alias("ok"))
         # an empty cell carries no charge
         return who.join(g, "structure_id", "left").select("structure_id", F.coalesce("q", F.lit(0.0)).alias("q"), F.coalesce("ok", F.lit(True)).alias("ok"))
 
-    charges = ox.select("structure_id", F.col("element").alias("state"), "oxidation")
-    return judge, charges
-
 
 def balanced(spark, sf):
-    judge, charges = charge_judge(spark, sf)
-    return D.balance_charge(D.largest_remainder(states(spark, sf)), charges, judge)
+    """The sites are read once: ordered and disordered ones and the declared valences all come from them."""
+    rows = cut_lineage(V.site(spark, sf).select("structure_id", "pos", "x", "y", "z", "element", "occ", "raised"))
+    of = cut_lineage(E.site_signatures(V.species(spark, sf, rows)).select("structure_id", "pos", "signature", "species", "major", "is_disordered"))
+    ordered = of.filter("not is_disordered").groupBy("structure_id", F.col("major").alias("element")).agg(F.count(F.lit(1)).alias("n"))
+    ox = cut_lineage(E.oxidation_states(V.valence(spark, sf, rows)).select("structure_id", "element", "oxidation", F.size("states").alias("n_states")))
+    charges = ox.select("structure_id", F.col("element").alias("state"), "oxidation")
+    targets = D.largest_remainder(states(spark, sf, of.filter("is_disordered")))
+    return D.balance_charge(targets, charges, ChargeJudge(cut_lineage(ordered), ox, element_table(spark)))
 
 
 # one site a step, the steps of all structures side by side; the gate is computed anew from every cell

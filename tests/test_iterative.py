@@ -318,3 +318,31 @@ def test_random_decorations_are_not_grouped_again(spark):
     rows = [(r.config, r.state) for r in found.collect()]
     assert sorted(rows) == sorted((c, s) for c in (0, 1) for s in ["Fe"] * 2 + ["Ni"] * 3 + [D.VACANT])
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()   # a rank meets one range at most
+
+
+def test_balance_charge_reads_only_what_still_moves(spark):
+    """The gate is narrowed as structures end; a structure that passes at once or cannot move is never judged again."""
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame(
+        [(1, "o", "Li", 8, 8), (2, "o", "Li", 3, 8), (3, "o", "Li", 5, 8), (3, "p", "Mg", 4, 8), (4, "o", "Fe", 3, 6)],
+        "structure_id long, orbit string, state string, target long, n_groups long")
+    charges = spark.createDataFrame([(1, "Li", 1.0), (2, "Li", 1.0), (3, "Li", 1.0), (3, "Mg", 2.0), (4, "Fe", 0.0)], "structure_id long, state string, oxidation double")
+    asked = []
+
+    class Judge:
+        def only(self, structures):
+            asked.append(sorted(r.structure_id for r in structures.collect()))
+            return self
+
+        def __call__(self, t):
+            n = F.sum(F.col("target") * F.when(F.col("state") == "Mg", 2.0).otherwise(1.0))
+            return t.groupBy("structure_id").agg((n - 3.0).alias("q")).select(
+                "structure_id", F.when(F.col("structure_id") == 4, 7.0).otherwise(F.col("q")).alias("q")).withColumn("ok", F.abs("q") < 0.3)
+
+    rows, status = D.balance_charge(table, charges, Judge())
+    assert asked[0] == [1, 3, 4] and all(2 not in a for a in asked) and asked[-1] == [3]
+    assert sorted((r.structure_id, r.orbit, r.state, r.target) for r in rows.collect()) == [
+        (1, "o", "Li", 3), (2, "o", "Li", 3), (3, "o", "Li", 3), (3, "p", "Mg", 0), (4, "o", "Fe", 3)]
+    assert {r.structure_id: (r.q_initial, r.q_final, r.ok_final) for r in status.collect()} == {
+        1: (5.0, 0.0, True), 2: (0.0, 0.0, True), 3: (10.0, 0.0, True), 4: (7.0, 7.0, False)}
