@@ -136,3 +136,16 @@ def test_a_million_taken_numbers(spark):
     repeats = spark.range(n, n + 30).select(F.col("id").alias("ord"), F.lit("x").alias("name"))
     got = [r.slug for r in unique_slug(taken.unionByName(repeats), 100_000).filter("name = 'x'").orderBy("ord").collect()]
     assert got == ["x"] + [f"x-{10 * k}" for k in range(1, 30)]
+
+
+def test_index_makes_its_entries_once(spark, tmp_path):
+    """The bridge lists the elements of the entries that were written, not of a second reading of the input."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    name = F.udf(lambda: uuid.uuid4().hex, "string").asNondeterministic()
+    made = spark.range(6).select("id", F.lit("x").alias("filename"), F.lit(1).alias("n_elements"), F.lit("X").alias("chemsys"), F.array(name()).alias("elements"))
+    I.write_index(made, str(tmp_path / "index"))
+    held = {(r.id, r.elements[0]) for r in I.read_index(spark, str(tmp_path / "index")).collect()}
+    assert {(r.id, r.element) for r in I.read_index(spark, str(tmp_path / "index"), "elements").collect()} == held and len(held) == 6
