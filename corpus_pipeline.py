@@ -16,12 +16,18 @@ from mineralis.session import cut_lineage
 
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+#: rows of an Arrow batch at most. Rows are whole texts: with Spark's 10,000 each Python worker and the executor beside it
+#: hold tens of MB a copy, and workers keep what they have taken for the stages that follow
+BATCH_ROWS = 1_000
 
 
 def _apart(stage):
     """``stage`` over the columns of documents, others carried in one struct so that no name can clash."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        if not 0 < rows <= BATCH_ROWS:   # stays set, because the stage's result is lazy; changes no result
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         extra = [c for c in docs.columns if c not in DOCUMENT]
         if not extra:
             return stage(spark, docs, sf_dir)

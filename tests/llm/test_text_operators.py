@@ -628,3 +628,19 @@ def test_ftrl_against_a_plain_loop(spark):
     for r in toxicity.score(docs, model).collect():
         total = model[1] + sum(float(model[0][i]) for i in indices.get(r.doc_id, []))
         assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-6 and r.predicted == (r.score >= 0.7)
+
+
+def test_pipeline_stages_bound_their_batches(spark):
+    """A batch is at most ``BATCH_ROWS`` whole texts; a smaller bound of the session stays."""
+    import corpus_pipeline as C
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "a", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        for given, want in ((10_000, C.BATCH_ROWS), (0, C.BATCH_ROWS), (7, 7)):
+            spark.conf.set(key, given)
+            C.redact_secrets(spark, docs, "")
+            assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, before)
