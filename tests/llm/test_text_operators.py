@@ -7,6 +7,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -644,3 +645,34 @@ def test_pipeline_stages_bound_their_batches(spark):
             assert int(spark.conf.get(key)) == want
     finally:
         spark.conf.set(key, before)
+
+
+def test_repeats_over_many_packs(spark, docs, monkeypatch):
+    """Packs of a few texts: anchors, sides and strings that are common to packs only; few and many parts."""
+    from conftest import corpus
+
+    want = brute_repeats(corpus())
+    monkeypatch.setattr(repeats, "PACK_BYTES", 3000)
+    monkeypatch.setattr(repeats, "COUNT_BYTES", 10_000)
+    for limit in (12, 60_000):
+        monkeypatch.setattr(repeats, "PART_SEGMENTS", limit)
+        assert digest(repeats.remove_repeats(docs)) == want
+
+
+def test_repeats_take_little_disk(spark, tmp_path):
+    """Half of each text is shared passages: what is shuffled and written stays under 3 times the texts (4.6 times with rows for anchors and segments)."""
+    from conftest import words
+
+    rng = random.Random(19)
+    passages = [words(rng, 40) for _ in range(400)]
+    rows = [(k, " ".join(x for _ in range(12) for x in (rng.choice(passages), words(rng, rng.randint(30, 50))))) for k in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    table, shared = spark.read.parquet(str(tmp_path / "docs")), Path(spark.conf.get("spark.checkpoint.dir"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def used():
+        return store.executorList(True).apply(0).totalShuffleWrite() + sum(p.stat().st_size for p in shared.rglob("*.parquet") if p.is_file())
+
+    before = used()
+    assert repeats.remove_repeats(table).agg(F.sum(F.size("spans"))).first()[0] > 600
+    assert used() - before < 3 * sum(len(t) for _, t in rows)
